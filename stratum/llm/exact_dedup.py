@@ -53,11 +53,11 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
     """docs without the rows that are copies of a row that stays; columns as they were."""
     groups = exact_groups(docs, id_col, text_col, support).where("group_size > 1")
-    groups = materialize(groups.groupBy("id", "digest").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")), "exact-drop")
-    digest, known = free_name(docs.columns, "digest"), free_name(docs.columns, "known")
+    groups = materialize(groups.groupBy(F.col("id").alias("_id"), F.col("digest").alias("_digest")).agg(F.max("kept").alias("_kept"), F.count(F.lit(1)).alias("_n")), "exact-drop")
+    digest, known = free_name(docs.columns, "text_sha256"), free_name(docs.columns, "copy_number")
     rows = docs.withColumn(digest, text_digest(F.col(f"`{text_col}`")))
-    gone, tied = groups.where("NOT kept"), groups.where("kept AND n > 1")
-    match = lambda g: F.col(f"`{id_col}`").eqNullSafe(g["id"]) & (F.col(digest) == g["digest"])
+    gone, tied = groups.where("NOT _kept"), groups.where("_kept AND _n > 1")
+    match = lambda g: rows[id_col].eqNullSafe(g["_id"]) & (rows[digest] == g["_digest"])
     out = rows.join(gone, match(gone), "left_anti")
     if not tied.isEmpty():  # rows that tie in id and text: one of them stays
         several = out.join(tied, match(tied), "left_semi")

@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import free_name, materialize, text_blocks
@@ -236,8 +236,6 @@ def _bucket_edges(nodes: DataFrame) -> DataFrame:
                 offsets = pa.array(np.arange(0, keys.size + 1, SLOTS, dtype=np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(keys.ravel()))], names=["node", "keys"])
 
-    from pyspark.sql import Window
-
     entries = alike.select("least", "sig").mapInArrow(keyed, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
     shared = entries.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("size > 1")
     shared = materialize(shared.withColumn("blocks", F.ceil(F.col("size") / BUCKET_BLOCK)).drop("size"), "near-buckets")
@@ -283,5 +281,5 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     gone = materialize(gone, "near-drop")
     mark = free_name(docs.columns, "text_hash")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    same: Column = F.col(f"`{id_col}`").eqNullSafe(gone["_gone"]) & (F.col(mark) == gone["_hash"])
-    return docs.withColumn(mark, F.xxhash64(text)).join(gone, same, "left_anti").drop(mark)
+    rows = docs.withColumn(mark, F.xxhash64(text))
+    return rows.join(gone, rows[id_col].eqNullSafe(gone["_gone"]) & (rows[mark] == gone["_hash"]), "left_anti").drop(mark)

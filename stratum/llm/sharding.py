@@ -33,7 +33,7 @@ def _half_bits(n: int) -> int:
 
 
 def _rounds(x: np.ndarray, bits: int, seed: int, back: bool) -> np.ndarray:
-    mask, keys = _U((1 << bits) - 1), _mix(np.arange(ROUNDS, dtype=np.uint64) + _U(seed) * _U(0x9E3779B97F4A7C15))
+    mask, keys = _U((1 << bits) - 1), _mix(np.arange(ROUNDS, dtype=np.uint64) + _U(seed * 0x9E3779B97F4A7C15 % (1 << 64)))
     left, right = x >> _U(bits), x & mask
     for key in keys[::-1] if back else keys:
         if back:
