@@ -10,20 +10,46 @@ from pyspark.sql import functions as F
 from .byte_tokens import public_path
 from .common import table
 from .exact_dedup import exact_groups
+from .html_text import extract_text
+from .line_dedup import remove_boilerplate
 from .near_dup import near_duplicates
 from .packing import pack_documents
 from .quality import judge_texts
 from .sharding import shard_documents
+from .warc import read_records, write_archives
+from .wavelet import read_documents, write_shards
+from .word_bpe import encode_documents
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that five sources show or more are taken out."""
+    cleaned = remove_boilerplate(table(spark, sf_dir, "documents"), sites=5)
+    text = F.coalesce("text", F.lit(""))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_texts(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(table(spark, sf_dir, "documents"), public_path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = extract_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+    return texts.select("page_id", "url", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "text")
+
+
+def op6_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_shards(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json"))
+    return read_documents(manifest).withColumnRenamed("id", "doc_id")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard_documents(table(spark, sf_dir, "documents"), 40, seed=7)
     return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -34,13 +60,33 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = read_records(write_archives(table(spark, sf_dir, "pages")))
+    return records.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality, op4_exact_dedup, op7_sharding, op8_near_dedup, op10_packing)}
-
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_bpe, op4_exact_dedup, op5_html_text, op6_wavelet, op7_sharding, op8_near_dedup, op9_warc, op10_packing)}
+
+
+SPACE = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13) || chr(10)"
+
+OP1 = f"""
+WITH d AS (SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS lines, text IS NULL AS no_text FROM documents),
+l AS (SELECT doc_id, source, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, trim(line, {SPACE}) AS key FROM l),
+b AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT source) >= 5),
+s AS (
+  SELECT doc_id, count(*) AS n_lines, count(b.key) AS n_removed,
+    coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.key IS NULL), '') AS kept
+  FROM k LEFT JOIN b ON k.key = b.key GROUP BY doc_id)
+SELECT doc_id, CASE WHEN no_text THEN 0 ELSE n_lines END AS n_lines, n_removed, sha256(kept) AS text_sha256
+FROM s JOIN d USING (doc_id)
+"""
 
 OP4 = r"""
 WITH d AS (
@@ -49,5 +95,19 @@ SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
+
+#: Base32 of a SHA-1: five hexadecimal digits are four letters.
+OP9 = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first_id FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4}
+    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op9_warc": OP9}
