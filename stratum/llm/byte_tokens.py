@@ -3,7 +3,8 @@
 The tokenizers library encodes; what it would encode again and again is remembered. Its pre-tokenizer never
 joins characters across a space that stands alone between two others, so a text cut before such spaces and
 before and behind single line ends has the ids of its pieces, one after the other. Texts that may not be cut
-so (two white-space characters in a row, or a special token's string) go to the library whole.
+so (two white-space characters in a row, or a special token's string) go to the library whole. Cutting and
+counting equal pieces once is Arrow's work, a block of texts at a time.
 """
 
 from __future__ import annotations
@@ -13,12 +14,15 @@ import re
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; when it has more, it keeps the half that it met first.
 REMEMBERED = 800_000
 #: Characters of the longest piece that is remembered.
 LONGEST = 40
-_WIDE_SPACE = re.compile(r"\s\s|[^\S \n]|\x1f")
+#: Two of the plain white-space characters in a row, or any other one: as RE2 writes them.
+_WIDE_SPACE = r"[ \n][ \n]|[\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def public_path(name: str) -> str:
@@ -50,14 +54,19 @@ class PieceCache:
         """All but the pieces met first, among which are the frequent ones."""
         self.index = dict(itertools.islice(self.index.items(), kept))
 
-    def __call__(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, pieces: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and the offsets of each piece's."""
         if len(self.index) > self.remembered:
             self.forget(self.remembered // 2)
-        new = list(dict.fromkeys(p for p in pieces if p not in self.index))
-        if new:
-            self._add(new)
-        at = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        coded = pc.dictionary_encode(pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.string()))
+        different = coded.dictionary.to_pylist()
+        known = np.fromiter(map(self.index.get, different, itertools.repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(known < 0)
+        if len(new):
+            first = len(self.index)
+            self._add([different[k] for k in new])
+            known[new] = np.arange(first, first + len(new))
+        at = known[coded.indices.to_numpy()]
         start, count = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
         offsets = np.concatenate(([0], np.cumsum(count)))
         where = np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], count)
@@ -89,7 +98,7 @@ class ByteTokens:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_WIDE_SPACE.pattern, *special]))
+        self.whole = "|".join([_WIDE_SPACE, *special])
         self.known_marks: dict[str, list[int]] = {}
         self.visible = byte_letters()
         self.cache = PieceCache(self._pieces)
@@ -129,30 +138,29 @@ class ByteTokens:
             self.known_marks[text] = self._library([text])[0]
         return self.known_marks[text]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts as uint32, and the offsets of each text's."""
-        pieces: list[str] = []
-        ends, whole = [], []
-        for k, text in enumerate(texts):
-            if self.whole.search(text):
-                whole.append(k)
-            elif text:
-                cut = text.replace(" ", "\x1f ")
-                if "\n" in cut:
-                    cut = cut.replace("\n", "\x1f\n\x1f")
-                pieces += cut.split("\x1f")
-            ends.append(len(pieces))
-        long = [(k, p) for k, p in enumerate(pieces) if len(p) > LONGEST]
-        for k, _ in long:
-            pieces[k] = ""
+    def encode(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, none of them null, as uint32, and the offsets of each text's."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        apart = pc.match_substring_regex(texts, self.whole)
+        whole = np.flatnonzero(apart.to_numpy(zero_copy_only=False))
+        plain = pc.if_else(apart, "", texts) if len(whole) else texts
+        cut = pc.replace_substring(pc.replace_substring(plain, " ", "\x1f "), "\n", "\x1f\n\x1f")
+        lists = pc.split_pattern(cut, "\x1f")
+        pieces, ends = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+        ends = ends - ends[0]
+        size = pc.binary_length(pieces).to_numpy()
+        long = np.flatnonzero(size > LONGEST)
+        far = pieces.take(pa.array(long)).to_pylist() if len(long) else []
+        if far:
+            pieces = pc.if_else(pa.array(size > LONGEST), "", pieces)
         ids, offsets = self.cache(pieces)
-        out = offsets[np.concatenate(([0], np.asarray(ends, np.int64)))]
-        if not (long or whole):
+        out = offsets[ends]
+        if not (far or len(whole)):
             return ids, out
         # What was encoded apart is put in its place.
-        owners = np.searchsorted(ends, [k for k, _ in long], "right") if long else []
-        parts: list[tuple[int, int, list[int]]] = [(int(offsets[k]), int(o), x) for (k, _), o, x in zip(long, owners, self._library([p for _, p in long]))]
-        parts += [(int(out[k]), k, x) for k, x in zip(whole, self._library([texts[k] for k in whole]))]
+        owners = np.searchsorted(ends, long, "right") - 1
+        parts: list[tuple[int, int, list[int]]] = [(int(offsets[k]), int(o), x) for k, o, x in zip(long, owners, self._library(far))]
+        parts += [(int(out[k]), int(k), x) for k, x in zip(whole, self._library(texts.take(pa.array(whole)).to_pylist()))]
         parts.sort(key=lambda x: x[:2])
         merged, last, extra = [], 0, np.zeros(len(texts), np.int64)
         for at, owner, x in parts:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_tokens import ByteTokens
-from .common import materialize, text_lists
+from .common import materialize, text_arrays
 from .sharding import number_rows
 
 CAPACITY, END_ID = 2048, 0
@@ -137,7 +137,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = ByteTokens.at(tokenizer_path)
         for batch in batches:
-            for at, end, texts in text_lists(batch, 1):
+            for at, end, texts in text_arrays(batch, 1):
                 ids, bounds = tokens.encode(texts)
                 length = np.diff(bounds) + 1
                 pieces = -(-length // capacity)
@@ -160,7 +160,8 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
 
 def place_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces (id, piece, start, length, ids_crc32) with the sequence and the offset in it that each goes to."""
-    numbered = number_rows(pieces, ["length", "id", "piece", "ids_crc32"], "number")
+    # Written first: a range partitioning looks at its input twice.
+    numbered = number_rows(materialize(pieces, "pieces"), ["length", "id", "piece", "ids_crc32"], "number")
     counts = np.zeros(capacity + 1, np.int64)
     for row in numbered.groupBy("length").count().collect():  # as many rows as there are lengths
         counts[row["length"]] = row["count"]

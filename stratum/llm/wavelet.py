@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .byte_tokens import ByteTokens
-from .common import materialize, shared_path, text_lists
+from .common import materialize, shared_path, text_arrays
 from .files import new_name, place
 
 MAGIC = b"WVMX0001"
@@ -189,7 +189,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, end_id: int = 0, partitio
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([name]), pa.array([len(lengths)]), pa.array([len(ids)])], names=["part", "seq", "file", "documents", "ids"])
 
         for batch in batches:
-            for at, end, texts in text_lists(batch, 1):
+            for at, end, texts in text_arrays(batch, 1):
                 ids, bounds = tokens.encode(texts)
                 own = batch.column(0).slice(at, end - at)
                 held.append((np.insert(ids, bounds[1:], end_id), own.fill_null(0).to_numpy(), own.is_null().to_numpy(zero_copy_only=False), np.diff(bounds) + 1))
