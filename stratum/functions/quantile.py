@@ -43,7 +43,8 @@ def distribution_quantiles(values: DataFrame, groups: list[str], probs: list[flo
         h = F.lit(float(p)) * (F.col("_count") - 1)
         return lerp(F.col(f"_a{k}"), F.col(f"_b{k}"), h - F.floor(h))
 
-    return picked.select(*groups, F.array(*(one(k, p) for k, p in enumerate(probs))).alias(name))
+    made = F.array(*(one(k, p) for k, p in enumerate(probs)))
+    return picked.select(*groups, F.when(F.col("_count").isNotNull(), made).alias(name))
 
 
 def quantiles(data: DataFrame, groups: list[str], value: str, probs: list[float], name: str = "quantiles") -> DataFrame:
