@@ -1 +1 @@
-
+"""Operators on panels: one module for each family."""

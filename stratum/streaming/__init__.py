@@ -1 +1 @@
-
+"""Panels are batch tables: there is nothing to stream here, and no operator that the batch ones do not cover."""
