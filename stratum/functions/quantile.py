@@ -19,7 +19,7 @@ def lerp(low: Column, high: Column, t: Column) -> Column:
 def distribution(data: DataFrame, groups: list[str], value: str, times: str | None = None) -> DataFrame:
     """groups, _x, _n (rows with _x), _upto (rows up to and with it) and _count (rows in all): one row for each distinct value.
 
-    times: a column that says for how many rows each row stands.
+    times: a column that says for how many rows each row stands, maybe none.
     """
     rows = F.sum(times) if times else F.count(F.lit(1))
     counts = data.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_x")).agg(rows.alias("_n"))
@@ -28,8 +28,8 @@ def distribution(data: DataFrame, groups: list[str], value: str, times: str | No
     return counts.select(*groups, "_x", F.sum("_n").over(running).alias("_upto"), F.sum("_n").over(part).alias("_count"), "_n")
 
 
-def distribution_quantiles(values: DataFrame, groups: list[str], probs: list[float], name: str = "quantiles") -> DataFrame:
-    """groups and an array with the quantiles of a distribution."""
+def distribution_quantiles(values: DataFrame, groups: list[str], probs: list[float], name: str = "quantiles", ends: bool = False) -> DataFrame:
+    """groups and an array with the quantiles of a distribution; ends: also its least and greatest value, of any count."""
     n, upto, here = F.col("_count"), F.col("_upto"), F.col("_n")
     picks = []
     for k, p in enumerate(probs):
@@ -37,14 +37,15 @@ def distribution_quantiles(values: DataFrame, groups: list[str], probs: list[flo
         high = F.least(low + 1, n - 1)
         for side, at in (("a", low), ("b", high)):
             picks.append(F.max(F.when((at < upto) & (at >= upto - here), F.col("_x"))).alias(f"_{side}{k}"))
-    picked = values.groupBy(*groups).agg(F.max("_count").alias("_count"), *picks)
+    edges = [F.min("_x").alias("_least"), F.max("_x").alias("_most")] if ends else []
+    picked = values.groupBy(*groups).agg(F.max("_count").alias("_count"), *picks, *edges)
 
     def one(k: int, p: float) -> Column:
         h = F.lit(float(p)) * (F.col("_count") - 1)
         return lerp(F.col(f"_a{k}"), F.col(f"_b{k}"), h - F.floor(h))
 
     made = F.array(*(one(k, p) for k, p in enumerate(probs)))
-    return picked.select(*groups, F.when(F.col("_count").isNotNull(), made).alias(name))
+    return picked.select(*groups, F.when(F.col("_count") > 0, made).alias(name), *(["_least", "_most"] if ends else []))
 
 
 def quantiles(data: DataFrame, groups: list[str], value: str, probs: list[float], name: str = "quantiles") -> DataFrame:

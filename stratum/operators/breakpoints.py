@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -44,7 +45,7 @@ def _smooth(values: DataFrame, groups: list[str], plain: DataFrame, n: int) -> D
     """
     low, high = F.col("_b")[0] == F.col("_b")[1], F.col("_b")[n - 1] == F.col("_b")[n]
     edged = plain.withColumn("_low", low).withColumn("_high", high)
-    joined = values.join(edged, groups) if groups else values.join(F.broadcast(edged), F.lit(True))
+    joined = values.join(edged.drop("_least", "_most"), groups) if groups else values.join(F.broadcast(edged.drop("_least", "_most")), F.lit(True))
     x, b = F.col("_x"), F.col("_b")
     inside = (F.when(F.col("_low"), x > b[0]).otherwise(True)) & (F.when(F.col("_low") & F.col("_high"), x < b[n]).when(F.col("_high"), x < b[n - 1]).otherwise(True))
     kept = joined.where((F.col("_low") | F.col("_high")) & inside).select(*groups, "_x", "_n")
@@ -52,7 +53,7 @@ def _smooth(values: DataFrame, groups: list[str], plain: DataFrame, n: int) -> D
     again = distribution(kept.withColumnRenamed("_n", "_times"), groups, "_x", "_times")
     both = distribution_quantiles(again, groups, linspace(n - 1), "_both") if n > 2 else None
     one = distribution_quantiles(again, groups, linspace(n), "_one")
-    out = edged
+    out = edged  # with _least and _most
     for part in [p for p in (both, one) if p is not None]:
         out = out.join(part, groups, "left") if groups else out.join(F.broadcast(part), F.lit(True), "left")
     if both is None:
@@ -63,7 +64,35 @@ def _smooth(values: DataFrame, groups: list[str], plain: DataFrame, n: int) -> D
         .when(F.col("_high"), F.concat(_add_to_last(F.col("_one"), TOP_SHIFT), F.array(b[n])))
         .otherwise(b)
     )
-    return out.select(*groups, made.alias("_b"))
+    return out.select(*groups, made.alias("_b"), "_least", "_most")
+
+
+def _breakpoints(data: DataFrame, sorting_variable: str, options: dict, role: dict, groups: list[str]) -> DataFrame:
+    """groups, breakpoints, _least and _most of each group with a value: one row in all without groups.
+
+    One pass over data counts the distinct values and, among them, the rows of the universe; with a size threshold
+    another one finds the cut-offs first.
+    """
+    probs = _probabilities(options)
+    rows, universe = data, F.lit(True)
+    if options["breakpoints_exchanges"] is not None:
+        require_columns(data, [role["exchange"]])
+        names = options["breakpoints_exchanges"]
+        universe = F.coalesce(F.col(role["exchange"]).isin([names] if isinstance(names, str) else list(names)), F.lit(False))
+    if (threshold := options["breakpoints_min_size_threshold"]) is not None:
+        size = role["mktcap_lag"]
+        require_columns(data, [size])
+        cut = quantiles(data.where(universe), groups, size, [threshold], "_cut")
+        rows = data.join(cut, groups, "left") if groups else data.join(F.broadcast(cut), F.lit(True), "left")
+        universe = universe & F.coalesce(F.col(size) > F.col("_cut")[0], F.lit(False))
+    values = distribution(rows.withColumn("_times", universe.cast("long")), groups, sorting_variable, "_times")
+    found = distribution_quantiles(values, groups, probs, "_b", ends=True)
+    if options["smooth_bunching"]:
+        if options["percentiles"] is not None:
+            warnings.warn("smooth_bunching replaces 'percentiles' by equally spaced ones where values bunch.", stacklevel=4)
+        found = _smooth(values.where("_n > 0"), groups, found, len(probs) - 1)
+    shifted = F.transform(F.col("_b"), lambda x, k: F.when(k == 0, x).otherwise(x + SHIFT))
+    return found.select(*groups, shifted.alias("breakpoints"), "_least", "_most")
 
 
 @table_function
@@ -73,29 +102,9 @@ def compute_breakpoints(data: DataFrame, sorting_variable: str, breakpoint_optio
     The universe is what the options' exchanges and size threshold leave (sizes strictly above the threshold's
     quantile among those exchanges). A group with an empty universe, or with NULLs only, has NULL breakpoints.
     """
-    probs, role, groups = _probabilities(breakpoint_options), roles(data_options), list(by or [])
+    groups = list(by or [])
     require_columns(data, [sorting_variable, *groups])
-    universe = data
-    if breakpoint_options["breakpoints_exchanges"] is not None:
-        require_columns(data, [role["exchange"]])
-        names = breakpoint_options["breakpoints_exchanges"]
-        universe = universe.where(F.col(role["exchange"]).isin([names] if isinstance(names, str) else list(names)))
-    if (threshold := breakpoint_options["breakpoints_min_size_threshold"]) is not None:
-        size = role["mktcap_lag"]
-        require_columns(data, [size])
-        cut = quantiles(universe, groups, size, [threshold], "_cut")
-        universe = universe.join(cut, groups) if groups else universe.join(F.broadcast(cut), F.lit(True))
-        universe = universe.where(F.col(size) > F.col("_cut")[0])
-    values = distribution(universe, groups, sorting_variable)
-    found = distribution_quantiles(values, groups, probs, "_b")
-    if breakpoint_options["smooth_bunching"]:
-        if breakpoint_options["percentiles"] is not None:
-            import warnings
-
-            warnings.warn("smooth_bunching replaces 'percentiles' by equally spaced ones where values bunch.", stacklevel=3)
-        found = _smooth(values, groups, found, len(probs) - 1)
-    shifted = F.transform(F.col("_b"), lambda x, k: F.when(k == 0, x).otherwise(x + SHIFT))
-    found = found.select(*groups, shifted.alias("breakpoints"))
+    found = _breakpoints(data, sorting_variable, breakpoint_options, roles(data_options), groups).drop("_least", "_most")
     if not groups:
         return found.groupBy().agg(F.first("breakpoints").alias("breakpoints"))
     return data.where(" AND ".join(f"`{g}` IS NOT NULL" for g in groups)).select(*groups).distinct().join(found, groups, "left")
@@ -120,23 +129,26 @@ def bucket(value: Column, breakpoints: Column) -> Column:
 
 
 @table_function
-def assign_portfolio(data: DataFrame, sorting_variable: str, breakpoint_options: dict | None = None, breakpoint_function: Callable | None = None, data_options: dict | None = None, by: list[str] | None = None, new_column: str | None = None) -> DataFrame:
+def assign_portfolio(data: DataFrame, sorting_variable: str, breakpoint_options: dict | None = None, breakpoint_function: Callable | None = None, data_options: dict | None = None, by: list[str] | None = None, new_column: str | None = None, source: DataFrame | None = None) -> DataFrame:
     """data with one column more: each row's portfolio, 1.0 to n, within its group of by.
 
     A group with at most one distinct value puts all its rows, NULLs too, into 1.0. A group without breakpoints has
     NULL, as have NULL values elsewhere. Buckets are closed on the left; a value on equal inner breakpoints goes above them.
+    source: the table to take breakpoints from, if data is the same rows with more columns.
     """
     role, groups = roles(data_options), list(by or [])
     new = new_column or role["portfolio"]
     require_columns(data, [sorting_variable, *groups])
+    source = data if source is None else source
     if breakpoint_function is None:
-        points = compute_breakpoints.__wrapped__(data, sorting_variable, breakpoint_options, role, groups)
+        points = _breakpoints(source, sorting_variable, breakpoint_options, role, groups)
     else:
-        points = _called_breakpoints(data, groups, sorting_variable, breakpoint_options, role, breakpoint_function)
-    ends = data.groupBy(*groups).agg(F.min(sorting_variable).alias("_least"), F.max(sorting_variable).alias("_most"))
+        called = _called_breakpoints(source, groups, sorting_variable, breakpoint_options, role, breakpoint_function)
+        ends = source.groupBy(*groups).agg(F.min(sorting_variable).alias("_least"), F.max(sorting_variable).alias("_most"))
+        points = ends.join(called, groups, "left") if groups else ends.join(F.broadcast(called), F.lit(True), "left")
     b, constant = inner_name("b"), inner_name("constant")
-    flat = F.col("_least").isNull() | (F.col("_least") == F.col("_most"))
-    points = (ends.join(points, groups, "left") if groups else ends.join(F.broadcast(points), F.lit(True), "left")).select(*groups, F.col("breakpoints").alias(b), flat.alias(constant))
+    points = points.select(*groups, F.col("breakpoints").alias(b), (F.col("_least") == F.col("_most")).alias(constant))
     joined = data.join(points, groups, "left") if groups else data.join(F.broadcast(points), F.lit(True), "left")
-    label = F.when(F.col(constant), F.lit(1.0)).otherwise(bucket(F.col(sorting_variable), F.col(b)))
+    # A group without any value has no row in points.
+    label = F.when(F.coalesce(F.col(constant), F.lit(True)), F.lit(1.0)).otherwise(bucket(F.col(sorting_variable), F.col(b)))
     return joined.select(*(f"`{c}`" for c in data.columns if c != new), label.alias(new))

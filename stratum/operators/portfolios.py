@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import require_columns, require_new_columns, table_function
@@ -27,6 +27,10 @@ def _summarise(data: DataFrame, keys: list[str], ret: str, weight: str, capped:
     return sums.select(*keys, F.col("_n"), share("_rw", "_w").alias(VW), enough(F.col("_r") / F.col("_n")).alias(EW), share("_rc", "_c").alias(CAPPED))
 
 
+def _most_portfolios(options: dict) -> int:
+    return int(options["n_portfolios"]) if options["n_portfolios"] is not None else len(options["percentiles"]) + 1
+
+
 def _window_year(date: Column, month: int) -> Column:
     return F.when(F.month(date) >= month, F.year(date)).otherwise(F.year(date) - 1)
 
@@ -76,21 +80,24 @@ def compute_portfolio_returns(
     if unweighted:
         data = data.withColumn(weight, F.lit(1.0))
     dates = data.select(date).where(F.col(date).isNotNull()).distinct()
-    used = data.dropna(subset=variables)
+    plain = used = data.dropna(subset=variables)
     caps = quantiles(used, [date], weight, [cap_weight], "_cap")
     w = F.col(weight)
     used = used.join(caps, date, "left").withColumn(capped, F.when(w.isNull(), 0.0).otherwise(F.least(w, F.col("_cap")[0]))).withColumn(weight, F.coalesce(w.cast("double"), F.lit(0.0))).drop("_cap")
 
-    formed = used if rebalancing_month is None else used.where(F.month(date) == rebalancing_month)
+    month = (lambda df: df) if rebalancing_month is None else (lambda df: df.where(F.month(date) == rebalancing_month))
+    formed, plain = month(used), month(plain)
     assign = assign_portfolio.__wrapped__
     main, second = (breakpoint_options_main, breakpoint_function_main), (breakpoint_options_secondary or breakpoint_options_main, breakpoint_function_secondary)
     if not two:
-        labels, formed = ["_main"], assign(formed, variables[0], *main, role, [date], "_main")
+        labels, formed = ["_main"], assign(formed, variables[0], *main, role, [date], "_main", plain)
     else:
         labels = ["_main", "_secondary"]
-        formed = assign(formed, variables[1], *second, role, [date], "_secondary")
-        by = [date, "_secondary"] if sorting_method == "bivariate-dependent" else [date]
-        formed = assign(formed, variables[0], *main, role, by, "_main")
+        formed = assign(formed, variables[1], *second, role, [date], "_secondary", plain)
+        if sorting_method == "bivariate-dependent":
+            formed = assign(formed, variables[0], *main, role, [date, "_secondary"], "_main")
+        else:
+            formed = assign(formed, variables[0], *main, role, [date], "_main", plain)
     placed = formed if rebalancing_month is None else _hold(used, formed, labels, date, id, rebalancing_month)
     placed = placed.dropna(subset=labels)
     if two:
@@ -100,11 +107,18 @@ def compute_portfolio_returns(
     else:
         returns = _summarise(placed, ["_main", date], ret, weight, capped, min_portfolio_size).drop("_n")
 
-    portfolios = returns.select("_main").distinct()  # as many as there are portfolios
     if rebalancing_month is not None:
         first = dates.where(F.month(date) == rebalancing_month).agg(F.min(date).alias("_first"))
         dates = dates.join(F.broadcast(first), F.col(date) >= F.col("_first")).drop("_first")
-    panel = dates.crossJoin(F.broadcast(portfolios)).join(returns, [date, "_main"], "left")
+    # All portfolios there can be on all dates, then without those that no date has.
+    most = _most_portfolios(breakpoint_options_main) if breakpoint_function_main is None else None
+    if most:
+        panel = dates.withColumn("_main", F.explode(F.sequence(F.lit(1), F.lit(most)).cast("array<double>")))
+        panel = panel.join(returns.withColumn("_there", F.lit(True)), [date, "_main"], "left")
+        panel = panel.withColumn("_there", F.max("_there").over(Window.partitionBy("_main"))).where("_there")
+    else:
+        portfolios = returns.select("_main").distinct()
+        panel = dates.crossJoin(F.broadcast(portfolios)).join(returns, [date, "_main"], "left")
     columns = [EW] if unweighted else [VW, EW, CAPPED]
     return panel.select(F.col("_main").alias(role["portfolio"]), date, *columns)
 
