@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker remembers; when it has more, it keeps the half that it met first.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
 #: Characters of the longest piece that is remembered.
 LONGEST = 40
 #: Two of the plain white-space characters in a row, or any other one: as RE2 writes them.

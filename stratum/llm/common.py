@@ -82,7 +82,7 @@ def text_blocks(batch: pa.RecordBatch, column: int, limit: int = BLOCK_BYTES) ->
         at = end
 
 
-def text_arrays(batch: pa.RecordBatch, column: int, limit: int = 4 * BLOCK_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
+def text_arrays(batch: pa.RecordBatch, column: int, limit: int = 2 * BLOCK_BYTES) -> Iterator[tuple[int, int, pa.Array]]:
     """The same blocks, larger, as Arrow arrays without nulls: (first row, end row, texts)."""
     texts = batch.column(column).cast(pa.string()).fill_null("")
     for at, end, _, _ in text_blocks(batch, column, limit):

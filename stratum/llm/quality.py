@@ -92,6 +92,10 @@ def base_counts(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def base_failed(n: dict[str, np.ndarray]) -> np.ndarray:
+    return (n["n_words"] < 20) | (100 * n["n_repeat_words"] > 30 * n["n_words"])
+
+
 VERDICT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, compression_ratio double, bad_chunk_share double"
 
 
@@ -105,7 +109,7 @@ def judge_texts(df: DataFrame, keep: list[str], text_col: str = "text", limits:
         for batch in batches:
             for at, end, flat, offsets in text_blocks(batch, len(names)):
                 n, found = base_counts(flat, offsets), compression(flat, offsets, limits)
-                failed = (n["n_words"] < 20) | (100 * n["n_repeat_words"] > 30 * n["n_words"])
+                failed = base_failed(n)
                 new = [pa.array(n[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                 new += [pa.array(failed), pa.array(~failed & ~found["outside_band"]), pa.array(found["ratio"], from_pandas=True), pa.array(found["bad_chunk_share"])]
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, end - at) for k in range(len(names))), *new], names=[*names, *(x.split()[0] for x in VERDICT.split(", "))])
@@ -115,6 +119,14 @@ def judge_texts(df: DataFrame, keep: list[str], text_col: str = "text", limits:
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", limits: CompressionLimits = CompressionLimits()) -> DataFrame:
-    """docs without the rows whose text the rules reject; columns as they were."""
-    judged = judge_texts(docs, [*docs.columns], text_col, limits)
-    return judged.where("kept").select(*(judged[k] for k in range(len(docs.columns))))
+    """docs without the rows whose text the rules reject; columns as they were. Only texts go to Python, only verdicts back."""
+
+    @F.arrow_udf("boolean")
+    def good(texts: pa.Array) -> pa.Array:
+        batch, found = pa.RecordBatch.from_arrays([texts], names=["text"]), []
+        for _, _, flat, offsets in text_blocks(batch, 0):
+            n, outside = base_counts(flat, offsets), compression(flat, offsets, limits)["outside_band"]
+            found.append(~base_failed(n) & ~outside)
+        return pa.array(np.concatenate(found) if found else np.zeros(0, bool))
+
+    return docs.where(good(F.col(f"`{text_col}`").cast("string")))

@@ -397,3 +397,13 @@ def test_line_dedup_equals_brute_force(spark, docs, empty):
     assert remove_boilerplate(empty).count() == 0
     named = docs.withColumn("n_lines", docs.source)
     assert remove_boilerplate(named).columns == [*named.columns, "n_lines_", "n_removed"]
+
+
+def test_columns_with_the_operators_own_names_are_carried_along(docs):
+    names = ["text_sha256", "copy_number", "text_hash", "keep_id", "kept", "_id", "_gone", "node", "row", "id", "n_lines", "place", "key"]
+    odd = docs.select("doc_id", "text", "source", *(docs.source.alias(n) for n in names))
+    for kept in (drop_exact_duplicates(odd), drop_near_duplicates(odd), keep_good(odd)):
+        assert kept.columns == odd.columns and all(r[n] == r.source for r in kept.collect() for n in names)
+    out = remove_boilerplate(odd, 2)
+    assert out.columns == [*odd.columns, "n_lines_", "n_removed"] and out.count() == len(ROWS)
+    assert exact_groups(odd).count() == near_duplicates(odd).count() == shard_documents(odd).count() == len(ROWS)
