@@ -10,6 +10,7 @@ counting equal pieces once is Arrow's work, a block of texts at a time.
 from __future__ import annotations
 
 import itertools
+import os
 import re
 from collections.abc import Callable
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker remembers; when it has more, it keeps the half that it met first.
+#: Pieces that a worker remembers; when it has more, it keeps those that it met again.
 REMEMBERED = 300_000
 #: Characters of the longest piece that is remembered.
 LONGEST = 40
@@ -49,19 +50,31 @@ class PieceCache:
         self.index: dict[str, int] = {}
         self.ids = np.zeros(1 << 20, np.uint32)
         self.bounds = np.zeros(1 << 18, np.int64)
-
-    def forget(self, kept: int) -> None:
-        """All but the pieces met first, among which are the frequent ones."""
-        self.index = dict(itertools.islice(self.index.items(), kept))
+        self.met_again = np.zeros(1 << 18, bool)
+
+    def forget(self) -> None:
+        """All but the pieces that were met again since the last time."""
+        kept = np.flatnonzero(self.met_again[: len(self.index)])
+        if len(kept) > self.remembered // 2:
+            kept = kept[: self.remembered // 2]
+        chosen = set(kept.tolist())
+        start, count = self.bounds[kept], self.bounds[kept + 1] - self.bounds[kept]
+        ends = np.cumsum(count)
+        where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + count, count)
+        self.ids[: len(where)] = self.ids[where]
+        self.bounds[1 : len(kept) + 1] = ends
+        self.index = dict(zip((p for p, k in self.index.items() if k in chosen), range(len(kept))))
+        self.met_again[:] = False
 
     def __call__(self, pieces: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pieces, and the offsets of each piece's."""
         if len(self.index) > self.remembered:
-            self.forget(self.remembered // 2)
+            self.forget()
         coded = pc.dictionary_encode(pieces if isinstance(pieces, pa.Array) else pa.array(pieces, pa.string()))
-        different = coded.dictionary.to_pylist()
+        different = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = np.fromiter(map(self.index.get, different, itertools.repeat(-1)), np.int64, len(different))
         new = np.flatnonzero(known < 0)
+        self.met_again[known[known >= 0]] = True
         if len(new):
             first = len(self.index)
             self._add([different[k] for k in new])
@@ -81,6 +94,7 @@ class PieceCache:
             self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
         while n + len(new) + 1 > len(self.bounds):
             self.bounds = np.concatenate((self.bounds, np.zeros_like(self.bounds)))
+            self.met_again = np.concatenate((self.met_again, np.zeros_like(self.met_again)))
         self.ids[size:end] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, end - size)
         self.bounds[n + 1 : n + len(new) + 1] = size + np.cumsum(counts)
         self.index.update(zip(new, range(n, n + len(new))))
@@ -92,6 +106,7 @@ class ByteTokens:
     _of: dict[str, ByteTokens] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
