@@ -50,13 +50,13 @@ def build(ids: np.ndarray, doc_ids: np.ndarray, no_id: np.ndarray, lengths: np.n
     documents = [put(x.tobytes()) for x in (doc_ids.astype("<i8"), np.packbits(no_id), lengths.astype("<i8"))]
     now = ids.astype(np.uint16 if levels <= 16 else np.uint32)
     for k in range(levels - 1, -1, -1):
-        bit = (now >> k) & 1 == 1
+        bit = ((now >> now.dtype.type(k)) & now.dtype.type(1)).astype(bool)
         starts = range(0, len(now), FRAME_BITS)
         frames.append([put(np.packbits(bit[s : s + FRAME_BITS]).tobytes()) for s in starts])
         sums = [int(np.count_nonzero(bit[s : s + FRAME_BITS])) for s in starts]
         ones_before.append(np.concatenate(([0], np.cumsum(sums))).astype(int).tolist())
         zeros.append(len(now) - ones_before[-1][-1])
-        now = np.concatenate((now[~bit], now[bit]))
+        now = np.concatenate((np.compress(~bit, now), np.compress(bit, now)))
     head = json.dumps({"n": len(ids), "levels": levels, "frame_bits": FRAME_BITS, "documents": documents, "n_documents": len(lengths), "frames": frames, "ones_before": ones_before, "zeros": zeros}).encode()
     return b"".join((MAGIC, len(head).to_bytes(8, "little"), head, *body))
 
@@ -130,7 +130,8 @@ class WaveletFile:
 
     def count(self, symbol: int, low: int = 0, high: int | None = None) -> int:
         """How often symbol is among the ids low..high-1."""
-        first, end = self._range(symbol, low, self.n if high is None else high)
+        high = self.n if high is None else min(high, self.n)
+        first, end = self._range(symbol, min(low, high), high)
         return end - first
 
     def select(self, symbol: int, k: int) -> int:
@@ -160,8 +161,8 @@ class WaveletFile:
             bit = np.unpackbits(np.concatenate(parts), count=self.n).astype(bool) if parts else np.zeros(0, bool)
             above = np.empty_like(out)
             zeros = self.head["zeros"][level]
-            above[~bit], above[bit] = out[:zeros], out[zeros:]
-            above[bit] |= out.dtype.type(1 << (self.levels - 1 - level))
+            above[np.flatnonzero(~bit)] = out[:zeros]
+            above[np.flatnonzero(bit)] = out[zeros:] | out.dtype.type(1 << (self.levels - 1 - level))
             out = above
         return out
 
