@@ -13,9 +13,9 @@ recursion. Pages are rendered one by one, so ties, repeated rows and other colum
 
 from __future__ import annotations
 
-import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -63,12 +63,18 @@ def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("html")
     stack, at, end = [root], 0, len(page)
+    is_open: Counter[str] = Counter()  # so that a stack without the tag is not searched
+
+    def pop(down_to: int) -> None:
+        is_open.subtract(n.tag for n in stack[down_to:])
+        del stack[down_to:]
 
     def close(names: set[str] | frozenset[str], fences: set[str] | frozenset[str]) -> None:
+        if not any(is_open[n] for n in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             if stack[k].tag in names:
-                del stack[k:]
-                return
+                return pop(k)
             if stack[k].tag in fences:
                 return
 
@@ -85,7 +91,7 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if m["close"]:
-            if tag == "p" and not any(n.tag == "p" for n in stack[-8:]):
+            if tag == "p" and not is_open["p"]:
                 stack[-1].children.append(Node("p"))
             elif tag == "br":
                 stack[-1].children.append(Node("br"))
@@ -100,7 +106,7 @@ def parse(page: str) -> Node:
         if tag in BLOCK:
             close({"p"}, FENCE)
             if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
-                stack.pop()
+                pop(len(stack) - 1)
         if tag in IMPLIED_END:
             if tag in ("tr", "tbody", "thead", "tfoot"):
                 close({"td", "th"}, {"table"})
@@ -108,7 +114,7 @@ def parse(page: str) -> Node:
                 close({"tr"}, {"table"})
             close(*IMPLIED_END[tag])
         if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template"):
-            stack.pop()
+            pop(len(stack) - 1)
         seen = tag not in UNSEEN and not (said and ("hidden" in said or said.get("aria-hidden", "").lower() == "true" or _STYLE.search(said.get("style", "")) is not None))
         node = Node(tag, seen, said)
         stack[-1].children.append(node)
@@ -117,6 +123,7 @@ def parse(page: str) -> Node:
             at = stop.end() if stop else end
         elif tag not in VOID and not (rest.endswith("/") and tag in ("svg", "math")):
             stack.append(node)
+            is_open[tag] += 1
     return root
 
 
@@ -291,7 +298,3 @@ def extract_text(pages: DataFrame, keep: list[str], html_col: str = "html", out_
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, end - at) for k in range(len(names))), pa.array(texts, pa.string())], names=[*names, "_text"])
 
     return rows.mapInArrow(extract, ", ".join([*(f"{n} {kinds[n]}" for n in names), "_text string"])).toDF(*keep, out_col)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
