@@ -259,7 +259,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     many = clusters.join(nodes, "node").select("root", "node", "size", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
     sizes = many.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER_BLOCK, F.sum("size") / CLUSTER_SHINGLES)).alias("blocks"))
     many = many.join(sizes, "root").select("root", "blocks", F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("node").alias("_node"))
-    texts = slim.join(many, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
+    # Texts are shuffled whatever the other side's size: what a run moves then follows its input.
+    texts = slim.join(many.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
     sets = _sets(texts, words, whole=True).select("node", F.col("made").alias("shingles")).dropDuplicates(["node"])
     placed = _blocks(sets.join(many.select("root", "blocks", F.col("_node").alias("node")), "node"), "blocks")
     placed = placed.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").select("root", "p", "q", "node", "shingles")
@@ -278,7 +279,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Of rows that tie in id and text all stay: exact dedup comes before.
     """
     gone = near_duplicates(docs, id_col, text_col, words, percent).where("NOT kept").select(F.col("id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    gone = materialize(gone, "near-drop")
+    gone = materialize(gone, "near-drop").hint("merge")
     mark = free_name(docs.columns, "text_hash")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.withColumn(mark, F.xxhash64(text))
