@@ -198,22 +198,34 @@ def _fingerprint(runs: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64) * _U(0xD1B54A32D192ED03)).view(np.int64)
 
 
-def _sets(df: DataFrame, words: int, whole: bool) -> DataFrame:
-    """df (id, text_hash, text) to (id, text_hash, node, n_shingles, and the signature or the shingles as bytes)."""
+def _signed(df: DataFrame, words: int) -> DataFrame:
+    """df (id, text_hash, text) to (id, text_hash, node, n_shingles, sig)."""
     kind = dict(df.dtypes)["id"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, end, flat, offsets in text_blocks(batch, 2):
                 runs, bounds = shingles(Scan(flat, offsets, lower=True), words)
-                node = _fingerprint(runs, bounds)
-                if whole:
-                    made = pa.array([runs[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
-                else:
-                    made = pa.array([x.tobytes() for x in signatures(runs, bounds)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), batch.column(1).slice(at, end - at), pa.array(node), pa.array(np.diff(bounds)), made], names=["id", "text_hash", "node", "n_shingles", "made"])
+                sig = pa.array([x.tobytes() for x in signatures(runs, bounds)], pa.binary())
+                own = [batch.column(k).slice(at, end - at) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(_fingerprint(runs, bounds)), pa.array(np.diff(bounds)), sig], names=["id", "text_hash", "node", "n_shingles", "sig"])
 
-    return df.mapInArrow(scan, f"id {kind}, text_hash long, node long, n_shingles long, made binary")
+    return df.mapInArrow(scan, f"id {kind}, text_hash long, node long, n_shingles long, sig binary")
+
+
+def _shingled(df: DataFrame, words: int) -> DataFrame:
+    """df (root, blocks, node, text) to (root, blocks, node, shingles as bytes). Rows that repeat a node within a block of text are left out."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, end, flat, offsets in text_blocks(batch, 3):
+                runs, bounds = shingles(Scan(flat, offsets, lower=True), words)
+                first = np.unique(batch.column(2).slice(at, end - at).to_numpy(), return_index=True)[1]
+                sets = pa.array([runs[bounds[k] : bounds[k + 1]].tobytes() for k in first], pa.binary())
+                own = [batch.column(k).slice(at, end - at).take(pa.array(first)) for k in (0, 1, 2)]
+                yield pa.RecordBatch.from_arrays([*own, sets], names=["root", "blocks", "node", "shingles"])
+
+    return df.mapInArrow(scan, "root long, blocks long, node long, shingles binary")
 
 
 def _blocks(df: DataFrame, n: str) -> DataFrame:
@@ -251,18 +263,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     slim = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    made = materialize(_sets(slim, words, whole=False), "near-signatures")
+    made = materialize(_signed(slim, words), "near-signatures")
     order = F.struct(F.col("id").isNull().alias("no_id"), "id", "text_hash")
-    nodes = made.where("n_shingles > 0").groupBy("node").agg(F.min(order).alias("first"), F.first("made").alias("sig"), F.first("n_shingles").alias("size"))
+    nodes = made.where("n_shingles > 0").groupBy("node").agg(F.min(order).alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size"))
     nodes = materialize(nodes, "near-nodes")
     clusters = materialize(connected_components(_bucket_edges(nodes.select("node", "sig"))), "near-clusters")
     many = clusters.join(nodes, "node").select("root", "node", "size", F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash"))
     sizes = many.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CLUSTER_BLOCK, F.sum("size") / CLUSTER_SHINGLES)).alias("blocks"))
-    many = many.join(sizes, "root").select("root", "blocks", F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("node").alias("_node"))
+    many = many.join(sizes, "root").select("root", "blocks", "node", F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
     # Texts are shuffled whatever the other side's size: what a run moves then follows its input.
-    texts = slim.join(many.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left_semi")
-    sets = _sets(texts, words, whole=True).select("node", F.col("made").alias("shingles")).dropDuplicates(["node"])
-    placed = _blocks(sets.join(many.select("root", "blocks", F.col("_node").alias("node")), "node"), "blocks")
+    texts = slim.join(many.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    placed = _blocks(_shingled(texts.select("root", "blocks", "node", "text"), words), "blocks")
     placed = placed.repartition("root", "p", "q").sortWithinPartitions("root", "p", "q").select("root", "p", "q", "node", "shingles")
     links = connected_components(placed.mapInArrow(_links_in_clusters(percent), "u long, v long"))
     of = nodes.join(links, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
