@@ -7,7 +7,8 @@ white space as a browser does (not in pre), puts an empty line around paragraphs
 line for other blocks, marks list items with a dash or a number and indents nested ones, and aligns table cells in columns.
 
 Defined cases: null or empty html gives an empty text; text outside any tag counts; unclosed tags end with the page;
-bytes that are no markup (a lone <) are text; cells over 60 characters are not padded for; deep nesting needs no
+bytes that are no markup (a lone <, or a tag that the page ends before its '>') are text; a quote in a tag opens a string
+only right behind =, and only if another closes it; cells over 60 characters are not padded for; deep nesting needs no
 recursion. Pages are rendered one by one, so ties, repeated rows and other columns make no difference.
 """
 
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import text_lists
 
-_TOKEN = re.compile(r"<(?:!--(?P<comment>.*?)(?:-->|\Z)|(?P<close>/)?(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|(?P<other>[!?/][^>]*)>)", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_S = r"[ \t\n\r\f]"
+#: An attribute as HTML reads it: only a quote behind = opens a string, and only if another closes it.
+_PAIR = rf"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:{_S}*+={_S}*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+))?+)?+"""
+_TOKEN = re.compile(rf"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(?:(?P<close>/)?(?P<tag>[a-zA-Z][^ \t\n\r\f/>]*+)(?P<rest>(?:[ \t\n\r\f/]++|{_PAIR})*+)|[!?/][^>]*+)(?P<end>>|\Z))", re.S)
+_ATTRIBUTE = re.compile(_PAIR)
 _HIDING = re.compile(r"hidden|display|type|start", re.I)
 _STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
@@ -56,7 +60,10 @@ class Node:
 
 
 def _attributes(rest: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)}
+    said: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(rest):
+        said.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return said
 
 
 def parse(page: str) -> Node:
@@ -80,6 +87,8 @@ def parse(page: str) -> Node:
 
     while at < end:
         m = _TOKEN.search(page, at)
+        if m and m["end"] == "":
+            m = None
         text = page[at : m.start() if m else end]
         if text:
             stack[-1].children.append(html.unescape(text) if "&" in text else text)

@@ -93,6 +93,29 @@ def test_layout(page, text):
     assert page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<a href="x"">A</a> mid <a href="y"">B</a>', "A mid B"),
+        ("<p title=it's>don't lose this</p>", "don't lose this"),
+        ("<p title=a\"b>x</p><p 'c>y</p>", "x\n\ny"),
+        ('<p ="x>y</p>" z', 'y\n\n" z'),
+        ("<a title = 'x > y' rel=\"a>b\"hidden2=''>t</a>", "t"),
+        ('<p title="never closed>x</p>y', "x\n\ny"),
+        ("<p style='display:block' style='display:none'>yes</p><p hidden=\"\"class=x>no</p>", "yes"),
+        ("a<!-->b<!--->c<!-- no --!>d<!---->e<!-- > no -- > -->f<!-- no", "abcdef"),
+        ("</p title='>'>x</b '>y", "xy"),
+        ("<p>x <b", "x <b"),
+    ],
+)
+def test_tags_and_comments_end_where_browsers_end_them(page, text):
+    assert page_text(page) == text
+
+
+def test_unended_tags_take_linear_time():
+    assert page_text("x<a b=\">\"" * 50_000).startswith("x<a b=")
+
+
 def test_deep_and_long_pages_render():
     assert page_text("<div>" * 50_000 + "x") == "x"
     assert page_text("<ul><li>" * 3000 + "x").endswith("- x")
