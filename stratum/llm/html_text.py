@@ -9,7 +9,7 @@ line for other blocks, marks list items with a dash or a number and indents nest
 Defined cases: null or empty html gives an empty text; text outside any tag counts; unclosed tags end with the page;
 bytes that are no markup (a lone <, or a tag that the page ends before its '>') are text; a quote in a tag opens a string
 only right behind =, and only if another closes it; cells over 60 characters are not padded for; deep nesting needs no
-recursion. Pages are rendered one by one, so ties, repeated rows and other columns make no difference.
+recursion, and tables nested more than 32 deep keep their text but are laid out as blocks, a row a line. Pages are rendered one by one, so ties, repeated rows and other columns make no difference.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ IMPLIED_END = {
 FENCE = frozenset(("table", "td", "th", "button", "object", "caption"))
 END_FENCE = {"table": frozenset()} | dict.fromkeys(("td", "th", "tr", "tbody", "thead", "tfoot"), frozenset({"table"}))
 WIDEST_CELL = 60
+#: Tables nested deeper are laid out as blocks, so that no page exceeds the recursion limit.
+DEEPEST_TABLE = 32
 
 
 class Node:
@@ -149,6 +151,8 @@ class Layout:
 
     def write(self, text: str) -> None:
         words = _SPACE.sub(" ", text)
+        if not words:  # a reference to a control character is nothing
+            return
         if words == " ":
             self.space = self.space or bool(self.parts)
             return
@@ -193,7 +197,7 @@ def _cells(row: Node) -> Iterator[Node]:
     return (c for c in row.children if isinstance(c, Node) and c.seen and c.tag in ("td", "th"))
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node, depth: int) -> list[str]:
     """A table's rows as aligned lines; what stands between the rows comes first."""
     rows: list[Node] = []
     captions: list[str] = []
@@ -212,18 +216,18 @@ def _table(node: Node) -> list[str]:
         elif child.tag in ("td", "th"):
             rows.append(row := Node("tr"))
             row.children.append(child)
-        elif text := " ".join(render(child).split()):
+        elif text := " ".join(render(child, depth=depth).split()):
             captions.append(text)
-    grid = [[" ".join(render(c, inside=True).split()) for c in _cells(r)] for r in rows]
-    loose = [" ".join(" ".join(render(c) if isinstance(c, Node) else c for c in r.children if not (isinstance(c, Node) and c.tag in ("td", "th"))).split()) for r in rows]
+    grid = [[" ".join(render(c, True, depth).split()) for c in _cells(r)] for r in rows]
+    loose = [" ".join(" ".join(render(c, depth=depth) if isinstance(c, Node) else c for c in r.children if not (isinstance(c, Node) and c.tag in ("td", "th"))).split()) for r in rows]
     grid = [[*cells, *([x] if x else [])] for cells, x in zip(grid, loose)]
     grid = [r for r in grid if any(r)]
     widths = [max((len(r[k]) for r in grid if k < len(r) and len(r[k]) <= WIDEST_CELL), default=0) for k in range(max(map(len, grid), default=0))]
     return [*captions, *("  ".join(c.ljust(widths[k]) for k, c in enumerate(r)).rstrip() for r in grid)]
 
 
-def render(root: Node, inside: bool = False) -> str:
-    """The visible text of a node; inside: of its children, whatever the node is."""
+def render(root: Node, inside: bool = False, depth: int = 0) -> str:
+    """The visible text of a node; inside: of its children, whatever the node is; depth: of tables around it."""
     out = Layout()
     lists: list[list] = []  # [next number or None] of the open lists
     work: list[tuple] = [("in", root)]
@@ -243,9 +247,9 @@ def render(root: Node, inside: bool = False) -> str:
             if tag == "hr":
                 out.apart()
                 continue
-            if tag == "table" and not (inside and node is root):
+            if tag == "table" and depth < DEEPEST_TABLE:
                 out.apart()
-                for line in _table(node):
+                for line in _table(node, depth + 1):
                     out.parts = [line]
                     out.line()
                 out.apart()

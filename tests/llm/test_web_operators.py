@@ -122,6 +122,16 @@ def test_deep_and_long_pages_render():
     assert len(page_text("<p>word " * 100_000)) == 4 * 100_000 + 2 * 99_999
 
 
+def test_references_to_nothing_and_nested_tables_render(spark):
+    assert [page_text(p) for p in ("<td>&#11;</td>", "<p>&#1;</p>", "a&#1;<b>&#11;</b> b")] == ["", "", "a b"]
+    open_tables = "".join(f"<table><tr><td>{k}<td>x{k}" for k in range(2000))
+    closed = "<table><tr><td>a" * 5000 + "</td></tr></table>b" * 5000
+    assert page_text(open_tables).split() == [w for k in range(2000) for w in (str(k), f"x{k}")]
+    assert Counter(page_text(closed).replace("\n", "").replace(" ", "")) == {"a": 5000, "b": 5000}
+    rows = spark.createDataFrame([(1, "<p>&#1;</p>"), (2, open_tables), (3, "<p>x")], "page_id long, html string")
+    assert {r.page_id: len(r.text.split()) for r in extract_text(rows, ["page_id"]).collect()} == {1: 0, 2: 4000, 3: 1}
+
+
 def test_extract_keeps_other_columns(spark):
     rows = spark.createDataFrame([(1, "a", "<p>x"), (None, None, None)], "page_id long, text string, html string")
     assert sorted(extract_text(rows, ["page_id", "text"], out_col="shown").collect(), key=str) == sorted([(1, "a", "x"), (None, None, "")], key=str)
