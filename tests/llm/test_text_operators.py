@@ -1,7 +1,13 @@
 """Every operator on texts with holes, ties and odd names, against brute-force versions."""
 
+import argparse
+import base64
 import hashlib
+import inspect
+import json.decoder
 import re
+import shutil
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -99,6 +105,38 @@ def test_quality_chunks_of_a_long_text():
     assert found["bad_chunk_share"][0] > 0.5 and found["outside_band"][0]
 
 
+def outside(texts):
+    flat, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return compression(flat, offsets, CompressionLimits())["outside_band"]
+
+
+def noise(kind, size, seed):
+    raw = np.random.default_rng(seed).bytes(size)
+    letters = {"hex": raw.hex().encode(), "base64": base64.b64encode(raw), "letters": bytes(97 + b % 26 for b in raw if b < 234)}[kind]
+    return b" ".join(letters[k : k + 8] for k in range(0, len(letters), 8))[:size]
+
+
+@pytest.mark.parametrize(("kind", "sizes"), [("base64", (200, 400, 800, 2000, 8000, 40_000)), ("letters", (1500, 2000, 2999, 5000, 20_000, 40_000)), ("hex", (3000, 4000, 6000, 8000, 20_000, 40_000))])
+def test_quality_bands_reject_noise_of_few_letters(kind, sizes):
+    assert outside([noise(kind, size, seed) for size in sizes for seed in range(5)]).all()
+
+
+def test_quality_bands_keep_good_prose_code_and_other_scripts(spark):
+    good = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id")
+    prose_ = [r.text.encode() for r in judge_texts(good, ["text"]).where("not base_failed").collect()]
+    assert len(prose_) > 200 and not outside(prose_).any()
+    code = [inspect.getsource(m).encode() for m in (argparse, inspect, json.decoder, shutil, textwrap)]
+    assert not outside([*code, *(c[2000:4500] for c in code)]).any()
+    r = np.random.default_rng(1)
+    ideographs = "".join(map(chr, 0x4E00 + np.minimum(2999, r.zipf(1.25, 3000) % 3000)))
+    assert not outside([ideographs.encode()]).any()
+
+
+def test_quality_rejects_a_text_of_a_third_noise():
+    text = LONG[:40_000].encode() + noise("base64", 20_000, 1)
+    assert outside([text]).all()
+
+
 # Exact dedup
 
 
