@@ -1,10 +1,13 @@
 """Visible text of HTML pages, laid out: a small tree builder with implied tags, and a renderer of blocks.
 
 The builder closes what HTML closes by itself (p before a block, li before li, cells and rows of tables, options) and
-ignores end tags without a start. Not visible are the head, scripts, styles, templates, form values, comments, and
+ignores end tags without a start. Not visible are the head, scripts, styles, templates, form values, comments,
+titles, descriptions, definitions and annotations in svg and math, closed dialogs, the fallback content of object, canvas,
+audio, video, iframe, noscript, noembed and noframes, and
 elements with `hidden`, `aria-hidden=true`, or a style of display:none or visibility:hidden. The renderer collapses
 white space as a browser does (not in pre), puts an empty line around paragraphs, headings, lists and tables, begins a
-line for other blocks, marks list items with a dash or a number and indents nested ones, and aligns table cells in columns.
+line for other blocks, marks list items with a dash or a number and indents nested ones, and aligns table cells in columns;
+in a row with a cell of several lines each cell has lines of its own.
 
 Defined cases: null or empty html gives an empty text; text outside any tag counts; unclosed tags end with the page;
 bytes that are no markup (a lone <, or a tag that the page ends before its '>') are text; a quote in a tag opens a string
@@ -30,15 +33,21 @@ _S = r"[ \t\n\r\f]"
 _PAIR = rf"""([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:{_S}*+={_S}*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+))?+)?+"""
 _TOKEN = re.compile(rf"<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(?:(?P<close>/)?(?P<tag>[a-zA-Z][^ \t\n\r\f/>]*+)(?P<rest>(?:[ \t\n\r\f/]++|{_PAIR})*+)|[!?/][^>]*+)(?P<end>>|\Z))", re.S)
 _ATTRIBUTE = re.compile(_PAIR)
-_HIDING = re.compile(r"hidden|display|type|start", re.I)
+_HIDING = re.compile(r"hidden|display|type|start|open", re.I)
 _STYLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style template noscript textarea title select option datalist iframe noembed noframes object svg math canvas audio video map dialog".split())
-APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr menu".split())
-BLOCK = APART | frozenset("html body div section article header footer nav main aside address form li dt dd tr figcaption center details summary hgroup search legend caption optgroup".split())
+UNSEEN = frozenset("head script style template noscript textarea title select option datalist iframe noembed noframes object canvas audio video".split())
+#: Not drawn inside svg and math.
+UNDRAWN = frozenset("title desc defs metadata symbol clippath mask pattern marker annotation annotation-xml mphantom".split())
+#: HTML again inside svg and math.
+ISLANDS = ("foreignobject", "desc", "annotation-xml", "mi", "mo", "mn", "ms", "mtext")
+#: What stands in these is drawn apart, so a space divides it.
+SPREAD = frozenset("mfrac mroot msub msup msubsup munder mover munderover mtable mtr".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre xmp figure fieldset hr menu".split())
+BLOCK = APART | frozenset("html body div section article header footer nav main aside address form li dt dd tr figcaption center details summary hgroup search legend caption optgroup dialog".split())
 #: Opening the key closes an open element of the value, if none of the fences stands between.
 IMPLIED_END = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "optgroup": ({"option", "optgroup"}, {"select"}),
@@ -114,6 +123,10 @@ def parse(page: str) -> Node:
             said = _attributes(rest)
         if tag == "html":
             continue
+        drawn = is_open["svg"] + is_open["math"]
+        foreign = drawn > 0 and drawn > sum(is_open[n] for n in ISLANDS)
+        if foreign and (tag in ("text", "foreignobject") or stack[-1].tag in SPREAD):
+            stack[-1].children.append(" ")
         if tag in BLOCK:
             close({"p"}, FENCE)
             if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
@@ -127,12 +140,17 @@ def parse(page: str) -> Node:
         if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "base", "style", "script", "noscript", "template"):
             pop(len(stack) - 1)
         seen = tag not in UNSEEN and not (said and ("hidden" in said or said.get("aria-hidden", "").lower() == "true" or _STYLE.search(said.get("style", "")) is not None))
+        seen = seen and not (foreign and tag in UNDRAWN) and (tag != "dialog" or "open" in said)
         node = Node(tag, seen, said)
         stack[-1].children.append(node)
+        if rest.endswith("/") and (foreign or tag in ("svg", "math")):
+            continue
         if tag in RAW:
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            if tag == "xmp":
+                node.children.append(page[at : stop.start() if stop else end])
             at = stop.end() if stop else end
-        elif tag not in VOID and not (rest.endswith("/") and tag in ("svg", "math")):
+        elif tag not in VOID:
             stack.append(node)
             is_open[tag] += 1
     return root
@@ -197,6 +215,11 @@ def _cells(row: Node) -> Iterator[Node]:
     return (c for c in row.children if isinstance(c, Node) and c.seen and c.tag in ("td", "th"))
 
 
+def _cell(text: str) -> str:
+    """A cell's lines as they are, or its only line without runs of spaces."""
+    return text if "\n" in text else " ".join(text.split())
+
+
 def _table(node: Node, depth: int) -> list[str]:
     """A table's rows as aligned lines; what stands between the rows comes first."""
     rows: list[Node] = []
@@ -218,12 +241,18 @@ def _table(node: Node, depth: int) -> list[str]:
             row.children.append(child)
         elif text := " ".join(render(child, depth=depth).split()):
             captions.append(text)
-    grid = [[" ".join(render(c, True, depth).split()) for c in _cells(r)] for r in rows]
+    grid = [[_cell(render(c, True, depth)) for c in _cells(r)] for r in rows]
     loose = [" ".join(" ".join(render(c, depth=depth) if isinstance(c, Node) else c for c in r.children if not (isinstance(c, Node) and c.tag in ("td", "th"))).split()) for r in rows]
     grid = [[*cells, *([x] if x else [])] for cells, x in zip(grid, loose)]
     grid = [r for r in grid if any(r)]
-    widths = [max((len(r[k]) for r in grid if k < len(r) and len(r[k]) <= WIDEST_CELL), default=0) for k in range(max(map(len, grid), default=0))]
-    return [*captions, *("  ".join(c.ljust(widths[k]) for k, c in enumerate(r)).rstrip() for r in grid)]
+    widths = [max((len(r[k]) for r in grid if k < len(r) and len(r[k]) <= WIDEST_CELL and "\n" not in r[k]), default=0) for k in range(max(map(len, grid), default=0))]
+    lines = captions
+    for r in grid:
+        if any("\n" in c for c in r):
+            lines += [line for c in r if c for line in c.split("\n")]
+        else:
+            lines.append("  ".join(c.ljust(widths[k]) for k, c in enumerate(r)).rstrip())
+    return lines
 
 
 def render(root: Node, inside: bool = False, depth: int = 0) -> str:
@@ -274,7 +303,7 @@ def render(root: Node, inside: bool = False, depth: int = 0) -> str:
                 out.apart() if not out.mark else out.line()
             elif tag in BLOCK:
                 out.line()
-            if tag == "pre":
+            if tag in ("pre", "xmp"):
                 pre += 1
             work.append((state, node))
             work += [("in", c) for c in reversed(node.children)]

@@ -112,6 +112,21 @@ def test_tags_and_comments_end_where_browsers_end_them(page, text):
     assert page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math> b", "a x= 1 2 b"),
+        ("<svg><title>no</title><defs><text>no</text></defs><path/><text>A</text><text>B</text></svg> c", "A B c"),
+        ("<svg><defs/><style/><text>A</text></svg>c", "Ac"),
+        ("<map><p>m</p></map><dialog>no</dialog><dialog open>d</dialog>e", "m\n\nd\ne"),
+        ("<xmp><b>x</b>\n  y</xmp>z", "<b>x</b>\n  y\n\nz"),
+        ("<table><tr><td><p>a<p>b<ul><li>c</ul><td>d<tr><td>e<td>f</table>", "a\n\nb\n\n- c\nd\ne  f"),
+    ],
+)
+def test_visible_elements_and_blocks_in_cells_are_kept(page, text):
+    assert page_text(page) == text
+
+
 def test_unended_tags_take_linear_time():
     assert page_text("x<a b=\">\"" * 50_000).startswith("x<a b=")
 
