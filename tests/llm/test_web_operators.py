@@ -10,6 +10,7 @@ from html.parser import HTMLParser
 
 import pyarrow.fs as pafs
 import pytest
+from pyspark.sql import functions as F
 
 from stratum.llm.html_text import extract_text, page_text
 from stratum.llm.warc import coalesced, parse_record, payload_digest, read_records, write_archives
@@ -54,12 +55,33 @@ def test_any_part_of_the_index_is_enough(pages):
 def test_damage_is_noticed():
     from stratum.llm.warc import record_bytes
 
-    record = record_bytes(1, "u", b"text", payload_digest(b"text"), None, False, "1970-01-01T00:00:00Z")
+    record = record_bytes(1, "u", b"text", 4, payload_digest(b"text"), None, "1970-01-01T00:00:00Z")
     assert parse_record(record)["payload"] == b"text"
     with pytest.raises(ValueError, match="payload"):
         parse_record(record.replace(b"text\r\n\r\n", b"tent\r\n\r\n"))
 
 
+@pytest.mark.parametrize("support", [0.001, 0.9])
+def test_half_of_the_pages_are_equal(spark, support):
+    """A hot payload, found as a heavy hitter or left to the joins, with tied rows in it; reads use several tasks."""
+    rows = [(k if k % 10 else 7, f"u{k % 3}", "<p>same" if k % 2 else f"<p>{k // 4}") for k in range(1, 2001)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("key", F.lit(1)).repartition(8)
+    index = write_archives(pages, support=support)
+    records = read_records(index)
+    assert records.rdd.getNumPartitions() >= 4
+    got = [(r.id, r.payload_digest, r.record_type, r.refers_to) for r in records.collect()]
+    first, want = {}, Counter()
+    for i, _, h in sorted(rows):
+        first.setdefault(h, i)
+    seen = set()
+    for i, _, h in sorted(rows):
+        response = first[h] == i and h not in seen
+        seen.add(h)
+        want[i, payload_digest(h.encode()), "response" if response else "revisit", None if response else first[h]] += 1
+    assert Counter(got) == want
+    assert sum(r.record_type == "response" and bool(r.payload) for r in records.collect()) == len(first)
+
+
 def test_ranges_are_joined_when_close():
     assert [(a, n, w) for a, n, w in coalesced([(0, 10), (10, 5), (100, 1), (200_000, 7), (9_000_000, 1)])] == [(0, 101, [0, 1, 2]), (200_000, 7, [3]), (9_000_000, 1, [4])]
 
