@@ -3,9 +3,9 @@
 A document is its ids and an end id. Only one longer than a sequence is cut, into whole sequences behind a first piece
 with the rest. Packing needs lengths only, and there are at most `capacity` different ones: so the plan is made on the
 driver from the histogram of lengths, whatever the number of documents, and says for each run of pieces of one length
-which sequences they go to. For the largest length left, singles, pairs and triples of lengths whose sum is exactly the
-gap are looked up and taken as often as the counts allow. Lengths without such a complement are residuals: the largest
-length that fits goes into the gap (the best fit), and the smaller gap is looked up again.
+which sequences they go to. An index of sums says for the gap behind the largest length left which single, pair or triple
+of lengths fills it exactly; that combination is consumed as often as the counts allow. Lengths without such a complement
+are residuals: the largest length that fits goes into the gap (the best fit), and the smaller gap is looked up again.
 
 Pieces are numbered by a range partitioning over (length, id, piece), so a length that a third of all pieces share is
 no hot key, and each piece finds its place by binary search in the plan.
@@ -33,67 +33,110 @@ from .sharding import number_rows
 CAPACITY, END_ID = 2048, 0
 
 
-def _pair(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """The two lengths with sum gap that can be taken most often."""
-    if gap < 2:
+class SumIndex:
+    """Sums of one, two and three lengths, under counts of how many pieces of each length are left.
+
+    Singles are the counts themselves. For every sum, `larger` holds the larger length of the pair that can be taken
+    most often (-1: no pair is left), and a triple is a single whose rest to the sum has a pair. Counts only fall, so a sum
+    that has lost its pairs never gets one again, and an entry is looked at anew only when it is asked for.
+    """
+
+    def __init__(self, counts: np.ndarray):
+        self.left = counts.astype(np.int64).copy()
+        self.larger = np.full(len(counts), -1, np.int64)
+        for total in range(2, len(counts)):
+            self._find(total)
+
+    def _times(self, total: int, left: np.ndarray) -> np.ndarray:
+        """How often each pair (total - a, a), a = 1, 2, ..., can be taken."""
+        a = np.arange(1, total // 2 + 1)
+        times = np.minimum(left[a], left[total - a])
+        if total % 2 == 0:
+            times[-1] = left[total // 2] // 2
+        return times
+
+    def _find(self, total: int) -> None:
+        times = self._times(total, self.left)
+        k = int(np.argmax(times))
+        self.larger[total] = total - k - 1 if times[k] > 0 else -1
+
+    def _pair(self, total: int, taken: tuple[int, ...]) -> tuple[int, int] | None:
+        """A pair with that sum, besides the lengths already taken."""
+        if total < 2 or self.larger[total] < 0:
+            return None
+        self._find(total)
+        a = int(self.larger[total])
+        if a < 0:
+            return None
+        if taken.count(a) or taken.count(total - a):  # the counts may not hold both
+            left = self.left.copy()
+            np.subtract.at(left, list(taken), 1)
+            times = self._times(total, np.maximum(left, 0))
+            k = int(np.argmax(times))
+            return (total - k - 1, k + 1) if times[k] > 0 else None
+        return a, total - a
+
+    def complement(self, gap: int, taken: tuple[int, ...] = (), widest: int = 3) -> tuple[int, ...] | None:
+        """Up to `widest` (1 to 3) lengths whose sum is exactly gap, besides those taken; none for a gap of 0."""
+        if gap == 0:
+            return ()
+        if self.left[gap] > taken.count(gap):
+            return (gap,)
+        if widest == 1:
+            return None
+        if found := self._pair(gap, taken):
+            return found
+        if widest == 2:
+            return None
+        for c in np.flatnonzero((self.left[1:gap] > 0) & (self.larger[gap - 1 : 0 : -1] >= 0))[::-1] + 1:
+            c = int(c)
+            if self.left[c] > taken.count(c) and (found := self._pair(gap - c, (*taken, c))):
+                return (c, *found)
         return None
-    a = np.arange(1, gap // 2 + 1)
-    times = np.minimum(left[a], left[gap - a])
-    if gap % 2 == 0:
-        times[-1] = left[gap // 2] // 2
-    k = int(np.argmax(times))
-    return (gap - int(a[k]), int(a[k])) if times[k] > 0 else None
-
-
-def complement(gap: int, left: np.ndarray) -> tuple[int, ...] | None:
-    """One, two or three lengths, of which left has enough, whose sum is exactly gap."""
-    if gap == 0:
-        return ()
-    if left[gap] > 0:
-        return (gap,)
-    if found := _pair(gap, left):
-        return found
-    for c in np.flatnonzero(left[:gap])[::-1]:
-        left[c] -= 1
-        found = _pair(gap - int(c), left)
-        left[c] += 1
-        if found:
-            return (int(c), *found)
-    return None
+
+    def largest(self, most: int, taken: tuple[int, ...]) -> int:
+        """The largest length up to most of which a piece is left, or 0."""
+        for length in np.flatnonzero(self.left[: most + 1])[::-1]:
+            if self.left[length] > taken.count(int(length)):
+                return int(length)
+        return 0
+
+    def take(self, pattern: tuple[int, ...]) -> int:
+        """Takes a pattern as often as the counts allow; returns how often."""
+        lengths, need = np.unique(pattern, return_counts=True)
+        times = int((self.left[lengths] // need).min())
+        self.left[lengths] -= need * times
+        return times
 
 
 def plan_patterns(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Lengths that share a sequence, and how many sequences are filled so; counts[l]: pieces of length l."""
-    left, patterns = counts.astype(np.int64).copy(), []
+    """Lengths that share a sequence, and how many sequences are filled so; counts[l]: pieces of length l.
+
+    Where pieces over half a sequence abound, pairs and triples use up small pieces of which each could close a sequence
+    of its own; so a plan that consumes only single complements is made too, and the one with fewer sequences is taken.
+    """
+    return min((_patterns(counts, capacity, widest) for widest in (3, 1)), key=lambda plan: sum(n for _, n in plan))
 
-    def take(pattern: list[int]) -> None:
-        lengths, need = np.unique(pattern, return_counts=True)
-        times = int((left[lengths] // need).min())
-        left[lengths] -= need * times
-        patterns.append((tuple(sorted(pattern, reverse=True)), times))
 
+def _patterns(counts: np.ndarray, capacity: int, widest: int) -> list[tuple[tuple[int, ...], int]]:
+    sums = SumIndex(counts)
+    patterns: list[tuple[tuple[int, ...], int]] = []
     for length in range(capacity, 0, -1):
-        while left[length] > 0:
-            left[length] -= 1
-            found = complement(capacity - length, left)
-            left[length] += 1
-            if found is None:
-                break
-            take([length, *found])
-    while (rest := np.flatnonzero(left)).size:
-        pattern, free = [int(rest[-1])], left.copy()
-        free[pattern[0]] -= 1
+        while sums.left[length] > 0 and (found := sums.complement(capacity - length, (length,), widest)) is not None:
+            pattern = (length, *found)
+            patterns.append((pattern, sums.take(pattern)))
+    while length := sums.largest(capacity, ()):  # residuals: the best fit, then the smaller gap is looked up
+        pattern = (length,)
         while gap := capacity - sum(pattern):
-            more = complement(gap, free)
+            more = sums.complement(gap, pattern, widest)
             if more is None:
-                fits = np.flatnonzero(free[: gap + 1])
-                if not fits.size:
+                best = sums.largest(gap, pattern)
+                if not best:
                     break
-                more = (int(fits[-1]),)
+                more = (best,)
             pattern += more
-            np.subtract.at(free, list(more), 1)
-        take(pattern)
-    return patterns
+        patterns.append((pattern, sums.take(pattern)))
+    return [(tuple(sorted(pattern, reverse=True)), times) for pattern, times in patterns]
 
 
 @dataclass(frozen=True)

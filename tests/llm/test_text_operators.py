@@ -8,17 +8,23 @@ import json.decoder
 import re
 import shutil
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pytest
+import zstandard
+from hypothesis import given
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratum.llm.byte_tokens import ByteTokens, public_path
 from stratum.llm.exact_dedup import drop_exact_duplicates, exact_groups
 from stratum.llm.line_dedup import remove_boilerplate
 from stratum.llm.near_dup import drop_near_duplicates, near_duplicates
-from stratum.llm.packing import complement, make_plan, pack_documents, packed_sequences, plan_patterns
+from stratum.llm.packing import SumIndex, make_plan, pack_documents, packed_sequences, plan_patterns
 from stratum.llm.quality import base_counts, compression, CompressionLimits, judge_texts, keep_good
 from stratum.llm.sharding import permute, row_of, shard_documents
 from stratum.llm.wavelet import build, find_token, open_shard, read_documents, write_shards
@@ -306,9 +312,36 @@ def test_plan_uses_exact_complements_and_is_small():
     assert sum(t for _, t in patterns) <= -(-int((np.arange(101) * counts).sum()) // 100) + 2
     left = np.zeros(101, np.int64)
     left[[3, 5, 9]] = 1
-    assert [sorted(complement(g, left) or ()) for g in (9, 8, 17, 6, 0)] == [[9], [3, 5], [3, 5, 9], [], []]
+    assert [sorted(SumIndex(left).complement(g) or ()) for g in (9, 8, 17, 6, 0)] == [[9], [3, 5], [3, 5, 9], [], []]
     left[5] = 0
-    assert complement(6, left) is None  # 3 is there once only
+    sums = SumIndex(left)
+    assert sums.complement(6) is None and sums.complement(3) == (3,)  # 3 is there once only
+    assert sums.complement(12, (3,)) is None and sorted(sums.complement(12)) == [3, 9] and sums.take((3, 9)) == 1
+    assert sums.complement(12) is None and not sums.left.any()
+
+
+@given(st.lists(st.integers(0, 4), min_size=12, max_size=12), st.integers(1, 40), st.lists(st.integers(1, 12), max_size=2))
+def test_sum_index_finds_what_enumeration_finds(counts, gap, taken):
+    left = np.zeros(41, np.int64)
+    left[1:13] = counts
+    left[list(taken)] = np.maximum(left[list(taken)], taken.count(taken[0]) if taken else 0)
+    free = left.copy()
+    np.subtract.at(free, taken, 1)
+    pieces = [k for k in range(41) for _ in range(min(3, free[k]))]
+    exists = any(sum(c) == gap for n in (1, 2, 3) for c in set(combinations(pieces, n)))
+    found = SumIndex(left).complement(gap, tuple(taken))
+    assert (found is not None) == exists
+    assert found is None or sum(found) == gap and all(found.count(k) <= free[k] for k in found)
+
+
+def test_plan_of_many_lengths_is_quick():
+    r = np.random.default_rng(5)
+    for counts in (np.bincount(np.minimum(2048, r.lognormal(6, 1.2, 10**6).astype(int) + 1), minlength=2049), np.bincount(r.integers(1, 2049, 3000), minlength=2049)):
+        began = time.process_time()
+        patterns = plan_patterns(counts, 2048)
+        assert time.process_time() - began < 5
+        least = max(-(-int((np.arange(2049) * counts).sum()) // 2048), int(counts[1025:].sum()))
+        assert sum(t for _, t in patterns) <= 1.01 * least
 
 
 def test_plan_places_numbers_once():
@@ -335,6 +368,7 @@ def test_wavelet_matrix_answers_like_the_list(tmp_path):
             where = np.flatnonzero(ids == symbol)
             assert shard.count(int(symbol)) == len(where) and shard.count(int(symbol), 3, 50) == int((ids[3:50] == symbol).sum())
             assert [shard.select(int(symbol), k) for k in range(min(5, len(where)))] == where[:5].tolist()
+            assert (shard.occurrences(int(symbol)) == where).all() and (shard.occurrences(int(symbol), 3) == where[:3]).all()
 
 
 def test_wavelet_across_frames(tmp_path, monkeypatch):
@@ -347,6 +381,7 @@ def test_wavelet_across_frames(tmp_path, monkeypatch):
     where = np.flatnonzero(ids == 4)
     assert (shard.decode() == ids).all() and [shard.access(k) for k in range(0, 1000, 13)] == ids[::13].tolist()
     assert [shard.select(4, k) for k in range(len(where))] == where.tolist()
+    assert (shard.occurrences(4) == where).all()
 
 
 def test_wavelet_shards_hold_all_documents_in_order(docs, empty, monkeypatch):
@@ -361,6 +396,7 @@ def test_wavelet_shards_hold_all_documents_in_order(docs, empty, monkeypatch):
     assert Counter((r.id, tuple(r.ids)) for r in got) == Counter((i, (*library_ids("byte_bpe_50k.json", t), 0)) for i, t, *_ in ROWS)
     places = sorted(p for r in find_token(manifest, 0).collect() for p in r.places)
     assert places == [k for k, x in enumerate(x for r in got for x in r.ids) if x == 0]
+    assert find_token(manifest, 0).rdd.getNumPartitions() == read_documents(manifest).rdd.getNumPartitions() == 4
     assert read_documents(write_shards(empty, path)).count() == 0
 
 
@@ -445,3 +481,40 @@ def test_columns_with_the_operators_own_names_are_carried_along(docs):
     out = remove_boilerplate(odd, 2)
     assert out.columns == [*odd.columns, "n_lines_", "n_removed"] and out.count() == len(ROWS)
     assert exact_groups(odd).count() == near_duplicates(odd).count() == shard_documents(odd).count() == len(ROWS)
+    dotted = docs.select("text", "source", F.col("doc_id").alias("the.id"))
+    for kept in (drop_exact_duplicates(dotted, "the.id"), drop_near_duplicates(dotted, "the.id"), keep_good(dotted), remove_boilerplate(dotted, 2, "the.id")):
+        assert kept.columns[:3] == dotted.columns and kept.count() > 0
+    judged = judge_texts(odd, ["kept", "doc_id"])
+    assert judged.columns[:2] == ["kept", "doc_id"] and judged.columns.count("kept") == 1 and "kept_" in judged.columns
+    assert Counter((r.doc_id, r.kept) for r in judged.collect()) == Counter((r.doc_id, r.source) for r in odd.collect())
+
+
+def test_quality_of_an_empty_table(empty):
+    assert judge_texts(empty, ["doc_id"]).count() == keep_good(empty).count() == 0
+    assert judge_texts(empty, ["doc_id"]).columns[:2] == ["doc_id", "n_words"]
+
+
+def brute_outside(text, limits):
+    """The bands as the docstring states them, one text at a time."""
+    data = text.encode()
+
+    def bad(piece):
+        fits = [b for b in limits.bands if b.from_bytes <= len(piece)]
+        if not fits or not piece:
+            return False
+        ratio = len(zstandard.ZstdCompressor(level=limits.level).compress(piece)) / len(piece)
+        other = sum(x >= 128 for x in piece) * 4 > len(piece)
+        return ratio < fits[-1].low or ratio > (fits[-1].high_other if other else fits[-1].high)
+
+    chunks = [data[k : k + limits.chunk] for k in range(0, len(data), limits.chunk)]
+    return bad(data) or sum(len(c) for c in chunks if bad(c)) > limits.bad_chunks * len(data)
+
+
+def test_quality_verdicts_equal_brute_force(spark, docs):
+    """Every verdict over the given documents and odd texts, against the bands computed one by one."""
+    limits = CompressionLimits()
+    real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = judge_texts(real.unionByName(docs.select("doc_id", "text")), ["text"]).collect()
+    assert len(rows) > 1000
+    for r in rows:
+        assert r.kept == (not r.base_failed and not brute_outside(r.text or "", limits))
