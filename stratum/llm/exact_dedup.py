@@ -57,7 +57,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     digest, known = free_name(docs.columns, "text_sha256"), free_name(docs.columns, "copy_number")
     rows = docs.withColumn(digest, text_digest(F.col(f"`{text_col}`")))
     gone, tied = groups.where("NOT _kept"), groups.where("_kept AND _n > 1")
-    match = lambda g: rows[id_col].eqNullSafe(g["_id"]) & (rows[digest] == g["_digest"])
+    match = lambda g: rows[f"`{id_col}`"].eqNullSafe(g["_id"]) & (rows[digest] == g["_digest"])
     # Shuffled whatever its size: what a run moves then follows its input.
     gone, tied = gone.hint("merge"), tied.hint("merge")
     out = rows.join(gone, match(gone), "left_anti")

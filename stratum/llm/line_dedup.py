@@ -63,7 +63,7 @@ def remove_boilerplate(docs: DataFrame, sites: int = 5, id_col: str = "doc_id",
     text = F.col(f"`{text_col}`")
     rows = docs.withColumn(mark, F.xxhash64(text.cast("string")))
     # Shuffled whatever its size: what a run moves then follows its input.
-    out = rows.join(hits.hint("merge"), rows[id_col].eqNullSafe(hits["_id"]) & (rows[mark] == hits["_hash"]), "left")
+    out = rows.join(hits.hint("merge"), rows[f"`{id_col}`"].eqNullSafe(hits["_id"]) & (rows[mark] == hits["_hash"]), "left")
     all_lines = _lines(text)
     kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), hits["_gone"])
     # Positions come in ascending order from the sequence, so the lines stay in their order.

@@ -295,4 +295,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     mark = free_name(docs.columns, "text_hash")
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.withColumn(mark, F.xxhash64(text))
-    return rows.join(gone, rows[id_col].eqNullSafe(gone["_gone"]) & (rows[mark] == gone["_hash"]), "left_anti").drop(mark)
+    return rows.join(gone, rows[f"`{id_col}`"].eqNullSafe(gone["_gone"]) & (rows[mark] == gone["_hash"]), "left_anti").drop(mark)

@@ -13,7 +13,8 @@ compress far better than prose; README has the misses and false rejections. The
 texts and chunks with more than a quarter of other bytes (other scripts) are held against `high_other`.
 
 Defined cases: a null text counts as empty; an empty text, or one shorter than the first band, has no ratio to fail
-(the base rules judge it); rows are judged one by one, so ties, repeated rows and other columns make no difference.
+(the base rules judge it); rows are judged one by one, so ties and repeated rows make no difference; an empty table gives
+an empty result; a new column gets underscores behind its name where a kept column has that name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_blocks
+from .common import free_name, text_blocks
 from .textscan import HEAD, Scan, repeated, run_starts, salted, windows
 
 SYMBOLS = np.zeros(256, bool)
@@ -128,7 +129,10 @@ def judge_texts(df: DataFrame, keep: list[str], text_col: str = "text", limits:
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, end - at) for k in range(len(names))), *new], names=[*names, *(x.split()[0] for x in VERDICT.split(", "))])
 
     out = rows.mapInArrow(judge, ", ".join([*(f"{n} {kinds[n]}" for n in names), VERDICT]))
-    return out.toDF(*keep, *(x.split()[0] for x in VERDICT.split(", ")))
+    taken = list(keep)
+    for name in (x.split()[0] for x in VERDICT.split(", ")):
+        taken.append(free_name(taken, name))
+    return out.toDF(*taken)
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", limits: CompressionLimits = CompressionLimits()) -> DataFrame:

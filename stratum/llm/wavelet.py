@@ -6,7 +6,7 @@ a 1. A plane is cut into frames that are compressed one by one, and the head of
 and how many ones come before it. So a reader gets any id, counts an id in any stretch, or finds its k-th occurrence
 from a few frames of each plane. The number of levels follows the largest id of the shard.
 
-Defined cases: a null text counts as empty and is one end id; null ids come first; rows that tie in their id are
+Defined cases: ids of documents are integers; a null text counts as empty and is one end id; null ids come first; rows that tie in their id are
 ordered by their text's hash; an empty table gives no file and an empty result.
 """
 
@@ -139,19 +139,31 @@ class WaveletFile:
         first, end = self._range(symbol, 0, self.n)
         if not 0 <= k < end - first:
             raise IndexError(k)
-        at = first + k
+        return int(self._up(symbol, np.asarray([first + k]))[0])
+
+    def occurrences(self, symbol: int, most: int | None = None) -> np.ndarray:
+        """Where symbol occurs, in ascending order: all places, or the first `most`."""
+        first, end = self._range(symbol, 0, self.n)
+        return self._up(symbol, np.arange(first, end if most is None else min(end, first + most)))
+
+    def _up(self, symbol: int, at: np.ndarray) -> np.ndarray:
+        """From places of symbol below the last plane, ascending, to places in the ids."""
         for level in range(self.levels - 1, -1, -1):
-            at = self._place(level, at, symbol >> (self.levels - 1 - level) & 1)
+            at = self._places(level, at, symbol >> (self.levels - 1 - level) & 1)
         return at
 
-    def _place(self, level: int, at: int, bit: int) -> int:
-        """Where, in a plane, the bit stands that went to place at below it."""
+    def _places(self, level: int, at: np.ndarray, bit: int) -> np.ndarray:
+        """Where, in a plane, the bits stand that went to places at (ascending) below it: one look at each frame."""
         want = at - self.head["zeros"][level] if bit else at
         ones = np.asarray(self.head["ones_before"][level])
         before = ones if bit else np.minimum(np.arange(len(ones)) * FRAME_BITS, self.n) - ones
-        k = int(np.searchsorted(before, want, "right")) - 1
-        bits = np.unpackbits(self._frame(level, k))[: min(FRAME_BITS, self.n - k * FRAME_BITS)]
-        return k * FRAME_BITS + int(np.flatnonzero(bits == bit)[want - before[k]])
+        frame = np.searchsorted(before, want, "right") - 1
+        out = np.empty_like(want)
+        for k in np.unique(frame):
+            lo, hi = np.searchsorted(frame, (k, k + 1))
+            bits = np.unpackbits(self._frame(level, int(k)))[: min(FRAME_BITS, self.n - int(k) * FRAME_BITS)]
+            out[lo:hi] = k * FRAME_BITS + np.flatnonzero(bits == bit)[want[lo:hi] - before[k]]
+        return out
 
     def decode(self) -> np.ndarray:
         """All ids, from the last plane up."""
@@ -213,6 +225,12 @@ def open_shard(file: str) -> WaveletFile:
     return WaveletFile(system.open_input_file(f"{root}/{name}"))
 
 
+def _spread(manifest: DataFrame) -> DataFrame:
+    """The files and their starts, dealt to all tasks however small the manifest is."""
+    tasks = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return manifest.select("file", "start").repartition(tasks, "file")
+
+
 def read_documents(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """Every document, read from the files: id, start, n_tokens, ids_crc32 and, if asked for, the ids."""
     schema = "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
@@ -230,8 +248,7 @@ def read_documents(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                     columns.append(pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], ends))), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=["id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    files = manifest.select("file", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file")
-    return files.mapInArrow(read, schema)
+    return _spread(manifest).mapInArrow(read, schema)
 
 
 def find_token(manifest: DataFrame, token: int, most: int | None = None) -> DataFrame:
@@ -241,8 +258,8 @@ def find_token(manifest: DataFrame, token: int, most: int | None = None) -> Data
         for batch in batches:
             for file, start in zip(*(c.to_pylist() for c in batch.columns)):
                 shard = open_shard(file)
-                n = shard.count(token)
-                at = [start + shard.select(token, k) for k in range(n if most is None else min(n, most))]
-                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n]), pa.array([at], pa.list_(pa.int64()))], names=["file", "count", "places"])
+                at = start + shard.occurrences(token, most)
+                columns = [pa.array([file]), pa.array([shard.count(token)]), pa.array([at], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["file", "count", "places"])
 
-    return manifest.select("file", "start").mapInArrow(find, "file string, count long, places array<long>")
+    return _spread(manifest).mapInArrow(find, "file string, count long, places array<long>")
