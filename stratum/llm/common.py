@@ -38,13 +38,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: cuts the lineage, outlives lost executors."""
-    path = shared_path(df.sparkSession, name)
+def written(df: DataFrame, path: str) -> DataFrame:
+    """df written as Parquet to a path and read again: cuts the lineage, outlives lost executors."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to a new path in the shared folder and read again."""
+    return written(df, shared_path(df.sparkSession, name))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes what `written` put at a path of the shared folder."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

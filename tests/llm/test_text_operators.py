@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from stratum.llm.byte_tokens import ByteTokens, public_path
 from stratum.llm.exact_dedup import drop_exact_duplicates, exact_groups
 from stratum.llm.line_dedup import remove_boilerplate
-from stratum.llm.near_dup import drop_near_duplicates, near_duplicates
+from stratum.llm.near_dup import bucket_keys, drop_near_duplicates, near_duplicates, signatures
 from stratum.llm.packing import SumIndex, make_plan, pack_documents, packed_sequences, plan_patterns
 from stratum.llm.quality import base_counts, compression, CompressionLimits, judge_texts, keep_good
 from stratum.llm.sharding import permute, row_of, shard_documents
@@ -518,3 +518,59 @@ def test_quality_verdicts_equal_brute_force(spark, docs):
     assert len(rows) > 1000
     for r in rows:
         assert r.kept == (not r.base_failed and not brute_outside(r.text or "", limits))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_share_a_bucket(percent):
+    """Recall of the index where it is hardest: sets whose similarity is the threshold exactly."""
+    r = np.random.default_rng(percent)
+    common, own = {80: (80, 10), 85: (85, 7)}[percent]  # 80 / 100; 85 / 99
+    found = total = 0
+    for times in (1, 3, 10):
+        n = 1000
+        a, b = (np.empty((n, (common + own) * times), np.uint64) for _ in range(2))
+        for k in range(n):
+            x = np.unique(r.integers(0, 1 << 63, (common + 2 * own) * times + 5).astype(np.uint64))[: (common + 2 * own) * times]
+            x = r.permutation(x)
+            a[k] = np.sort(x[: (common + own) * times])
+            b[k] = np.sort(np.concatenate((x[: common * times], x[(common + own) * times :])))
+        offsets = np.arange(n + 1) * a.shape[1]
+        keys = [bucket_keys(signatures(x.ravel(), offsets)) for x in (a, b)]
+        found += int((keys[0] == keys[1]).any(axis=1).sum())
+        total += n
+    assert found >= 0.998 * total
+
+
+def test_large_clusters_are_held_against_representatives(spark, monkeypatch):
+    """Near copies in buckets over the block size, with outliers linked to some copies only; exact, and linear in what moves."""
+    from stratum.llm import near_dup
+
+    monkeypatch.setattr(near_dup, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(near_dup, "CLUSTER_BLOCK", 8)
+    r = np.random.default_rng(12)
+    base = [f"w{k}" for k in range(120)]
+    rows = []
+    for i in range(90):
+        words = list(base)
+        for at in r.choice(120, r.integers(0, 3), replace=False):
+            words[at] = f"x{r.integers(4)}"
+        rows.append((i, " ".join(words)))
+    for i in range(90, 110):  # a chain that leaves the copies step by step
+        words = base[: 120 - 4 * (i - 89)] + [f"y{k}" for k in range(4 * (i - 89))]
+        rows.append((i, " ".join(words)))
+    for percent in (80, 85):
+        got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), percent=percent).collect()
+        assert sorted((x.id, x.n_shingles, x.component_id) for x in got) == sorted(components(rows, percent))
+
+
+def test_blocks_of_common_members_meet_the_others_only(spark):
+    from stratum.llm.near_dup import _in_pairs_of_blocks, _kinds
+
+    moved = []
+    for n in (5_000, 20_000):
+        rows = spark.range(n).select(F.lit(1).alias("root"), F.col("id").alias("node"), F.when(F.col("id") % 1000 == 0, F.col("id")).otherwise(7).alias("label"), F.lit(100).alias("weight"))
+        kinds = _kinds(rows, "root", lambda n, w: F.ceil(n / 512))
+        moved.append(_in_pairs_of_blocks(kinds, "root").count())
+    assert moved[1] < 4.5 * moved[0]
+    alone = spark.range(100).select(F.lit(1).alias("root"), F.col("id").alias("node"), F.lit(3).alias("label"), F.lit(1).alias("weight"))
+    assert _kinds(alone, "root", lambda n, w: F.ceil(n / 512)).count() == 0
