@@ -13,7 +13,8 @@ from .operators.rolling import compute_rolling_value
 from .operators.summary import create_summary_statistics
 from .options import breakpoint_options, data_options, filter_options, portfolio_sort_options
 from .plans.bonds import process_trace_data
-from .sources.catalog import list_supported_datasets
+from .plans.raw import load_raw
+from .sources.catalog import available_french_datasets, list_supported_datasets, list_supported_indexes, list_supported_jkp_factors
 from .sources.load import load_data
 
 __all__ = [n for n in dir() if not n.startswith("_") and n not in ("frames", "functions", "operators", "options", "plans", "sources")]

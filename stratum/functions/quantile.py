@@ -3,7 +3,9 @@
 A quantile is the linear interpolation of two order statistics, computed so that it agrees to the last bit with
 NumPy's: buckets compare values with quantiles, and a value often equals one. Order statistics are read off a running
 count over the distinct values of a group: distinct values are counted map-side, and the window sorts with spill, so
-no group is ever held as one array.
+no group is ever held as one array. Where there are no groups, or few, each is cut into stretches of about equal numbers
+of distinct values (by approximate percentiles, whose error only makes stretches uneven); stretches are counted side by
+side and start from the counts of those before, so no task sorts a whole group.
 """
 
 from __future__ import annotations
@@ -16,14 +18,52 @@ def lerp(low: Column, high: Column, t: Column) -> Column:
     return F.when(t < 0.5, low + (high - low) * t).otherwise(high - (high - low) * (1 - t))
 
 
-def distribution(data: DataFrame, groups: list[str], value: str, times: str | None = None) -> DataFrame:
+#: Stretches of a group's values that are counted side by side, at most.
+STRETCHES = 128
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on &= left[k].eqNullSafe(right[k])
+    return on
+
+
+def _spread(counts: DataFrame, groups: list[str]) -> DataFrame:
+    """counts (groups, _x, _n) with _upto and _count, by stretches of each group."""
+    parts = min(STRETCHES, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    probs = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    cuts = counts.groupBy(*groups).agg(F.percentile_approx("_x", probs, F.lit(1000)).alias("_cuts"))
+    cuts = cuts if groups else F.broadcast(cuts)  # one row
+    placed = counts.join(cuts, _same(counts, cuts, groups), "left").select(counts["*"], cuts["_cuts"])
+    placed = placed.withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).drop("_cuts")
+    keys = [*groups, "_part"]
+    totals = placed.groupBy(*keys).agg(F.sum("_n").alias("_in"))
+    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))  # at most a row for each stretch
+    before = F.sum("_in").over(whole.orderBy("_part")) - F.col("_in")
+    named = [F.col(k).alias(f"_of{i}") for i, k in enumerate(keys)]
+    totals = totals.select(*named, before.alias("_before"), F.sum("_in").over(whole).alias("_count"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on &= placed[k].eqNullSafe(totals[f"_of{i}"])
+    placed = placed.join(totals, on).drop(*(f"_of{i}" for i in range(len(keys))))
+    running = Window.partitionBy(*groups, "_part").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return placed.select(*groups, "_x", (F.col("_before") + F.sum("_n").over(running)).alias("_upto"), "_count", "_n")
+
+
+def distribution(
+    data: DataFrame, groups: list[str], value: str, times: str | None = None, few: bool | None = None
+) -> DataFrame:
     """groups, _x, _n (rows with _x), _upto (rows up to and with it) and _count (rows in all): one row for each distinct value.
 
-    times: a column that says for how many rows each row stands, maybe none.
+    times: a column that says for how many rows each row stands, maybe none. few: groups are few and large, so each is
+    cut into stretches (always so without groups).
     """
     rows = F.sum(times) if times else F.count(F.lit(1))
     counts = data.where(F.col(value).isNotNull()).groupBy(*groups, F.col(value).cast("double").alias("_x")).agg(rows.alias("_n"))
-    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
+    if few or not groups:
+        return _spread(counts, groups)
+    part = Window.partitionBy(*groups)
     running = part.orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return counts.select(*groups, "_x", F.sum("_n").over(running).alias("_upto"), F.sum("_n").over(part).alias("_count"), "_n")
 
@@ -66,10 +106,7 @@ def _bounds(data: DataFrame, column: str, cut: float, by: list[str]) -> DataFram
         raise ValueError("'cut' must be inside [0, 0.5].")
     bounds = quantiles(data, by, column, [cut, 1 - cut], "_bounds")
     if by:
-        on = F.lit(True)
-        for k in by:
-            on &= data[k].eqNullSafe(bounds[k])
-        return data.join(bounds, on, "left").select(data["*"], bounds["_bounds"])
+        return data.join(bounds, _same(data, bounds, by), "left").select(data["*"], bounds["_bounds"])
     return data.join(F.broadcast(bounds), F.lit(True), "left")  # one row
 
 

@@ -30,20 +30,41 @@ def _last_of_year(source: DataFrame, by: list[str], date: str) -> DataFrame:
     return source.withColumn(last, F.max(date).over(part)).where(F.col(date) == F.col(last)).drop(last)
 
 
+def _stretch(both: DataFrame, at: str) -> Column:
+    """The number of a date's stretch, of as many as there are shuffle partitions (128 at most), by approximate cuts."""
+    n = min(128, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    days = F.unix_date(F.col(at).cast("date"))
+    cuts = both.agg(F.percentile_approx(days, F.array(*(F.lit(k / n) for k in range(1, n))), F.lit(1000))).first()[0]
+    return sum((F.coalesce((days > c).cast("int"), F.lit(0)) for c in sorted(set(cuts or []))), F.lit(0))
+
+
 def asof_backward(target: DataFrame, source: DataFrame, by: list[str], target_at: Column, source_at: Column, found: str) -> DataFrame:
     """target with a struct `found`: source's latest row (all its columns, and `at`) of the same group at or before target_at.
 
     One shuffle of both tables together and one sort: a source row stands before the target rows of its date, and a
     running last value carries it forward. Of source rows at the same date the last in the order of all their columns
-    counts. NULL groups match each other; a NULL date finds nothing.
+    counts. NULL groups match each other; a NULL date finds nothing. Without groups the dates are cut into stretches that
+    are sorted side by side; what the stretches before carry over is a row for each.
     """
     keys = [inner_name(f"k{i}") for i in range(len(by))]
     rows, row, tag, at = (inner_name(x) for x in ("target", "source", "tag", "at"))
     left = target.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), target_at.alias(at), F.lit(1).alias(tag), F.struct(*(f"`{c}`" for c in target.columns)).alias(rows))
     right = source.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), source_at.alias(at), F.lit(0).alias(tag), F.struct(source_at.alias("at"), *(F.col(f"`{c}`") for c in source.columns if c != "at")).alias(row))
     both = left.unionByName(right.where(F.col(at).isNotNull()), allowMissingColumns=True)
-    order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(F.col(at).asc_nulls_first(), tag, row).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = keys
+    if not keys:
+        parts = [inner_name("stretch")]
+        both = both.withColumn(parts[0], _stretch(both, at))
+    order = Window.partitionBy(*parts).orderBy(F.col(at).asc_nulls_first(), tag, row)
+    order = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = both.withColumn(row, F.last(row, ignorenulls=True).over(order)).where(F.col(tag) == 1)
+    if not keys:
+        part, ahead = parts[0], inner_name("ahead")
+        latest = both.where(F.col(tag) == 0).groupBy(part).agg(F.max(F.struct(at, row)).alias(ahead))
+        latest = both.select(part).distinct().join(latest, part, "left")
+        earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
+        latest = latest.select(part, F.last(F.col(ahead)[row], ignorenulls=True).over(earlier).alias(ahead))
+        carried = carried.join(F.broadcast(latest), part).withColumn(row, F.coalesce(row, ahead))
     return carried.select(*(F.col(rows)[c].alias(c) for c in target.columns), F.when(F.col(at).isNotNull(), F.col(row)).alias(found))
 
 

@@ -44,8 +44,10 @@ def _hold(data: DataFrame, assigned: DataFrame, labels: list[str], date: str, id
 
 @table_function
 def compute_portfolio_returns(
-    data: DataFrame, sorting_variables: str | list[str], sorting_method: str, rebalancing_month: int | None = None, breakpoint_options_main: dict | None = None, breakpoint_options_secondary: dict | None = None,
-    breakpoint_function_main: Callable | None = None, breakpoint_function_secondary: Callable | None = None, min_portfolio_size: int = 1, cap_weight: float = 0.8, data_options: dict | None = None, quiet: bool = True,
+    data: DataFrame, sorting_variables: str | list[str], sorting_method: str, rebalancing_month: int | None = None,
+    breakpoint_options_main: dict | None = None, breakpoint_options_secondary: dict | None = None,
+    breakpoint_function_main: Callable | None = None, breakpoint_function_secondary: Callable | None = None,
+    min_portfolio_size: int = 1, cap_weight: float = 0.8, data_options: dict | None = None, quiet: bool = True,
 ) -> DataFrame:
     """Returns of every portfolio on every date: portfolio, date, and equal-, value- and capped-value-weighted returns.
 
@@ -53,6 +55,10 @@ def compute_portfolio_returns(
     average over the second's. With a rebalancing month, portfolios are formed in it and held for a year. Portfolios
     without rows on a date have NULL returns. Without market values only equal-weighted returns are given. A weight is
     capped at the date's cap_weight quantile of weights. Rows without a return still count as rows (and weights).
+
+    Where no row is in the rebalancing month there is nothing to hold: the plan fails when it runs. quiet=False looks at
+    the data at once (which runs parts of the plan): it raises a ValueError for that, and warns of an empty panel and of
+    missing returns.
     """
     check_flag(quiet, "quiet")
     role = roles(data_options)
@@ -107,8 +113,17 @@ def compute_portfolio_returns(
     else:
         returns = _summarise(placed, ["_main", date], ret, weight, capped, min_portfolio_size).drop("_n")
 
+    absent = f"No observations match the rebalancing month {rebalancing_month}."
+    if not quiet:
+        if plain.isEmpty() and data.dropna(subset=variables).isEmpty():
+            warnings.warn("Returning an empty panel: no row has all sorting variables.", stacklevel=3)
+        elif rebalancing_month is not None and plain.isEmpty():
+            raise ValueError(absent)
     if rebalancing_month is not None:
-        first = dates.where(F.month(date) == rebalancing_month).agg(F.min(date).alias("_first"))
+        in_month = F.when(F.month(date) == rebalancing_month, F.col(date))
+        first = used.agg(F.min(in_month).alias("_first"), F.count(date).alias("_rows"))
+        known = F.when(F.col("_first").isNull() & (F.col("_rows") > 0), F.raise_error(absent)).otherwise(F.col("_first"))
+        first = first.select(known.alias("_first"))
         dates = dates.join(F.broadcast(first), F.col(date) >= F.col("_first")).drop("_first")
     # All portfolios there can be on all dates, then without those that no date has.
     most = _most_portfolios(breakpoint_options_main) if breakpoint_function_main is None else None
@@ -120,6 +135,10 @@ def compute_portfolio_returns(
         portfolios = returns.select("_main").distinct()
         panel = dates.crossJoin(F.broadcast(portfolios)).join(returns, [date, "_main"], "left")
     columns = [EW] if unweighted else [VW, EW, CAPPED]
+    if not quiet and (missing := panel.where(F.col(EW).isNull()).count()):
+        warnings.warn(
+            f"{missing} returns are missing, of portfolios with fewer than {min_portfolio_size} rows on a date.", stacklevel=3
+        )
     return panel.select(F.col("_main").alias(role["portfolio"]), date, *columns)
 
 

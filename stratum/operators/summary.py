@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frames import require_columns, table_function
+from ..functions.quantile import distribution, distribution_quantiles
 
 PERCENTILES = {"5%": 0.05, "10%": 0.1, "25%": 0.25, "50%": 0.5, "75%": 0.75, "90%": 0.9, "95%": 0.95}
 DETAIL = {"1%": 0.01} | PERCENTILES | {"99%": 0.99}
 
 
 @table_function
-def create_summary_statistics(data: DataFrame, variables: str | list[str], by: str | None = None, detail: bool = False, drop_na: bool = False, wide: bool = False) -> DataFrame:
+def create_summary_statistics(
+    data: DataFrame, variables: str | list[str], by: str | None = None, detail: bool = False, drop_na: bool = False,
+    wide: bool = False,
+) -> DataFrame:
     """A row for each variable (and group of by): count, mean, std, min, percentiles and max.
 
     Booleans count as 0 and 1. drop_na leaves out rows in which any of the variables is NULL. A NULL group is left out.
     detail adds percentiles to the median. wide: a row for each group, with columns <variable>_<statistic>.
-    One pass aggregates all variables; the result is then turned into rows.
+    One pass aggregates all variables, turned into rows. Percentiles are exact: read off a running count of the distinct
+    values, in stretches, so neither a group nor the whole table is held or sorted in one place.
     """
     names = [variables] if isinstance(variables, str) else list(variables)
     require_columns(data, [*names, *([by] if by else [])])
@@ -32,12 +37,18 @@ def create_summary_statistics(data: DataFrame, variables: str | list[str], by: s
         rows = rows.dropna(subset=names)
     if by:
         rows = rows.where(F.col(by).isNotNull())
-    stats = lambda n: F.struct(F.count(n).alias("count"), F.avg(n).alias("mean"), F.stddev_samp(n).alias("std"), F.min(n).alias("min"), F.percentile(n, F.array(*map(F.lit, points.values()))).alias("points"), F.max(n).alias("max"))
     keys = [by] if by else []
-    made = rows.groupBy(*keys).agg(*(stats(n).alias(f"_{i}") for i, n in enumerate(names)))
-    fields = lambda s: [s["count"].alias("count"), s["mean"].alias("mean"), s["std"].alias("std"), s["min"].alias("min"), *(s["points"][i].alias(p) for i, p in enumerate(points)), s["max"].alias("max")]
-    if wide:
-        labels = ["count", "mean", "std", "min", *points, "max"]
-        return made.select(*keys, *(c.alias(f"{n}_{label}") for i, n in enumerate(names) for c, label in zip(fields(F.col(f"_{i}")), labels)))
-    tall = made.select(*keys, F.explode(F.array(*(F.struct(F.lit(n).alias("variable"), F.col(f"_{i}").alias("s")) for i, n in enumerate(names)))).alias("r"))
-    return tall.select(*keys, F.col("r.variable").alias("variable"), *fields(F.col("r.s")))
+    tall = F.explode(F.array(*(F.struct(F.lit(n).alias("variable"), F.col(n).alias("x")) for n in names))).alias("r")
+    tall = rows.select(*keys, tall).select(*keys, "r.variable", "r.x")
+    plain = [F.count("x"), F.avg("x"), F.stddev_samp("x"), F.min("x"), F.max("x")]
+    moments = tall.groupBy(*keys, "variable").agg(*(c.alias(n) for c, n in zip(plain, ("count", "mean", "std", "min", "max"))))
+    # A NULL group was left out above, so groups can be joined by equality.
+    found = distribution(tall, [*keys, "variable"], "x", few=True)
+    found = distribution_quantiles(found, [*keys, "variable"], list(points.values()), "_points")
+    made = moments.join(found, [*keys, "variable"], "left")
+    labels = ["count", "mean", "std", "min", *points, "max"]
+    fields = [F.col("_points")[list(points).index(n)] if n in points else F.col(n) for n in labels]
+    if not wide:
+        return made.select(*keys, "variable", *(c.alias(n) for c, n in zip(fields, labels)))
+    of = lambda n, c: F.max(F.when(F.col("variable") == n, c))
+    return made.groupBy(*keys).agg(*(of(n, c).alias(f"{n}_{label}") for n in names for c, label in zip(fields, labels)))

@@ -46,6 +46,19 @@ def fisd_bonds(issues: DataFrame, issuers: DataFrame, additional_columns: list[s
     return kept.join(home, "issuer_id").drop("issuer_id")
 
 
+@table_function
+def trades_of(trades: DataFrame, cusips: list[str] | None = None) -> DataFrame:
+    """Trades of some bonds by their 9-character CUSIPs, or of all; a long list is joined, a short one becomes a filter."""
+    if cusips is None:
+        return trades
+    if not all(isinstance(c, str) and len(c) == 9 for c in cusips):
+        raise ValueError("A CUSIP is a string of 9 characters.")
+    if len(cusips) <= 1000:
+        return trades.where(F.col("cusip_id").isin(*cusips)) if cusips else trades.limit(0)
+    wanted = trades.sparkSession.createDataFrame([(c,) for c in set(cusips)], "cusip_id string")
+    return trades.join(wanted, "cusip_id", "left_semi")
+
+
 def _without(trades: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     """trades without those that a row of gone equals in all keys, NULLs too."""
     return trades.join(gone, null_safe(trades, gone, keys), "left_anti")

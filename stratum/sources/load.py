@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 
 from . import factors, macro, markets, pseudo
-from .catalog import frequency, resolve_domain
+from .catalog import ALIASES, frequency, is_legacy_type, parse_type, resolve_domain
 
 
-def load_data(spark: SparkSession, domain: str, dataset: str | None = None, path: str | dict[str, str] | None = None, start_date: str | None = None, end_date: str | None = None, **more: object) -> DataFrame:
+def load_data(
+    spark: SparkSession, domain: str, dataset: str | None = None, path: str | dict[str, str] | None = None,
+    start_date: str | None = None, end_date: str | None = None, tables: dict[str, DataFrame] | None = None, **more: object,
+) -> DataFrame:
     """A dataset in its normal form. path: where the provider's file, or files by name, were put; nothing is fetched.
 
-    Raw security tables come from any Spark source (JDBC, Parquet) and go to stratum.plans.
+    The first argument may also be a type, such as factors_ff_3_monthly. Raw security, accounting and bond data come in
+    `tables`, from any Spark source (JDBC, Parquet), and go through stratum.plans.raw.load_raw with the other options.
     """
+    if dataset is None and domain not in ALIASES and is_legacy_type(domain):
+        warnings.warn(f"{domain!r} is a type; name a domain and a dataset.", DeprecationWarning, stacklevel=2)
+        domain, dataset = parse_type(domain)
     domain = resolve_domain(domain)
     bounds = {"start_date": start_date, "end_date": end_date}
     if domain == "Pseudo Data":
         return pseudo.pseudo_data(spark, dataset or "crsp_monthly", **{k: v for k, v in bounds.items() if v}, **more)
     if domain == "WRDS":
-        raise ValueError("Read the raw tables with Spark and pass them to stratum.plans.")
+        if tables is None:
+            raise ValueError("'tables' must hold the raw tables, read with Spark.")
+        from ..plans.raw import load_raw
+
+        return load_raw(dataset or "", tables, start_date, end_date, **more)
     if path is None:
         raise ValueError("'path' must name the dataset's file.")
     name = (dataset or "").lower()
