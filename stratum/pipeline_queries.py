@@ -9,7 +9,6 @@ from .functions.transforms import holding_period_return, stationary
 from .plans import accounting, bonds, stocks
 from .queries import DAILY, PANEL, daily, panel, query, rounded
 from .sources import macro
-from .sources.catalog import list_supported_datasets
 from .sources.pseudo import pseudo_data
 
 FREE = "free AS (SELECT DISTINCT date, month(date) / 10000e0 AS risk_free FROM panel WHERE month(date) <> 7)"
@@ -173,9 +172,4 @@ def risk_free_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(None)
 def pseudo_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudo_data(spark, "crsp_monthly", "2015-01-01", "2016-12-01", n_assets=50)
-
-
-@query(None)
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_supported_datasets(spark)
+    return pseudo_data(spark, "crsp_monthly")

@@ -268,15 +268,19 @@ def lag_year_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return add_lagged_columns(panel(spark, sf_dir), "bm", months(6), months(18), by="permno", ff_adjustment=True).select("permno", "date", "bm_lag")
 
 
-#: Accounts of every firm, reported in some months.
-REPORTS = "reports AS (SELECT permno, date, qty AS sales, bm AS margin FROM li WHERE (permno + month(date)) % 4 = 0)"
+#: Accounts of every firm: what was returned to it, in the months in which anything was.
+REPORTS = """reports AS (SELECT l_suppkey AS permno, CAST(date_trunc('month', l_shipdate) AS DATE) AS date, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS sales,
+CAST(sum(CAST(l_tax AS DECIMAL(18,4))) AS DOUBLE) / count(*) AS margin FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)"""
 
 
 @query(f"""WITH {PANEL}, {REPORTS} SELECT permno, date, CASE WHEN date <= CAST(d + INTERVAL 9 MONTH AS DATE) THEN sales END AS sales, CASE WHEN date <= CAST(d + INTERVAL 9 MONTH AS DATE) THEN margin END AS margin
 FROM (SELECT a.permno, a.date, r.date AS d, sales, margin, row_number() OVER (PARTITION BY a.permno, a.date ORDER BY r.date DESC NULLS LAST) AS k FROM panel a LEFT JOIN reports r ON r.permno = a.permno AND CAST(r.date + INTERVAL 3 MONTH AS DATE) <= a.date) WHERE k = 1""")
 def join_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     stocks = panel(spark, sf_dir)
-    reports = stocks.where((F.col("permno") + F.month("date")) % 4 == 0).select("permno", "date", (F.col("be") + 60).alias("sales"), F.col("bm").alias("margin"))
+    back = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_returnflag = 'R'")
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
+    reports = back.groupBy(F.col("l_suppkey").alias("permno"), F.trunc("l_shipdate", "MM").alias("date"))
+    reports = reports.agg(exact("l_quantity").alias("sales"), (exact("l_tax") / F.count(F.lit(1))).alias("margin"))
     return join_lagged_values(stocks.select("permno", "date"), reports, "permno", months(3), months(9))
 
 
@@ -371,21 +375,17 @@ def rolling_betas_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "alpha", "b1", "b2", digits=6)
 
 
-_FM = f"{PANEL}, d AS (SELECT date, count(*) AS n, regr_slope(ret_excess, bm) AS b, regr_intercept(ret_excess, bm) AS a FROM panel GROUP BY date HAVING count(*) > 1), s AS (SELECT 'Intercept' AS factor, date, a AS v FROM d WHERE n > 2 UNION ALL SELECT 'bm', date, b FROM d WHERE n > 2)"
+_FM = f"{PANEL}, d AS (SELECT date, count(*) AS n, regr_slope(ret_excess, bm) AS b, regr_intercept(ret_excess, bm) AS a FROM panel GROUP BY date HAVING count(*) > 1), s AS (SELECT 'Intercept' AS factor, date, a AS v FROM d UNION ALL SELECT 'bm', date, b FROM d)"
 
 
 @query(f"WITH {_FM} SELECT factor, round(avg(v), 6) AS risk_premium, round(stddev_samp(v) / sqrt(count(v)), 6) AS standard_error, CAST(count(v) AS DOUBLE) AS n FROM s GROUP BY factor")
 def fama_macbeth_iid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = panel(spark, sf_dir)
-    full = data.join(data.groupBy("date").count().where("count > 2"), "date", "left_semi")
-    return rounded(estimate_fama_macbeth(full, "ret_excess ~ bm", vcov="iid").drop("t_statistic"), "risk_premium", "standard_error", digits=6)
+    return rounded(estimate_fama_macbeth(panel(spark, sf_dir), "ret_excess ~ bm", vcov="iid").drop("t_statistic"), "risk_premium", "standard_error", digits=6)
 
 
 @query(f"""WITH {_FM}, e AS (SELECT factor, list(v ORDER BY date) AS y, avg(v) AS m, count(v) AS n FROM s WHERE v IS NOT NULL GROUP BY factor), c AS (SELECT factor, m, n, list_transform(y, lambda x: x - m) AS u FROM e),
 g AS (SELECT factor, m, n, list_sum(list_transform(u, lambda x: x * x)) AS g0, {', '.join(f"list_sum(list_transform(range(1, n - {j} + 1), lambda i: u[i] * u[i + {j}])) AS g{j}" for j in (1, 2, 3))} FROM c)
 SELECT factor, round(m, 6) AS risk_premium, round(sqrt((g0 + 2 * (0.75 * g1 + 0.5 * g2 + 0.25 * g3)) / (n * n)), 6) AS standard_error, CAST(n AS DOUBLE) AS n FROM g""")
 def fama_macbeth_newey_west(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = panel(spark, sf_dir)
-    full = data.join(data.groupBy("date").count().where("count > 2"), "date", "left_semi")
-    out = estimate_fama_macbeth(full, "ret_excess ~ bm", vcov_options={"lag": 3, "prewhite": 0}).drop("t_statistic")
+    out = estimate_fama_macbeth(panel(spark, sf_dir), "ret_excess ~ bm", vcov_options={"lag": 3, "prewhite": 0}).drop("t_statistic")
     return rounded(out, "risk_premium", "standard_error", digits=6)

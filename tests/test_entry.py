@@ -10,7 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
-from stratum import pipeline_queries  # noqa: F401
+from stratum import raw_queries  # noqa: F401
 from stratum.queries import QUERIES, SQL
 
 ROOT, SMALL = Path(__file__).resolve().parent.parent, "/root/testdata/sf0.001"
@@ -29,7 +29,7 @@ def plain(value):
     return "" if value is None or value != value else str(value).removesuffix(" 00:00:00").removesuffix(".0")
 
 
-@pytest.mark.parametrize("name", ["returns_annual", "breakpoints_smooth", "lag_window_drop_na", "join_lagged", "rolling_deviation_quarter", "rolling_betas_two", "fama_macbeth_newey_west", "trace_clean", "crsp_monthly_older", "compustat_annual"])
+@pytest.mark.parametrize("name", ["returns_annual", "breakpoints_smooth", "lag_window_drop_na", "join_lagged", "rolling_deviation_quarter", "rolling_betas_two", "fama_macbeth_newey_west", "trace_clean", "summary_detail", "crsp_monthly_v1_raw", "crsp_daily_v1", "fisd_bonds", "catalogue", "breakpoints_whole", "crsp_monthly_older", "compustat_annual"])
 def test_query_equals_sql(spark, name):
     got = QUERIES[name](spark, SMALL)
     con = duckdb.connect()

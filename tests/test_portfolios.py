@@ -1,8 +1,11 @@
 import datetime
 
+import warnings
+
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import stratum
 from stratum import assign_portfolio, breakpoint_options, compute_breakpoints, compute_long_short_returns, compute_portfolio_returns, data_options, filter_options, filter_sorting_data, implement_portfolio_sort, portfolio_sort_options
@@ -217,3 +220,25 @@ def test_sort_plan_has_no_python_and_no_cartesian_product(spark, stocks):
     data = spark.createDataFrame(stocks)
     plan = compute_portfolio_returns(data, "bm", "univariate", breakpoint_options_main=breakpoint_options(5))._jdf.queryExecution().toString()
     assert "BatchEvalPython" not in plan and "CartesianProduct" not in plan and "MapInPandas" not in plan
+
+
+def test_absent_months_and_holes_are_told(spark):
+    days = [f"2020-0{m}-01" for m in (1, 2, 3)]
+    rows = [(k, d, 0.01 * k, 1.0 + k, float(k)) for k in range(6) for d in days]
+    data = spark.createDataFrame(rows, "permno long, date string, ret_excess double, mktcap_lag double, size double")
+    data = data.withColumn("date", F.col("date").cast("date"))
+    options = {"breakpoint_options_main": breakpoint_options(n_portfolios=3)}
+    with pytest.raises(ValueError, match="No observations match"):
+        compute_portfolio_returns(data, "size", "univariate", 12, **options, quiet=False)
+    with pytest.raises(Exception, match="No observations match"):
+        compute_portfolio_returns(data, "size", "univariate", 12, **options).collect()
+    none = data.withColumn("size", F.lit(None).cast("double"))
+    with pytest.warns(UserWarning, match="empty panel"):
+        assert compute_portfolio_returns(none, "size", "univariate", **options, quiet=False).count() == 0
+    assert compute_portfolio_returns(none, "size", "univariate", 12, **options).count() == 0
+    with pytest.warns(UserWarning, match="9 returns are missing"):
+        out = compute_portfolio_returns(data, "size", "univariate", min_portfolio_size=10, **options, quiet=False)
+    assert out.count() == 9 and out.where("ret_excess_ew IS NOT NULL").count() == 0
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        assert compute_portfolio_returns(data, "size", "univariate", **options, quiet=False).count() == 9

@@ -1,9 +1,11 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from stratum import quantiles, trim, winsorize
-from stratum.functions.quantile import linspace
+from stratum.functions.quantile import distribution, distribution_quantiles, linspace
 
 
 def test_quantiles_equal_numpy_to_the_last_bit(spark):
@@ -34,3 +36,23 @@ def test_winsorize_and_trim(spark):
     for bad in (-0.1, 0.6, True, "a"):
         with pytest.raises(ValueError, match="cut"):
             winsorize(data, "x", bad)
+
+
+def test_whole_tables_are_counted_in_stretches(spark):
+    """No groups, or few: exact, and no task sorts all values."""
+    r = np.random.default_rng(9)
+    values = np.round(r.lognormal(0, 2, 5000), 2)
+    rows = spark.createDataFrame([(int(k % 3 == 0), float(v)) for k, v in enumerate(values)] + [(1, None)], "g int, x double").repartition(5)
+    probs = [0.0, 0.01, 0.3, 0.5, 0.777, 1.0]
+    got = quantiles(rows, [], "x", probs).first()[0]
+    assert got == [float(np.quantile(values, p)) for p in probs]
+    spread = distribution_quantiles(distribution(rows, ["g"], "x", few=True), ["g"], probs)
+    for row in spread.collect():
+        own = values[np.arange(len(values)) % 3 == 0] if row.g else values[np.arange(len(values)) % 3 != 0]
+        assert row.quantiles == [float(np.quantile(own, p)) for p in probs]
+    plan = distribution(rows, [], "x")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    over_values = [x for x in plan if re.search(r"Window \[.*_x#\d+ ASC", x)]
+    assert over_values and all("_part" in x for x in over_values)
+    assert quantiles(rows.where("x < 0"), [], "x", probs).collect() in ([], [(None,)])
+    one = spark.createDataFrame([(2.5,)] * 4, "x double")
+    assert quantiles(one, [], "x", [0.2]).first()[0] == [2.5]

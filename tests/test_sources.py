@@ -7,7 +7,12 @@ import pytest
 
 from stratum.functions.transforms import holding_period_return, transform_series
 from stratum.sources import factors, macro, markets, pseudo
-from stratum.sources.catalog import datasets, frequency, french_datasets, list_supported_datasets, resolve_domain
+from stratum.plans import bonds
+from stratum.plans.raw import load_raw
+from stratum.sources.catalog import (
+    available_french_datasets, check_dataset, check_jkp_selection, datasets, frequency, french_datasets, is_legacy_type,
+    list_supported_datasets, list_supported_indexes, list_supported_jkp_factors, parse_type, resolve_domain,
+)
 from stratum.sources.dates import date_bounds, parse_date
 from stratum.sources.load import load_data
 
@@ -133,12 +138,100 @@ def test_pseudo_data_do_not_depend_on_partitions(spark):
         pseudo.pseudo_data(spark, "other")
 
 
+# Datasets of the Fama/French library and their types, one or more of each pattern of name.
+FRENCH = {
+    "Fama/French 3 Factors": "3_monthly",
+    "Fama/French 3 Factors [Weekly]": "3_weekly",
+    "Fama/French 5 Factors (2x3) [Daily]": "5_2x3_daily",
+    "Portfolios Formed on Size [ex.Dividends]": "size_exdividends_monthly",
+    "Portfolios Formed on Book-to-Market [ex. Dividends]": "bm_exdividends_monthly",
+    "6 Portfolios Formed on Size and Operating Profitability (2 x 3)": "6_size_and_op_2_x_3_monthly",
+    "32 Portfolios Formed on Size, Book-to-Market, and Investment (2 x 4 x 4)": "32_size_bm_and_inv_2_x_4_x_4_monthly",
+    "Portfolios Formed on Earnings/Price": "earningsprice_monthly",
+    "Momentum Factor (Mom) [Daily]": "momentum_factor_daily",
+    "Short-Term Reversal Factor (ST Rev)": "shortterm_reversal_factor_st_rev_monthly",
+    "10 Portfolios Formed on Long-Term Reversal": "10_longterm_reversal_monthly",
+    "49 Industry Portfolios [Daily]": "49_industry_portfolios_daily",
+    "BE/ME Breakpoints": "beme_breakpoints_monthly",
+    "Prior (2-12) Return Breakpoints": "prior_212_return_breakpoints_monthly",
+    "Fama/French Asia Pacific ex Japan 5 Factors": "asia_pacific_ex_japan_5_monthly",
+    "6 Developed ex US Portfolios Formed on Size and Momentum (2 x 3)": "6_developed_ex_us_size_and_momentum_2_x_3_monthly",
+    "4 Emerging Market Portfolios Formed on Book-to-Market  and Operating Profitability (2 x 2)  ": "4_emerging_market_bm__and_op_2_x_2___monthly",
+}
+
+
+def test_types_are_parsed(spark):
+    assert parse_type("factors_ff_3_daily") == ("Fama-French", "Fama/French 3 Factors [Daily]")
+    assert parse_type("factors_ff5_monthly") == ("Fama-French", "Fama/French 5 Factors (2x3)")
+    assert parse_type("factors_q5_weekly_w2w") == ("Global Q", "q5_factors_weekly_w2w_2024")
+    assert parse_type("macro_predictors_annual") == ("Goyal-Welch", "annual") and parse_type("wrds_fisd") == ("WRDS", "fisd")
+    assert parse_type("hf_risk_free") == ("Hosted Library", "risk_free") and parse_type("jkp") == ("Global Factor Data", None)
+    with pytest.raises(ValueError):
+        parse_type("nothing")
+    legacy = ["factors_ff_3_daily", "factors_ff3_weekly", "wrds_crsp_daily", "FRED-MD", "macro_predictors_monthly"]
+    assert all(map(is_legacy_type, legacy))
+    assert not any(map(is_legacy_type, ["fred", "jkp", "liquidity", "mispricing", "risk_free", "factor_library", "crsp_monthly", "x"]))
+    check_dataset("WRDS", "fisd")
+    for domain, name in (("WRDS", "x"), ("Fama-French", "x"), ("Global Q", "factors_q5_daily")):
+        with pytest.raises(ValueError):
+            check_dataset(domain, name)
+
+
+def test_indexes_and_manifests(spark, tmp_path):
+    rows = list_supported_indexes(spark).collect()
+    assert len(rows) == 13 and {r.skip for r in rows} == {2, 9} and all(r.url.startswith("https://") for r in rows)
+    manifest = {"factors": {"usa": ["be_me", "size"], "deu": ["size"]}, "industry": {"usa": ["gics"]}, "factors_monthly_only": {"usa": ["size"]}}
+    path = tmp_path / "availability.json"
+    path.write_text(json.dumps(manifest, indent=1))
+    assert {r.region for r in list_supported_jkp_factors(spark, str(path)).collect()} == {"usa", "deu"}
+    assert [tuple(r) for r in list_supported_jkp_factors(spark, str(path), "usa", "industry").collect()] == [("usa", "gics")]
+    check_jkp_selection(spark, str(path), "factors", "usa", "size")
+    check_jkp_selection(spark, str(path), "factors", "deu", "size", "daily")
+    for bad in (("factors", "usa", "size", "daily"), ("factors", "x", "size"), ("factors", "deu", "be_me"), ("portfolios", "usa", "size")):
+        with pytest.raises(ValueError):
+            check_jkp_selection(spark, str(path), *bad)
+    for bad in (("usa", "other"), ("x", "factors")):
+        with pytest.raises(ValueError):
+            list_supported_jkp_factors(spark, str(path), *bad)
+    page = tmp_path / "data_library.html"
+    page.write_text('<a href="ftp/F-F_Research_Data_Factors_CSV.zip">x</a><A class=y HREF=ftp/49_CSV.zip >b</a><a href="ftp/no.zip">c</a>')
+    assert available_french_datasets(spark, str(page)) == ["F-F_Research_Data_Factors", "49"]
+
+
+def test_raw_tables_are_asked_for(spark):
+    empty = spark.createDataFrame([], "permno long, cusip_id string, trd_exctn_dt date")
+    for bad in (
+        lambda: load_raw("x", {}),
+        lambda: load_raw("crsp_monthly", {"returns": empty}),
+        lambda: load_raw("crsp_monthly", {}, version="v3"),
+        lambda: load_raw("crsp_monthly", {}, adjust_volume=True),
+        lambda: load_raw("crsp_monthly", {}, "2020-01-01", "2025-01-31", version="v1"),
+        lambda: load_raw("crsp_daily", dict.fromkeys(("returns", "names", "risk_free"), empty), adjust_volume=True),
+        lambda: load_raw("trace_enhanced", {"trades": empty}, cusips=["short"]),
+        lambda: load_data(spark, "WRDS", "fisd"),
+    ):
+        with pytest.raises(ValueError):
+            bad()
+    rows = spark.createDataFrame([("A" * 9,), ("B" * 9,), (None,)], "cusip_id string")
+    assert bonds.trades_of(rows, ["A" * 9]).count() == 1 and bonds.trades_of(rows, []).count() == 0 and bonds.trades_of(rows).count() == 3
+    assert bonds.trades_of(rows, [f"{k:09d}" for k in range(1500)] + ["B" * 9]).count() == 1
+    with pytest.warns(DeprecationWarning):
+        links = spark.createDataFrame([(1, "a", None, None)], "permno long, gvkey string, linkdt date, linkenddt date")
+        assert load_raw("wrds_ccm_links", {"links": links}, as_of="2020-01-01").first().linkenddt.year == 2020
+
+
 def test_catalogue(spark):
     assert len(french_datasets()) == len(set(french_datasets())) == 297 and len(datasets()) == 331
+    assert sorted(map(tuple, list_supported_datasets(spark).collect())) == sorted(datasets())
+    types = {name: kind for kind, name, _ in french_datasets()}
+    for name, kind in FRENCH.items():  # fixed values
+        assert types[name] == f"factors_ff_{kind}"
     assert list_supported_datasets(spark, domain="WRDS").count() == 7
+    assert list_supported_datasets(spark, ["WRDS", "Global Q"], as_vector=True)[:2] == ["factors_q5_daily", "factors_q5_weekly"]
+    assert list_supported_datasets(spark, "nothing").count() == 0
     assert frequency("q5_factors_weekly_2024") == "weekly" and frequency("Fama/French 3 Factors [Daily]") == "daily" and frequency("x") == "monthly"
     with pytest.warns(DeprecationWarning):
         assert resolve_domain("famafrench") == "Fama-French"
-    for bad in (lambda: resolve_domain("x"), lambda: list_supported_datasets(spark, domain="x"), lambda: load_data(spark, "WRDS", "x"), lambda: load_data(spark, "FRED", "x")):
+    for bad in (lambda: resolve_domain("x"), lambda: load_data(spark, "WRDS", "x"), lambda: load_data(spark, "FRED", "x")):
         with pytest.raises(ValueError):
             bad()

@@ -202,3 +202,18 @@ def test_fama_macbeth_golden_values(spark):
 
 def test_frames_have_no_nan(spark):
     assert as_spark(pd.DataFrame({"x": [1.0, np.nan]}), spark).where("x IS NULL").count() == 1
+
+
+def test_lags_without_groups_are_sorted_in_stretches(spark):
+    """One long series, with dates that tie and are missing: the same as in a single group."""
+    start = datetime.date(2001, 1, 1)
+    days = [start + datetime.timedelta(days=int(d)) for d in np.random.default_rng(4).choice(900, 400, replace=False)]
+    rows = [(1, d, float(k) if k % 5 else None) for k, d in enumerate(days)] + [(1, None, 7.0)]
+    data = spark.createDataFrame(rows, "g int, date date, x double").repartition(6)
+    for drop in (False, True):
+        plain = add_lagged_columns(data.drop("g"), "x", 10, 30, drop_na=drop).collect()
+        grouped = add_lagged_columns(data, "x", 10, 30, by="g", drop_na=drop).drop("g").collect()
+        assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, grouped), key=str)
+    few = spark.createDataFrame([(start, 1.0)], "date date, x double")
+    assert add_lagged_columns(few, "x", 0, 5).collect() == [(start, 1.0, 1.0)]
+    assert add_lagged_columns(few.where("x < 0"), "x", 0, 5).count() == 0
