@@ -13,21 +13,20 @@ from pyspark.sql import types as T
 
 from ..frames import inner_name, require_columns, table_function
 from ..functions.quantile import distribution, distribution_quantiles, linspace, quantiles
-from ..options import BREAKPOINT_KEYS, roles
+from ..options import check_breakpoint_options, roles
 
 #: Added to every breakpoint but the first. It only moves a breakpoint of 0, which 0 itself then stays below.
 SHIFT, TOP_SHIFT = 1e-20, 1e-15
 
 
 def _probabilities(options: dict) -> list[float]:
-    if not (isinstance(options, dict) and BREAKPOINT_KEYS <= options.keys()):
-        raise ValueError("breakpoint_options must be a dict produced by breakpoint_options().")
+    check_breakpoint_options(options)
     n, percentiles = options["n_portfolios"], options["percentiles"]
     if (n is None) == (percentiles is None):
-        raise ValueError("Provide exactly one of 'n_portfolios' and 'percentiles'.")
+        raise ValueError("n_portfolios and percentiles: name one of them, not both.")
     if n is not None:
         if n <= 1:
-            raise ValueError("The number of portfolios must be larger than 1.")
+            raise ValueError("A sort makes at least two portfolios.")
         return linspace(int(n) + 1)
     return [0.0, *map(float, percentiles), 1.0]
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..frames import require_columns, table_function
 from ..functions.quantile import quantiles
-from ..options import FILTER_KEYS, check_flag, filter_options as make_options, roles
+from ..options import check_filter_options, check_flag, filter_options as make_options, roles
 
 FINANCIALS, UTILITIES = (6000, 6799), (4900, 4999)
 
@@ -23,8 +23,7 @@ def filter_sorting_data(data: DataFrame, filter_options: dict | None = None, dat
     without such rows go. With quiet=False each filter's losses are counted, which runs the plan, and warned of.
     """
     options, role = filter_options if filter_options is not None else make_options(), roles(data_options)
-    if not (isinstance(options, dict) and FILTER_KEYS <= options.keys()):
-        raise ValueError("filter_options must be a dict produced by filter_options().")
+    check_filter_options(options)
     check_flag(quiet, "quiet")
     need = lambda name, what: require_columns(data, [role[name]], f"The data needs the column {{}} for {what}.")
     out = data

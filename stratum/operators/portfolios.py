@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..frames import require_columns, require_new_columns, table_function
 from ..functions.quantile import quantiles
-from ..options import BREAKPOINT_KEYS, FILTER_KEYS, SORT_METHODS, check_flag, is_number, roles
+from ..options import SORT_METHODS, check_breakpoint_options, check_filter_options, check_flag, is_number, roles
 from .breakpoints import assign_portfolio
 from .filters import filter_sorting_data
 
@@ -64,22 +64,22 @@ def compute_portfolio_returns(
     role = roles(data_options)
     variables = [sorting_variables] if isinstance(sorting_variables, str) else list(sorting_variables or [])
     if not variables:
-        raise ValueError("You must provide at least one sorting variable.")
+        raise ValueError("A sort needs a sorting variable.")
     if sorting_method not in SORT_METHODS:
-        raise ValueError("Invalid sorting method.")
+        raise ValueError(f"sorting_method is one of {', '.join(SORT_METHODS)}.")
     two = sorting_method != "univariate"
     if two and breakpoint_options_secondary is None:
-        warnings.warn("No 'breakpoint_options_secondary' specified in bivariate sort.", stacklevel=3)
+        warnings.warn("The second sort takes the options of the first, as it has none.", stacklevel=3)
     if not is_number(cap_weight) or not 0 <= cap_weight <= 1:
-        raise ValueError("'cap_weight' must be a single numeric value in [0, 1].")
+        raise ValueError(f"cap_weight takes a number from 0 to 1, not {cap_weight!r}.")
     id, date, ret, weight = role["id"], role["date"], role["ret_excess"], role["mktcap_lag"]
     require_columns(data, [*variables, id, date, ret])
     if rebalancing_month is not None and not 1 <= rebalancing_month <= 12:
-        raise ValueError("Invalid rebalancing_month.")
+        raise ValueError("rebalancing_month is the number of a month, 1 to 12.")
     if not two and len(variables) > 1:
-        raise ValueError("Only provide one sorting variable for univariate sorts.")
+        raise ValueError("A univariate sort has one sorting variable.")
     if two and len(variables) != 2:
-        raise ValueError("Provide two sorting variables for bivariate sorts.")
+        raise ValueError("A bivariate sort has two sorting variables.")
     capped = f"{weight}_capped"
     require_new_columns(data, [capped, "_main", "_secondary"])
     unweighted = weight not in data.columns
@@ -113,7 +113,7 @@ def compute_portfolio_returns(
     else:
         returns = _summarise(placed, ["_main", date], ret, weight, capped, min_portfolio_size).drop("_n")
 
-    absent = f"No observations match the rebalancing month {rebalancing_month}."
+    absent = f"No row is in the rebalancing month {rebalancing_month}."
     if not quiet:
         if plain.isEmpty() and data.dropna(subset=variables).isEmpty():
             warnings.warn("Returning an empty panel: no row has all sorting variables.", stacklevel=3)
@@ -165,20 +165,24 @@ def compute_long_short_returns(data: DataFrame, direction: str = "top_minus_bott
 
 @table_function
 def implement_portfolio_sort(
-    data: DataFrame, sorting_variables: str | list[str], sorting_method: str, portfolio_sort_options: dict, rebalancing_month: int | None = None, breakpoint_function_main: Callable | None = None,
-    breakpoint_function_secondary: Callable | None = None, min_portfolio_size: int = 1, cap_weight: float = 0.8, data_options: dict | None = None, quiet: bool = True,
+    data: DataFrame, sorting_variables: str | list[str], sorting_method: str, portfolio_sort_options: dict,
+    rebalancing_month: int | None = None, breakpoint_function_main: Callable | None = None,
+    breakpoint_function_secondary: Callable | None = None, min_portfolio_size: int = 1, cap_weight: float = 0.8,
+    data_options: dict | None = None, quiet: bool = True,
 ) -> DataFrame:
     """filter_sorting_data, then compute_portfolio_returns, as the bundle of options says."""
     wanted = {"filter_options", "breakpoint_options_main", "breakpoint_options_secondary"}
     if not isinstance(portfolio_sort_options, dict) or not wanted <= portfolio_sort_options.keys():
-        raise ValueError("portfolio_sort_options must be a dict produced by portfolio_sort_options().")
+        raise ValueError("Make these options with portfolio_sort_options(...).")
     chosen = portfolio_sort_options
-    if not (isinstance(chosen["breakpoint_options_main"], dict) and BREAKPOINT_KEYS <= chosen["breakpoint_options_main"].keys()):
-        raise ValueError("breakpoint_options_main must be a dict produced by breakpoint_options().")
+    check_breakpoint_options(chosen["breakpoint_options_main"])
     if chosen["filter_options"] is not None:
-        if not FILTER_KEYS <= chosen["filter_options"].keys():
-            raise ValueError("filter_options must be a dict produced by filter_options().")
+        check_filter_options(chosen["filter_options"])
         data = filter_sorting_data.__wrapped__(data, chosen["filter_options"], data_options, quiet)
-    return compute_portfolio_returns.__wrapped__(data, sorting_variables, sorting_method, rebalancing_month, chosen["breakpoint_options_main"], chosen["breakpoint_options_secondary"], breakpoint_function_main, breakpoint_function_secondary, min_portfolio_size, cap_weight, data_options, quiet)
+    return compute_portfolio_returns.__wrapped__(
+        data, sorting_variables, sorting_method, rebalancing_month, chosen["breakpoint_options_main"],
+        chosen["breakpoint_options_secondary"], breakpoint_function_main, breakpoint_function_secondary, min_portfolio_size,
+        cap_weight, data_options, quiet,
+    )
 
 

@@ -26,7 +26,7 @@ def compute_rolling_value(data: DataFrame, f: str | Column | Callable[[pd.DataFr
     if period not in BUCKETS:
         raise ValueError("period must be 'month', 'quarter' or 'year'.")
     if not isinstance(periods, int) or isinstance(periods, bool) or periods < 1:
-        raise ValueError("periods must be a positive integer.")
+        raise ValueError("periods takes a whole number above 0.")
     least = periods if min_obs is None else min_obs
     if not isinstance(least, int) or isinstance(least, bool) or least < 1:
         raise ValueError("min_obs must be a positive integer.")
