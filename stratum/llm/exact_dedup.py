@@ -4,7 +4,7 @@ Texts are equal when they are identical after each run of [\\x20\\x09-\\x0D] is
 table of digests is written. A Misra-Gries summary over it (DataFrame.freqItems) names every digest that holds
 more than `support` of the rows, and perhaps others; exact counts verify the names. The verified winners are at
 most 1/support rows, so they are broadcast and their rows settled map-side, without a shuffle of the hot groups.
-All other groups hold at most `support` of the rows and are shuffled by digest.
+All other groups hold at most `support` of the rows: they are counted map-side and joined to their rows by digest.
 
 Defined cases: a null text counts as empty; among equal texts the smallest id stays, a null id comes after all
 others; rows that tie in both text and id are one group, and exactly one of them stays; an empty table gives
@@ -44,9 +44,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     winners = slim.join(named, "digest", "left_semi").groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
     winners = materialize(winners, "exact-winners")  # 1/support rows at most
     hot = slim.join(F.broadcast(winners), "digest").select("id", "digest", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
-    group = Window.partitionBy("digest")
     rest = slim.join(F.broadcast(winners.select("digest")), "digest", "left_anti")
-    rest = rest.select("id", "digest", "row", F.min(order).over(group).alias("first"), F.count(F.lit(1)).over(group).alias("group_size"))
+    # Counted map-side and joined back, so that no group has to fit one task.
+    groups = rest.groupBy("digest").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    rest = rest.join(groups, "digest").select("id", "digest", "row", "first", "group_size")
     return hot.unionByName(rest.select("id", "digest", F.col("first.id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept")))
 
 
