@@ -12,6 +12,7 @@ from .options import breakpoint_options
 from .pipeline_queries import _AGE, _INDUSTRY, FREE, risk_free
 from .plans.raw import load_raw
 from .queries import DAILY, PANEL, daily, lerp_sql, panel, query, rounded, sorted_sql
+from .sources import macro, markets
 from .sources.catalog import datasets, list_supported_datasets, list_supported_indexes
 
 _COMMON = {
@@ -202,3 +203,35 @@ def breakpoints_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without groups: one set of breakpoints over the whole table."""
     out = compute_breakpoints(panel(spark, sf_dir), "mktcap", breakpoint_options(n_portfolios=10))
     return out.select(F.posexplode("breakpoints").alias("k", "b")).select("k", F.round("b", 8).alias("b"))
+
+
+_PLACES = {0: ("London Stock Exchange", ".L", "GBP"), 1: ("Tokyo Stock Exchange", ".T", "JPY"), 2: ("Nasdaq", "", "USD")}
+_CASE = "CASE s_nationkey % 3 " + " ".join(f"WHEN {k} THEN '{{{k}}}'" for k in _PLACES) + " END"
+
+
+@query(f"""WITH s AS (SELECT s_suppkey, s_nationkey, s_name, {_CASE.format(*(p[0] for p in _PLACES.values()))} AS exchange,
+  {_CASE.format(*(p[1] for p in _PLACES.values()))} AS suffix, {_CASE.format(*(p[2] for p in _PLACES.values()))} AS currency FROM supplier)
+SELECT replace(replace('A ' || s_suppkey || '.', ' ', '-') || suffix, '..', '.') AS symbol, s_name AS name, CAST(s_nationkey AS VARCHAR) AS location, exchange, currency
+FROM s WHERE s_nationkey % 4 <> 0 AND s_suppkey <> 1""")
+def constituents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holdings made from suppliers: cash among them, one blacklisted, German headers."""
+    c, nation = F.col, F.col("s_nationkey")
+    place = F.when(nation % 3 == 0, _PLACES[0][0]).when(nation % 3 == 1, _PLACES[1][0]).otherwise(_PLACES[2][0])
+    raw = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+        F.concat(F.lit("A "), c("s_suppkey").cast("string"), F.lit(".")).alias("Emittententicker"),
+        F.concat(F.lit(" "), c("s_name")).alias("Name"), nation.cast("string").alias("Standort"), place.alias("Börse"),
+        F.when(nation % 4 == 0, "Cash").otherwise("Aktien").alias("Anlageklasse"),
+    )
+    return markets.index_constituents(raw, "DAX", blacklist=("A 1.",))
+
+
+@query("""WITH s AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, CAST(count(*) AS DOUBLE) AS n, CAST(count(DISTINCT o_custkey) AS DOUBLE) AS c FROM orders GROUP BY 1),
+l AS (SELECT date, n, c, lag(n) OVER o AS n1, lag(c) OVER o AS c1, lag(c, 2) OVER o AS c2 FROM s WINDOW o AS (ORDER BY date))
+SELECT date, '2024-05' AS vintage, round(ln(n) - ln(n1), 8) AS orders, round(c - 2 * c1 + c2, 8) AS customers FROM l""")
+def macro_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A panel as published: a row of codes, then months."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.trunc("o_orderdate", "MM").alias("day"))
+    counts = orders.agg(F.count(F.lit(1)).cast("string").alias("orders"), F.count_distinct("o_custkey").cast("string").alias("customers"))
+    body = counts.select(F.date_format("day", "M/d/yyyy").alias("sasdate"), "orders", "customers")
+    codes = spark.createDataFrame([("Transform:", "5", "3")], body.schema)
+    return rounded(macro.macro_panel(codes.unionByName(body), vintage="2024-05"), "orders", "customers")

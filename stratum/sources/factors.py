@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,16 +57,35 @@ def first_table(lines: list[str], least: int = 800) -> list[list[str]]:
     return rows[start:]
 
 
+def _tables(spark: SparkSession, path: str, parse: Callable[[list[str]], list[list[str]]]) -> DataFrame:
+    """row (from 0) and cells of the table that parse finds in each file of the zip archives."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lines in batch.column(0).to_pylist():
+                cells = parse(lines)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(len(cells)), pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["row", "cells"]
+                )
+
+    return zipped_lines(spark, path).select("lines").mapInArrow(cut, "row long, cells array<string>")
+
+
+def _dated(table: DataFrame, names: list[str], dates: str) -> DataFrame:
+    """Rows with a cell for every name, whose first cell is a date, as columns of text."""
+    rows = table.where((F.size("cells") == len(names)) & F.col("cells")[0].rlike(dates))
+    return rows.select(*(F.col("cells")[k].alias(n) for k, n in enumerate(names)))
+
+
 def read_french_factors(spark: SparkSession, path: str, start_date: str | None = None, end_date: str | None = None, least: int = 800) -> DataFrame:
     """The first table of a zipped factor file: date and returns as fractions, `-rf` named `_excess` and rf risk_free.
 
     Missing-value marks are taken out before the division by 100, so percentages are recognised too.
     """
-    row = zipped_lines(spark, path).first()  # one small archive, of one file
-    header, *body = first_table(row["lines"], least)
-    names = ["date", *header[1:]]
-    body = [r for r in body if len(r) == len(names) and re.fullmatch(r"\d{4}|\d{6}|\d{8}", r[0])]
-    raw = spark.createDataFrame(body, ", ".join(f"`{n or k}` string" for k, n in enumerate(names)))
+    table = _tables(spark, path, lambda lines: first_table(lines, least))
+    names = ["date", *table.where("row = 0").first()["cells"][1:]]  # the header decides the plan
+    names = [n or str(k) for k, n in enumerate(names)]
+    raw = _dated(table, names, r"^(\d{4}|\d{6}|\d{8})$")
     tidy = lambda n: {"rf": "risk_free"}.get(n.lower(), re.sub(r"-rf$", "_excess", n.lower()))
     value = lambda n: F.when(~(x := F.trim(F.col(f"`{n}`")).try_cast("double")).isin(*MISSING), x / 100).alias(tidy(n))
     return between_dates(raw.select(width_date(F.col("date")).alias("date"), *(value(n) for n in names[1:])), start_date, end_date)
@@ -74,13 +93,13 @@ def read_french_factors(spark: SparkSession, path: str, start_date: str | None =
 
 def read_french_breakpoints(spark: SparkSession, path: str, momentum: bool = False) -> DataFrame:
     """A zipped breakpoint file: date, the counts before the bins, and one column for each 5-percent bin."""
-    lines = zipped_lines(spark, path).first()["lines"][3 if momentum else 1 :]
-    rows = [[c.strip() for c in x.split(",")] for x in lines]
-    rows = [r for r in rows if re.fullmatch(r"\d{4}|\d{6}", r[0])]
-    width = len(rows[0])
+    skipped = 3 if momentum else 1
+    table = _tables(spark, path, lambda lines: [[c.strip() for c in x.split(",")] for x in lines[skipped:]])
+    dates = r"^(\d{4}|\d{6})$"
+    width = len(table.where(F.col("cells")[0].rlike(dates)).orderBy("row").first()["cells"])  # decides the plan
     counts = ["nonpositive", "positive"] if (width - 1) % 20 == 2 else ["count"]
     names = ["date", *counts, *(f"p{5 * k}" for k in range(1, width - len(counts)))]
-    raw = spark.createDataFrame([r for r in rows if len(r) == width], ", ".join(f"`{n}` string" for n in names))
+    raw = _dated(table, names, dates)
     number = lambda n: F.when(~(x := F.col(n).try_cast("double")).isin(*MISSING), x).alias(n)
     return raw.select(width_date(F.col("date")).alias("date"), *(number(n) for n in names[1:]))
 
