@@ -86,7 +86,7 @@ def compute_portfolio_returns(
     if unweighted:
         data = data.withColumn(weight, F.lit(1.0))
     dates = data.select(date).where(F.col(date).isNotNull()).distinct()
-    plain = used = data.dropna(subset=variables)
+    complete = plain = used = data.dropna(subset=variables)
     caps = quantiles(used, [date], weight, [cap_weight], "_cap")
     w = F.col(weight)
     used = used.join(caps, date, "left").withColumn(capped, F.when(w.isNull(), 0.0).otherwise(F.least(w, F.col("_cap")[0]))).withColumn(weight, F.coalesce(w.cast("double"), F.lit(0.0))).drop("_cap")
@@ -115,13 +115,13 @@ def compute_portfolio_returns(
 
     absent = f"No row is in the rebalancing month {rebalancing_month}."
     if not quiet:
-        if plain.isEmpty() and data.dropna(subset=variables).isEmpty():
+        if plain.isEmpty() and complete.isEmpty():
             warnings.warn("Returning an empty panel: no row has all sorting variables.", stacklevel=3)
         elif rebalancing_month is not None and plain.isEmpty():
             raise ValueError(absent)
     if rebalancing_month is not None:
         in_month = F.when(F.month(date) == rebalancing_month, F.col(date))
-        first = used.agg(F.min(in_month).alias("_first"), F.count(date).alias("_rows"))
+        first = complete.agg(F.min(in_month).alias("_first"), F.count(date).alias("_rows"))
         known = F.when(F.col("_first").isNull() & (F.col("_rows") > 0), F.raise_error(absent)).otherwise(F.col("_first"))
         first = first.select(known.alias("_first"))
         dates = dates.join(F.broadcast(first), F.col(date) >= F.col("_first")).drop("_first")
