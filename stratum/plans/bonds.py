@@ -4,11 +4,10 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import null_safe, table_function
+from ..frames import inner_name, null_safe, settled, table_function
 
 # The conditions on an issue, of plain senior fixed or zero coupon US corporate bonds.
 ISSUES = """
@@ -64,31 +63,46 @@ def _without(trades: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
     return trades.join(gone, null_safe(trades, gone, keys), "left_anti")
 
 
-def _correct_day(messages: pd.DataFrame) -> pd.DataFrame:
-    """Trades of one bond and day after its corrections (`_w`): a correction takes the place of the trades that carry
-    the number it corrects, and may itself be corrected. Ends when no correction finds a trade."""
-    trades, waiting = messages[~messages["_w"]], messages[messages["_w"]]
-    while len(waiting):
-        numbers = trades["msg_seq_nb"].value_counts(dropna=False)
-        times = waiting["orig_msg_seq_nb"].map(numbers).fillna(0).astype(int)
-        if numbers.index.hasnans:
-            times[waiting["orig_msg_seq_nb"].isna()] = int(numbers[numbers.index.isna()].sum())
-        found = waiting.loc[waiting.index.repeat(times)]
-        if not len(found):
-            break
-        trades = pd.concat([trades[~trades["msg_seq_nb"].isin(found["orig_msg_seq_nb"])], found], ignore_index=True)
-        waiting = waiting[times == 0]
-    return trades
+def _match(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str) -> DataFrame:
+    """Joins left to right where each key of left equals the column of right it maps to, NULLs too; right's keys go."""
+    names = {theirs: inner_name(theirs) for theirs in keys.values()}
+    other = right.select(*(F.col(c).alias(names.get(c, c)) for c in right.columns))
+    on = F.lit(True)
+    for ours, theirs in keys.items():
+        on &= F.col(ours).eqNullSafe(F.col(names[theirs]))
+    return left.join(other, on, how).drop(*names.values())
 
 
 def _corrected(trades: DataFrame, corrections: DataFrame) -> DataFrame:
-    """Every key of a correction holds the bond and the day, so days are independent; only those with one are touched."""
-    day = ["cusip_id", "trd_exctn_dt"]
-    touched = corrections.select(*day).distinct()
-    on = null_safe(trades, touched, day)
-    both = trades.join(touched, on, "left_semi").withColumn("_w", F.lit(False)).unionByName(corrections.withColumn("_w", F.lit(True)))
-    done = both.groupBy(*day).applyInPandas(_correct_day, both.schema).drop("_w")
-    return trades.join(touched, on, "left_anti").unionByName(done)
+    """trades after their corrections: a correction takes the place of the trades of its bond and day that carry the number
+    it corrects, once for each, and may itself be corrected by one that found nothing before.
+
+    A number is reached in round 0 if a trade carries it, later if a correction does that corrects a number of the round
+    before; the round that reaches a number first decides. So rounds need only numbers with their copies, not trades; each
+    is a join on bond, day and number, and there are as many as the longest chain has corrections.
+    """
+    day = {c: c for c in ("cusip_id", "trd_exctn_dt")}
+    number = day | {"_number": "_number"}
+    steps = corrections.groupBy(*day, F.col("orig_msg_seq_nb").alias("_number"), F.col("msg_seq_nb").alias("_next"))
+    steps = settled(steps.agg(F.count(F.lit(1)).alias("_n")))
+    if steps.isEmpty():
+        return trades
+    corrected = steps.select(*number).distinct()
+    carried = trades.groupBy(*day, F.col("msg_seq_nb").alias("_number")).agg(F.count(F.lit(1)).alias("_copies"))
+    front = settled(_match(carried, corrected, number, "left_semi").withColumn("_round", F.lit(0)))
+    reached, k = front, 0
+    while not front.isEmpty():
+        k += 1
+        found = _match(steps, front.drop("_round"), number, "inner").groupBy(*day, F.col("_next").alias("_number"))
+        found = found.agg(F.sum(F.col("_n") * F.col("_copies")).alias("_copies"))
+        found = _match(_match(found, corrected, number, "left_semi"), reached, number, "left_anti")
+        front = settled(found.withColumn("_round", F.lit(k)))
+        reached = reached.unionByName(front)
+    kept = _match(trades, corrected, day | {"msg_seq_nb": "_number"}, "left_anti")
+    placed = _match(corrections, reached, day | {"orig_msg_seq_nb": "_number"}, "inner").withColumn("_round", F.col("_round") + 1)
+    placed = _match(placed, reached.drop("_copies"), day | {"msg_seq_nb": "_number", "_round": "_round"}, "left_anti")
+    copies = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
+    return kept.unionByName(copies.select(*trades.columns))
 
 
 @table_function
