@@ -132,9 +132,25 @@ def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(None)
+#: One step k of the loop over corrections: s has the trades and the corrections that wait, f those that find a trade.
+_STEP = """n AS (SELECT cusip_id, dt, msg_seq_nb AS number, count(*) AS copies FROM s WHERE NOT waits GROUP BY ALL),
+f AS (SELECT s.*, copies FROM s JOIN n ON n.cusip_id = s.cusip_id AND n.dt = s.dt AND number = orig_msg_seq_nb WHERE waits)
+SELECT k + 1, waits, s.* EXCLUDE (k, waits) FROM s WHERE EXISTS (SELECT 1 FROM f) AND NOT EXISTS (SELECT 1 FROM f
+  WHERE f.cusip_id = s.cusip_id AND f.dt = s.dt AND f.orig_msg_seq_nb = CASE WHEN s.waits THEN s.orig_msg_seq_nb ELSE s.msg_seq_nb END)
+UNION ALL SELECT k + 1, false, f.* EXCLUDE (k, waits, copies) FROM f, generate_series(1, copies)"""
+
+
+@query(f"""WITH RECURSIVE {_MESSAGES}, r AS (SELECT * REPLACE (CASE WHEN msg_seq_nb % 7 = 0 THEN 'W' ELSE st END AS st) FROM m),
+o AS (SELECT * FROM r a WHERE NOT EXISTS (SELECT 1 FROM r b WHERE b.st = 'C' AND b.cusip_id = a.cusip_id AND b.orig_msg_seq_nb = a.msg_seq_nb
+  AND b.vol = a.vol AND b.pr = a.pr AND b.side = a.side AND b.cntra = a.cntra AND b.dt = a.dt)),
+s AS (SELECT 0 AS k, false AS waits, * FROM o UNION ALL SELECT 0, true, * FROM r WHERE st = 'W' UNION ALL SELECT * FROM (WITH {_STEP})),
+x AS (SELECT * FROM s WHERE NOT waits AND k = (SELECT max(k) FROM s)),
+g AS (SELECT * FROM x WHERE cntra = 'C' OR side = 'S' UNION ALL SELECT * FROM x a WHERE cntra = 'D' AND side = 'B' AND NOT EXISTS
+  (SELECT 1 FROM x b WHERE b.cntra = 'D' AND b.side = 'S' AND b.cusip_id = a.cusip_id AND b.dt = a.dt AND b.vol = a.vol AND b.pr = a.pr))
+SELECT cusip_id, dt AS trd_exctn_dt, '10:00:00' AS trd_exctn_tm, pr AS rptd_pr, vol AS entrd_vol_qt, 4.0e0 AS yld_pt, side AS rpt_side_cd, cntra AS cntra_mp_id
+FROM g WHERE (days IS NULL OR CAST(days AS INT) <= 7) AND late <> 5""")
 def trace_clean_older(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules before 2012, with chains of corrections; tested against a brute-force version."""
+    """The rules before 2012, with chains of corrections."""
     shift = F.date_sub("trd_exctn_dt", 4800)
     w = F.when(F.col("msg_seq_nb") % 7 == 0, "W").otherwise(F.col("trc_st"))
     return bonds.process_trace_data(_messages(spark, sf_dir).withColumn("trd_rpt_dt", shift).withColumn("trc_st", w))
