@@ -32,8 +32,13 @@ def width_date(text: Column) -> Column:
     return F.when(n == 8, F.make_date(year, month, day)).when(n == 6, F.make_date(year, month, F.lit(1))).when(n == 4, F.make_date(year, F.lit(12), F.lit(31)))
 
 
-def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
-    """name and lines (an array) of every file inside zip archives; archives are read by Spark, one to a task."""
+def archives(spark: SparkSession, path: str) -> DataFrame:
+    """content of the files of a path; they are read by Spark, one to a task."""
+    return spark.read.format("binaryFile").load(path).select("content")
+
+
+def zipped_lines(zips: DataFrame) -> DataFrame:
+    """name and lines (an array) of every file inside zip archives, the first column of zips."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,7 +48,7 @@ def zipped_lines(spark: SparkSession, path: str) -> DataFrame:
                         lines = archive.read(name).decode("latin-1").splitlines()
                         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([lines])], names=["name", "lines"])
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "name string, lines array<string>")
+    return zips.mapInArrow(unpack, "name string, lines array<string>")
 
 
 def first_table(lines: list[str], least: int = 800) -> list[list[str]]:
@@ -57,7 +62,7 @@ def first_table(lines: list[str], least: int = 800) -> list[list[str]]:
     return rows[start:]
 
 
-def _tables(spark: SparkSession, path: str, parse: Callable[[list[str]], list[list[str]]]) -> DataFrame:
+def _tables(zips: DataFrame, parse: Callable[[list[str]], list[list[str]]]) -> DataFrame:
     """row (from 0) and cells of the table that parse finds in each file of the zip archives."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,7 +73,7 @@ def _tables(spark: SparkSession, path: str, parse: Callable[[list[str]], list[li
                     [pa.array(range(len(cells)), pa.int64()), pa.array(cells, pa.list_(pa.string()))], names=["row", "cells"]
                 )
 
-    return zipped_lines(spark, path).select("lines").mapInArrow(cut, "row long, cells array<string>")
+    return zipped_lines(zips).select("lines").mapInArrow(cut, "row long, cells array<string>")
 
 
 def _dated(table: DataFrame, names: list[str], dates: str) -> DataFrame:
@@ -78,11 +83,16 @@ def _dated(table: DataFrame, names: list[str], dates: str) -> DataFrame:
 
 
 def read_french_factors(spark: SparkSession, path: str, start_date: str | None = None, end_date: str | None = None, least: int = 800) -> DataFrame:
-    """The first table of a zipped factor file: date and returns as fractions, `-rf` named `_excess` and rf risk_free.
+    """The factors of the zipped file at a path."""
+    return french_factors(archives(spark, path), start_date, end_date, least)
+
+
+def french_factors(zips: DataFrame, start_date: str | None = None, end_date: str | None = None, least: int = 800) -> DataFrame:
+    """The first table of a zipped factor file (`content` of zips): date and returns as fractions, `-rf` named `_excess` and rf risk_free.
 
     Missing-value marks are taken out before the division by 100, so percentages are recognised too.
     """
-    table = _tables(spark, path, lambda lines: first_table(lines, least))
+    table = _tables(zips, lambda lines: first_table(lines, least))
     names = ["date", *table.where("row = 0").first()["cells"][1:]]  # the header decides the plan
     names = [n or str(k) for k, n in enumerate(names)]
     raw = _dated(table, names, r"^(\d{4}|\d{6}|\d{8})$")
@@ -94,7 +104,7 @@ def read_french_factors(spark: SparkSession, path: str, start_date: str | None =
 def read_french_breakpoints(spark: SparkSession, path: str, momentum: bool = False) -> DataFrame:
     """A zipped breakpoint file: date, the counts before the bins, and one column for each 5-percent bin."""
     skipped = 3 if momentum else 1
-    table = _tables(spark, path, lambda lines: [[c.strip() for c in x.split(",")] for x in lines[skipped:]])
+    table = _tables(archives(spark, path), lambda lines: [[c.strip() for c in x.split(",")] for x in lines[skipped:]])
     dates = r"^(\d{4}|\d{6})$"
     width = len(table.where(F.col("cells")[0].rlike(dates)).orderBy("row").first()["cells"])  # decides the plan
     counts = ["nonpositive", "positive"] if (width - 1) % 20 == 2 else ["count"]
