@@ -109,5 +109,72 @@ FROM f
 """
 
 
+def _crc(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ 0xEDB88320 * (c & 1)
+    return c
+
+
+#: What each byte adds to a crc32, 8 hexadecimal digits for each.
+CRCS = "".join(f"{_crc(c):08x}" for c in range(256))
+#: 2**64: products are taken in 128 bits.
+WORD = "18446744073709551616::UHUGEINT"
+
+
+def _mixed(start: str, rows: str) -> str:
+    """rows with y = start modulo 2**64 and mixed, the network's mix of y."""
+    return f"""SELECT *, xor(d, d >> 32) AS mixed FROM (SELECT *, c * {0xC4CEB9FE1A85EC53}::UHUGEINT % {WORD} AS d FROM (
+  SELECT *, xor(b, b >> 29) AS c FROM (SELECT *, a * {0xFF51AFD7ED558CCD}::UHUGEINT % {WORD} AS b FROM (
+  SELECT *, xor(y, y >> 33) AS a FROM (SELECT *, ({start}) % {WORD} AS y FROM {rows})))))"""
+
+
+#: Rows walk through rounds of the network until one sixth round ends below n.
+OP7 = f"""
+WITH RECURSIVE
+k AS (SELECT i AS step, mixed AS key FROM ({_mixed(f"i::UHUGEINT + 7::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT", "range(6) t(i)")})),
+b AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+s AS (
+  SELECT doc_id, octet_length(bytes) + 16 AS size, xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(bytes), '..'), lambda h: ('0x' || h)::UBIGINT)),
+    lambda c, v: xor(c >> 8, ('0x' || substr('{CRCS}', (1 + 8 * (xor(c, v) & 255))::BIGINT, 8))::UBIGINT))) AS text_crc32
+  FROM b),
+n AS (SELECT count(*)::UHUGEINT AS n, (2 ** ((length(bin(greatest(count(*) - 1, 1))) + 1) // 2))::UHUGEINT AS span FROM documents),
+m AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1)::UHUGEINT AS x FROM documents),
+f AS (
+  SELECT doc_id, x // span AS l, x % span AS r, 0 AS step FROM m, n
+  UNION ALL
+  SELECT doc_id, r, xor(l, mixed % span), step + 1
+  FROM ({_mixed("r + key", "(SELECT f.*, key, span FROM f JOIN k ON k.step = f.step % 6, n WHERE f.step % 6 > 0 OR f.step = 0 OR l * span + r >= n)")})),
+o AS (SELECT doc_id, (l * span + r)::BIGINT AS place FROM f, n WHERE step > 0 AND step % 6 = 0 AND l * span + r < n)
+SELECT s.doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, (place % 40)::INT AS shard, place // 40 AS slot, NULL::INT AS grown_shard
+FROM s JOIN o USING (doc_id)
+"""
+
+
+#: All pairs that share a shingle: for tables of some thousand documents.
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, len(words) AS n_words, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM w),
+s AS (
+  SELECT doc_id, n_words, pos, string_agg(word, ' ') OVER (
+    PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS shingle FROM u),
+e AS (SELECT DISTINCT doc_id, shingle FROM s WHERE pos <= greatest(1, n_words - 4)),
+n AS (SELECT d.doc_id, count(e.shingle) AS n_shingles FROM documents d LEFT JOIN e ON e.doc_id = d.doc_id GROUP BY d.doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS n_both
+  FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE 100 * n_both >= 85 * (a.n_shingles + b.n_shingles - n_both)),
+links AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id AS x, doc_id AS y FROM n UNION SELECT r.x, links.y FROM r JOIN links ON links.x = r.y)
+SELECT n.doc_id, n_shingles, min(r.y) AS component_id, n.doc_id = min(r.y) AS kept
+FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n_shingles
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op9_warc": OP9}
+    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op7_sharding": OP7, "op8_near_dedup": OP8, "op9_warc": OP9}
