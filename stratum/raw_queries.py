@@ -13,7 +13,7 @@ from .pipeline_queries import _AGE, _INDUSTRY, FREE, risk_free
 from .plans.raw import load_raw
 from .queries import DAILY, PANEL, daily, lerp_sql, panel, query, rounded, sorted_sql
 from .sources import macro, markets
-from .sources.catalog import datasets, list_supported_datasets, list_supported_indexes
+from .sources.catalog import INDEXES, datasets, list_supported_datasets, list_supported_indexes
 
 _COMMON = {
     "sharetype": "NS", "securitytype": "EQTY", "securitysubtype": "COM", "usincflg": "Y", "issuertype": "CORP",
@@ -158,9 +158,8 @@ def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_supported_datasets(spark)
 
 
-@query(None)
+@query(f'SELECT * FROM (VALUES {_values(INDEXES)}) AS t("index", url, skip)')
 def catalogue_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fixed values; tested against their properties."""
     return list_supported_indexes(spark)
 
 
