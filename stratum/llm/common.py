@@ -5,11 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a task handles at once in flat arrays (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
@@ -59,6 +60,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once for each row. A column that stands inside the lambda of a higher-order function
+    is computed again for every element; the lambda's own argument is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def free_name(taken: list[str], wanted: str) -> str:
     """wanted, or wanted with underscores if the caller's columns (in any case) have that name."""
     low = {c.lower() for c in taken}

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize
+from .common import bound_once, free_name, materialize
 
 #: Sketches have 2**LG_K registers; their standard error is 1.04 / sqrt(2**LG_K).
 LG_K = 12
@@ -36,7 +36,7 @@ def _line_hashes(docs: DataFrame, id_col: str, text_col: str, site_col: str) ->
     text = F.col(f"`{text_col}`").cast("string")
     trimmed = F.transform(_lines(text), lambda x: F.btrim(x, F.lit(SPACE)))
     hashed = F.transform(trimmed, lambda x: F.when(x != "", F.struct(F.xxhash64(x).alias("a"), F.hash(x).alias("b"))))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(f"`{site_col}`").cast("string").alias("site"), F.posexplode(hashed).alias("pos", "line"))
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("text_hash"), F.col(f"`{site_col}`").cast("string").alias("site"), F.posexplode_outer(hashed).alias("pos", "line"))
     return rows.where("line IS NOT NULL").select("id", "text_hash", "site", "pos", "line.a", "line.b")
 
 
@@ -64,12 +64,11 @@ def remove_boilerplate(docs: DataFrame, sites: int = 5, id_col: str = "doc_id",
     rows = docs.withColumn(mark, F.xxhash64(text.cast("string")))
     # Shuffled whatever its size: what a run moves then follows its input.
     out = rows.join(hits.hint("merge"), rows[f"`{id_col}`"].eqNullSafe(hits["_id"]) & (rows[mark] == hits["_hash"]), "left")
-    all_lines = _lines(text)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), hits["_gone"])
     # Positions come in ascending order from the sequence, so the lines stay in their order.
-    cleaned = F.when(hits["_gone"].isNull(), text).otherwise(F.array_join(F.transform(kept, lambda k: F.get(all_lines, k)), "\n"))
+    left = bound_once(_lines(text), lambda lines: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), hits["_gone"]), lambda k: F.get(lines, k)), "\n"))
+    cleaned = F.when(hits["_gone"].isNull(), text).otherwise(left)
     return out.select(
         *(cleaned.alias(c) if c == text_col else rows[f"`{c}`"] for c in docs.columns),
-        F.when(text.isNull(), 0).otherwise(F.size(all_lines)).cast("long").alias(n_lines),
+        F.when(text.isNull(), 0).otherwise(F.size(_lines(text))).cast("long").alias(n_lines),
         F.coalesce(F.size(hits["_gone"]), F.lit(0)).cast("long").alias(n_removed),
     )

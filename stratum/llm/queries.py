@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from .byte_tokens import public_path
 from .common import table
+from .decontaminate import contamination
 from .exact_dedup import exact_groups
 from .html_text import extract_text
 from .line_dedup import remove_boilerplate
 from .near_dup import near_duplicates
+from .negatives import hard_negatives
 from .packing import pack_documents
 from .quality import judge_texts
+from .resample import importance_scores
 from .sharding import shard_documents
 from .warc import read_records, write_archives
 from .wavelet import read_documents, write_shards
@@ -69,8 +72,28 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the documents of 20 words or more, drawn towards the benchmark's words and pairs of words."""
+    docs, target = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    scores = importance_scores(docs, target, n=2, buckets=10_000, percent=25, min_words=20, seed=7)
+    return scores.select(F.col("id").cast("long").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors are the rows whose vec_id is divisible by 50; labels of rows divisible by 7 are moved on by one first."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return hard_negatives(vectors, F.col("vec_id") % 50 == 0, positives=5, negatives=3, low=50, high=95, scale=256)
+
+
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of documents inside windows of ten words of the benchmark's items."""
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=10)
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_bpe, op4_exact_dedup, op5_html_text, op6_wavelet, op7_sharding, op8_near_dedup, op9_warc, op10_packing)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality, op3_bpe, op4_exact_dedup, op5_html_text, op6_wavelet, op7_sharding, op8_near_dedup, op9_warc, op10_packing, op11_resampling, op12_hard_negatives, op13_decontamination)}
 
 
 SPACE = "chr(32) || chr(9) || chr(11) || chr(12) || chr(13) || chr(10)"
@@ -176,5 +199,79 @@ FROM n JOIN r ON r.x = n.doc_id GROUP BY n.doc_id, n_shingles
 """
 
 
+
+def _words(text: str) -> str:
+    """The words of a text, A-Z in lower case."""
+    return f"regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+#: The crc32 of each different feature is taken once.
+OP11 = f"""
+WITH w AS (
+  SELECT 'd' AS side, doc_id AS id, {_words("coalesce(text, '')")} AS words FROM documents UNION ALL
+  SELECT 'b', row_number() OVER (), {_words("coalesce(text, '')")} FROM benchmark),
+n AS (SELECT id, len(words) AS n_words FROM w WHERE side = 'd'),
+f AS (
+  SELECT side, id, unnest(words || list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS feature FROM w),
+e AS (SELECT DISTINCT feature FROM f),
+c AS (
+  SELECT feature, (xor(4294967295::UBIGINT, list_reduce(
+    list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(feature)), '..'), lambda h: ('0x' || h)::UBIGINT)),
+    lambda c, v: xor(c >> 8, ('0x' || substr('{CRCS}', (1 + 8 * (xor(c, v) & 255))::BIGINT, 8))::UBIGINT))) % 10000)::INT AS bucket
+  FROM e),
+k AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f JOIN c USING (feature) GROUP BY bucket),
+g AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM k) + 10000)::DOUBLE
+    / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM k) + 10000)::DOUBLE)))::BIGINT AS gain FROM k),
+p AS (
+  SELECT id, count(*) AS n_features, sum(gain)::BIGINT AS total
+  FROM f JOIN c USING (feature) JOIN g USING (bucket) WHERE side = 'd' GROUP BY id),
+s AS (
+  SELECT n.id AS doc_id, n_words, coalesce(n_features, 0) AS n_features,
+    coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+    ('0x' || substr(sha256('7:' || n.id), 1, 8))::BIGINT AS h
+  FROM n LEFT JOIN p ON p.id = n.id),
+x AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM s),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, 25 * count(*) OVER () // 100 AS drawn FROM x WHERE n_words >= 20)
+SELECT x.doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank
+FROM x LEFT JOIN r ON r.doc_id = x.doc_id
+"""
+
+OP12 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS vec
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = r.label AS same, r.vec_id AS id, list_dot_product(a.vec, r.vec)::BIGINT AS score
+  FROM v a JOIN v r ON a.vec_id % 50 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS place FROM s WHERE same),
+m AS (
+  SELECT p.anchor_id, p.id AS positive_id, p.score AS positive_score, s.id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+  WHERE place <= 5)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM m WHERE rank <= 3
+"""
+
+OP13 = f"""
+WITH d AS (SELECT doc_id, {_words("coalesce(text, '')")} AS words FROM documents),
+i AS (SELECT item_id::VARCHAR AS item_id, {_words("coalesce(text, '')")} AS words FROM benchmark),
+b AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size,
+    unnest(list_transform(range(0, len(words) - least(10, len(words)) + 1), lambda p: array_to_string(words[p + 1 : p + least(10, len(words))], ' '))) AS win
+  FROM i WHERE len(words) > 0),
+z AS (SELECT DISTINCT size FROM b),
+w AS (SELECT doc_id, size, words, unnest(range(0, len(words) - size + 1)) AS p FROM d JOIN z ON len(words) >= size),
+h AS (SELECT DISTINCT doc_id, p, b.size, item_id FROM w JOIN b ON b.size = w.size AND b.win = array_to_string(words[p + 1 : p + w.size], ' ')),
+c AS (SELECT doc_id, count(DISTINCT hit) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS hit FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT d.doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op7_sharding": OP7, "op8_near_dedup": OP8, "op9_warc": OP9}
+    return {"op1_line_dedup": OP1, "op4_exact_dedup": OP4, "op7_sharding": OP7, "op8_near_dedup": OP8, "op9_warc": OP9, "op11_resampling": OP11, "op12_hard_negatives": OP12, "op13_decontamination": OP13}
