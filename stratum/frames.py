@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable
 
@@ -78,16 +77,3 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Iterable[str], suffix: st
     for k in keys:
         condition &= left[k].eqNullSafe(right[k + suffix])
     return condition
-
-
-def settled(data: DataFrame) -> DataFrame:
-    """data written to the shared folder that spark.checkpoint.dir names: for tables that rounds of joins look at again.
-
-    Only where that is unset and Spark runs in local mode, a folder of this machine serves.
-    """
-    context = data.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="stratum-"))
-    return data.checkpoint()

@@ -3,9 +3,10 @@
 A quantile is the linear interpolation of two order statistics, computed so that it agrees to the last bit with
 NumPy's: buckets compare values with quantiles, and a value often equals one. Order statistics are read off a running
 count over the distinct values of a group: distinct values are counted map-side, and the window sorts with spill, so
-no group is ever held as one array. Where there are no groups, or few, each is cut into stretches of about equal numbers
-of distinct values (by approximate percentiles, whose error only makes stretches uneven); stretches are counted side by
-side and start from the counts of those before, so no task sorts a whole group.
+no group is ever held as one array. Where there are no groups, or few, rows are not shuffled at all: a first pass brackets
+each quantile by a mergeable sketch, a second one counts the rows between the brackets and, inside them, each value
+(`refined_quantiles`). Where the whole distribution of a large group is wanted it is cut into stretches of about equal
+numbers of distinct values, which are counted side by side and start from the counts of those before.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shared import materialize
+
 
 def lerp(low: Column, high: Column, t: Column) -> Column:
     return F.when(t < 0.5, low + (high - low) * t).otherwise(high - (high - low) * (1 - t))
@@ -88,8 +91,59 @@ def distribution_quantiles(values: DataFrame, groups: list[str], probs: list[flo
     return picked.select(*groups, F.when(F.col("_count") > 0, made).alias(name), *(["_least", "_most"] if ends else []))
 
 
+#: A sketch's rank error is a row in ACCURACY; brackets are three times as wide to each side. Groups smaller than
+#: SMALL_GROUP are not bracketed. At most BROADCAST_GROUPS rows of brackets are broadcast.
+ACCURACY, SMALL_GROUP, BROADCAST_GROUPS = 4000, 16_000, 10_000
+
+
+def refined_quantiles(data: DataFrame, groups: list[str], value: str, probs: list[float], name: str = "quantiles", more: list[Column] | None = None) -> DataFrame:
+    """groups, an array with the exact quantiles of value and, from the first pass, the aggregates `more`.
+
+    For few and large groups: what is shuffled are sketches and, in brackets of some thousandths of a group's rows,
+    different values with their counts; rows outside the brackets are counts. A group without values has NULL.
+    """
+    probs = [float(p) for p in probs]
+    margin = 3 / ACCURACY
+    edges = sorted({e for p in probs for e in (p - margin, p + margin) if 0 < e < 1})
+    x = F.col(value).cast("double")
+    cuts = F.percentile_approx(x, F.array(*map(F.lit, edges)), F.lit(ACCURACY)) if edges else F.lit(None).cast("array<double>")
+    first = data.groupBy(*groups).agg(F.count(x).alias("_count"), cuts.alias("_cuts"), *(more or []))
+    first = materialize(first, "brackets") if groups else first
+    side = lambda e, far: F.when(F.col("_count") >= SMALL_GROUP, F.col("_cuts")[edges.index(e)]).otherwise(far) if e in edges else F.lit(far)
+    low = [side(p - margin, float("-inf")).alias(f"_low{k}") for k, p in enumerate(probs)]
+    high = [side(p + margin, float("inf")).alias(f"_high{k}") for k, p in enumerate(probs)]
+    brackets = first.where("_count > 0").select(*(F.col(g).alias(f"_of{k}") for k, g in enumerate(groups)), *low, *high)
+    few = not groups or first.count() <= BROADCAST_GROUPS
+    brackets = F.broadcast(brackets) if few else brackets
+    on = F.lit(True)
+    for k, g in enumerate(groups):
+        on &= F.col(g).eqNullSafe(F.col(f"_of{k}"))
+    rows = data.where(x.isNotNull()).select(*groups, x.alias("_x")).join(brackets, on)
+    # The number of bracket ends below a value grows with the value, so it orders what is counted together.
+    place, inside = F.lit(0), F.lit(False)
+    for k in range(len(probs)):
+        above, beyond = F.col("_x") >= F.col(f"_low{k}"), F.col("_x") > F.col(f"_high{k}")
+        place, inside = place + above.cast("int") + beyond.cast("int"), inside | (above & ~beyond)
+    counted = rows.groupBy(*groups, place.alias("_place"), F.when(inside, F.col("_x")).alias("_x")).agg(F.count(F.lit(1)).alias("_n"))
+    # Brackets are numbered side by side, each from the count of what lies below it.
+    part = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))  # a row for each bracket
+    sums = counted.groupBy(*groups, "_place").agg(F.sum("_n").alias("_in"))
+    before = (F.sum("_in").over(part.orderBy("_place")) - F.col("_in")).alias("_before")
+    sums = sums.select(*(F.col(g).alias(f"_of{k}") for k, g in enumerate(groups)), F.col("_place").alias("_at"), before, F.sum("_in").over(part).alias("_count"))
+    counted = counted.join(F.broadcast(sums) if few else sums, on & (F.col("_place") == F.col("_at")))
+    running = Window.partitionBy(*groups, "_place").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = counted.select(*groups, "_x", "_n", (F.col("_before") + F.sum("_n").over(running)).alias("_upto"), "_count")
+    found = distribution_quantiles(values, groups, probs, name)
+    named = found.select(*(F.col(g).alias(f"_of{k}") for k, g in enumerate(groups)), F.col(name))
+    if not groups:
+        return named if not more else first.drop("_cuts", "_count").join(F.broadcast(named), F.lit(True), "left")
+    return first.join(named, on, "left").select(*groups, F.col(name), *(c for c in first.columns if c not in {*groups, "_count", "_cuts"}))
+
+
 def quantiles(data: DataFrame, groups: list[str], value: str, probs: list[float], name: str = "quantiles") -> DataFrame:
     """groups and an array with the quantiles of value among its non-NULL rows; a group without any has no row."""
+    if not groups:
+        return refined_quantiles(data, [], value, probs, name)
     return distribution_quantiles(distribution(data, groups, value), groups, probs, name)
 
 

@@ -1,84 +1,27 @@
 """Least squares by group, over rolling windows, and averaged over time.
 
-Everything that touches rows is an aggregation: of each group or window the sums of squares and cross products. Only
-the solving of k equations, one row for each group, is numpy's, a batch of groups at a time. With one regressor and a
-constant there is a closed form, and nothing leaves Spark.
+Groups and dates are reduced to mergeable orthogonal factors (functions/least_squares.py), so that neither large means
+nor nearly collinear regressors cost digits.
 """
 
 from __future__ import annotations
 
 import re
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..frames import inner_name, require_columns, table_function
 from ..functions.formula import Formula, parse_formula
+from ..functions.least_squares import group_fits
 from ..functions.newey_west import newey_west_se
+from ..functions.rolling_fit import stream_fits
+from ..shared import materialize, number_rows
 
-SOLVED = "coef array<double>, se array<double>, r2 double, adj_r2 double"
-
-
-def _names(k: int) -> list[tuple[int, int]]:
-    return [(i, j) for i in range(k) for j in range(i, k)]
-
-
-def moments(y: Column, xs: list[Column], over: Window | None = None) -> list[Column]:
-    """n, sum y, sum y^2, then sums of x_i y and x_i x_j, as columns _m0, _m1, ..."""
-    total = lambda c: F.sum(c).over(over) if over is not None else F.sum(c)
-    every = [F.count(y).over(over) if over is not None else F.count(y), total(y), total(y * y), *(total(x * y) for x in xs), *(total(xs[i] * xs[j]) for i, j in _names(len(xs)))]
-    return [c.cast("double").alias(f"_m{k}") for k, c in enumerate(every)]
-
-
-def solver(k: int, intercept: bool, singular_is_null: bool = False):
-    """A vectorised function of the moments: coefficients, standard errors, R2 and adjusted R2.
-
-    Collinear regressors get the least-norm solution, or NULL if asked for.
-    """
-
-    @F.pandas_udf(SOLVED)
-    def solve(table: pd.DataFrame) -> pd.DataFrame:
-        m = table.to_numpy(float)
-        rows, good = len(m), ~np.isnan(m).any(axis=1) & (m[:, 0] > 0)
-        n, sy, yy = m[:, 0], m[:, 1], m[:, 2]
-        xy, xx = m[:, 3 : 3 + k], np.zeros((rows, k, k))
-        for c, (i, j) in enumerate(_names(k)):
-            xx[:, i, j] = xx[:, j, i] = m[:, 3 + k + c]
-        xx[~good] = np.eye(k)
-        scale = np.sqrt(np.einsum("rii->ri", xx))
-        scale[scale == 0] = 1
-        even = xx / scale[:, :, None] / scale[:, None, :]
-        inverse = np.linalg.pinv(even, hermitian=True, rcond=1e-13) / scale[:, :, None] / scale[:, None, :]
-        with np.errstate(all="ignore"):
-            beta = np.einsum("rij,rj->ri", inverse, np.where(good[:, None], xy, np.nan))
-            rest = np.maximum(yy - 2 * (beta * xy).sum(1) + np.einsum("ri,rij,rj->r", beta, xx, beta), 0)
-            dof = n - k
-            se = np.sqrt(np.maximum((rest / np.where(dof > 0, dof, np.nan))[:, None] * np.einsum("rii->ri", inverse), 0))
-            total = yy - sy**2 / n if intercept else yy
-            r2 = 1 - rest / np.where(total > 0, total, np.nan)
-            adjusted = 1 - (1 - r2) * (n - 1 if intercept else n) / np.where(dof > 0, dof, np.nan)
-        if singular_is_null:
-            weak = good & (np.linalg.matrix_rank(even, tol=1e-13, hermitian=True) < k)
-            beta[weak] = se[weak] = np.nan
-        as_list = lambda a: [None if not g else [None if v != v else v for v in r] for g, r in zip(good, a.tolist())]
-        number = lambda a: [None if v != v else v for v in a.tolist()]
-        return pd.DataFrame({"coef": pd.Series(as_list(beta), dtype=object), "se": pd.Series(as_list(se), dtype=object), "r2": pd.Series(number(r2), dtype=object), "adj_r2": pd.Series(number(adjusted), dtype=object)})
-
-    return solve
-
-
-def _solved(table: DataFrame, k: int, intercept: bool, name: str, singular_is_null: bool = False) -> DataFrame:
-    columns = [f"_m{c}" for c in range(3 + k + len(_names(k)))]
-    return table.withColumn(name, solver(k, intercept, singular_is_null)(F.struct(*columns))).drop(*columns)
-
-
-def _complete(y: Column, xs: list[Column]) -> Column:
-    out = y.isNotNull()
-    for x in xs:
-        out &= x.isNotNull()
-    return out
+#: Rows of an id beyond which its series is cut into stretches for several tasks.
+LONG_SERIES = 250_000
 
 
 @table_function
@@ -99,10 +42,9 @@ def estimate_model(data: DataFrame, model: str, min_obs: int = 1, output: str |
         raise ValueError("A column must not be named 'intercept'.")
     require_columns(data, [t for t in (formula.dependent, *formula.regressors) if re.fullmatch(r"\w+", t)])
     y, xs = formula.design(data)
-    k = len(xs)
-    fit = data.where(_complete(y, xs)).groupBy(*groups).agg(*moments(y, xs))
-    enough = (F.col("_m0") >= min_obs) & (F.col("_m0") > len(formula.regressors))
-    fit = _solved(fit.withColumn("_ok", F.coalesce(enough, F.lit(False))), k, formula.intercept, "_fit") if k else fit.select(*groups, F.lit(None).cast(f"struct<{SOLVED.replace(' ', ':', 1)}>").alias("_fit"), F.lit(False).alias("_ok"))
+    enough = (F.col("_n") >= min_obs) & (F.col("_n") > len(formula.regressors))
+    fit = group_fits(data, groups, y, xs[formula.intercept :], formula.intercept)
+    fit = fit.withColumn("_ok", enough if xs else F.lit(False))
     terms = ["intercept" if t == "Intercept" else t for t in formula.names]
     coef, se = F.col("_fit.coef"), F.col("_fit.se")
     ratio = lambda i: F.when(F.col("_ok") & (se[i] > 0), coef[i] / se[i])
@@ -127,7 +69,9 @@ def estimate_betas(data: DataFrame, model: str, lookback: int, min_obs: int | No
     """Rolling coefficients: of each row, over the last `lookback` complete rows of its id, by date.
 
     Fewer than min_obs complete rows (default: 80 % of lookback), a singular window, or an incomplete row give NULL.
-    Sums of products over sliding frames, of values less their id's mean, so that large means do not cancel digits.
+    The cost does not grow with lookback (functions/rolling_fit.py). Rows are shuffled by id; an id with more than
+    LONG_SERIES rows is cut into stretches, which also get the lookback - 1 complete rows before them. Which ids are
+    long is counted when this is called, on the rows' written columns.
     """
     formula = parse_formula(model)
     if not isinstance(lookback, int) or lookback < 1:
@@ -137,31 +81,33 @@ def estimate_betas(data: DataFrame, model: str, lookback: int, min_obs: int | No
         raise ValueError("min_obs must be a positive integer.")
     require_columns(data, [id_col, date_col])
     y, xs = formula.design(data)
-    names = [f"_x{i}" for i in range(len(xs))]
-    rows = data.select(F.col(id_col), F.col(date_col), y.alias("_y"), *(x.alias(n) for x, n in zip(xs, names)), _complete(y, xs).alias("_full"))
-    whole = Window.partitionBy(id_col, "_full")
-    regressors = names[1:] if formula.intercept else names
-    if formula.intercept:  # a constant takes up any shift of the others
-        means = {c: F.coalesce(F.avg(c).over(whole), F.lit(0.0)).alias(f"{c}_mean") for c in ["_y", *regressors]}
-        rows = rows.select("*", *means.values())
-        rows = rows.select(id_col, date_col, "_full", *(F.col(f"{c}_mean") for c in means), *((F.col(c) - F.col(f"{c}_mean")).alias(c) for c in means), *names[:1])
-    frame = whole.orderBy(date_col).rowsBetween(-(lookback - 1), 0)
-    sums = rows.select("*", *moments(F.col("_y"), [F.col(n) for n in names], frame))
-    ok = F.col("_full") & (F.col("_m0") >= least)
-    if formula.intercept and len(names) == 2:
-        n, sy, _, _, xy, _, sx, xx = (F.col(f"_m{k}") for k in range(8))
-        spread = n * xx - sx * sx
-        solid = ok & (spread > 1e-13 * n * xx)
-        slope = F.when(solid, (n * xy - sx * sy) / spread)
-        sums = sums.withColumn("_slope", slope).withColumn("_coef", F.when(solid, F.array((sy - F.col("_slope") * sx) / n, F.col("_slope"))))
+    values = [c.cast("double").alias(f"_v{i}") for i, c in enumerate([*xs[formula.intercept :], y])]
+    rows = data.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{date_col}`").alias("_date"), F.lit(False).alias("_halo"), *values)
+    rows = materialize(rows, "series")
+    schema = T.StructType([rows.schema["_id"], rows.schema["_date"], T.StructField("_coef", T.ArrayType(T.DoubleType()))])
+    fit = lambda keys: stream_fits(keys, lookback, least, formula.intercept)
+    counts = rows.groupBy("_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LONG_SERIES)
+    long = materialize(counts.select(F.col("_id").alias("_long")), "long-series")
+    if long.isEmpty():
+        out = rows.repartition("_id").sortWithinPartitions("_id", "_date").mapInArrow(fit(0), schema)
     else:
-        sums = _solved(sums.withColumn("_ok", ok), len(names), formula.intercept, "_fit", singular_is_null=True).withColumn("_coef", F.when(F.col("_ok"), F.col("_fit.coef")))
-    coef = [F.col("_coef")[i] for i in range(len(names))]
-    if formula.intercept:
-        coef[0] = coef[0] + F.col("_y_mean")
-        for i, c in enumerate(regressors, 1):
-            coef[0] = coef[0] - coef[i] * F.col(f"{c}_mean")
-    return sums.select(*(c.alias(t) for c, t in zip(coef, formula.names)), id_col, date_col)
+        here = F.col("_id").eqNullSafe(F.col("_long"))
+        out = rows.join(long, here, "left_anti").repartition("_id").sortWithinPartitions("_id", "_date").mapInArrow(fit(0), schema)
+        hot = rows.join(long, here, "left_semi")
+        full = F.lit(True)
+        for v in rows.columns[3:]:
+            full &= F.col(v).isNotNull()
+        out = out.unionByName(hot.where(~full).select("_id", "_date", F.lit(None).cast("array<double>").alias("_coef")))
+        numbered = number_rows(hot.where(full), ["_id", "_date"], "_number")
+        size = max(LONG_SERIES, lookback)
+        stretch = F.floor(F.col("_number") / size).cast("long")
+        late = F.col("_number") % size > size - lookback
+        copies = F.when(late, F.array(F.struct(stretch.alias("k"), F.lit(False).alias("halo")), F.struct((stretch + 1).alias("k"), F.lit(True).alias("halo")))).otherwise(F.array(F.struct(stretch.alias("k"), F.lit(False).alias("halo"))))
+        dealt = numbered.withColumn("_copy", F.explode(copies)).select(F.col("_copy.k").alias("_stretch"), "_id", "_date", F.col("_copy.halo").alias("_halo"), *rows.columns[3:], "_number")
+        dealt = dealt.repartition("_stretch").sortWithinPartitions("_stretch", "_number").drop("_number")
+        out = out.unionByName(dealt.mapInArrow(fit(1), schema))
+    coef = [F.col("_coef")[i].alias(t) for i, t in enumerate(formula.names)]
+    return out.select(*coef, F.col("_id").alias(id_col), F.col("_date").alias(date_col))
 
 
 @table_function
@@ -183,10 +129,8 @@ def estimate_fama_macbeth(data: DataFrame, model: str, vcov: str = "newey-west",
     y, xs = formula.design(data)
     pieces = len(model.split("~")[1].split("+"))
     # NULL rows count for whether a date is used, but not in its regression.
-    full = _complete(y, xs)
-    kept = [F.when(full, c) for c in (y, *xs)]
-    dates = data.where(F.col(date_col).isNotNull()).groupBy(date_col).agg(F.count(F.lit(1)).alias("_rows"), *moments(kept[0], kept[1:]))
-    fits = _solved(dates.where((F.col("_rows") > pieces) & (F.col("_m0") > 0)).withColumn("_obs", F.col("_m0")), len(xs), formula.intercept, "_fit")
+    fits = group_fits(data.where(F.col(date_col).isNotNull()), [date_col], y, xs[formula.intercept :], formula.intercept)
+    fits = fits.where((F.col("_rows") > pieces) & (F.col("_n") > 0)).withColumn("_obs", F.col("_n").cast("double"))
     terms = F.array(*map(F.lit, formula.names))
     long = fits.select(date_col, F.explode(F.arrays_zip(terms.alias("factor"), F.col("_fit.coef").alias("value"))).alias("_z")).select(date_col, F.col("_z.factor").alias("factor"), F.col("_z.value").alias("value"))
     series = long.where("value IS NOT NULL").groupBy("factor").agg(F.avg("value").alias("risk_premium"), F.transform(F.array_sort(F.collect_list(F.struct(date_col, "value"))), lambda p: p["value"]).alias("_series"), F.count("value").cast("double").alias("n"), F.stddev_samp("value").alias("_sd"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..frames import inner_name, require_columns, table_function
 from ..functions.calendar import BUCKETS
+from ..functions.panes import PaneAggregate, over_panes
 from ..options import roles
 
 
@@ -20,8 +21,9 @@ def compute_rolling_value(data: DataFrame, f: str | Column | Callable[[pd.DataFr
 
     A row's window holds all rows of its own calendar period, later ones too, and of the periods before it. Rows with a
     NULL in any column are left out; a window with fewer than min_obs (default: periods) rows gives NULL. f is an SQL
-    aggregate (text or Column), or a function of a pandas table, which needs more time. A row is sent to the periods
-    whose windows hold it and aggregated there, so a table without groups is spread over its periods too.
+    aggregate (text or Column), or a function of a pandas table, which needs more time. Arithmetic of sums, counts,
+    averages, extremes, variances and deviations is merged from one partial aggregate for each group and period
+    (functions/panes.py). For other aggregates and functions a row is sent to all periods whose windows hold it.
     """
     if period not in BUCKETS:
         raise ValueError("period must be 'month', 'quarter' or 'year'.")
@@ -36,9 +38,16 @@ def compute_rolling_value(data: DataFrame, f: str | Column | Callable[[pd.DataFr
         raise ValueError(f"The column '{date}' must hold dates.")
     bucket = inner_name("bucket")
     keyed = data.withColumn(bucket, BUCKETS[period](F.col(date)))
+    enough, value = inner_name("enough"), inner_name("value")
+    panes = None if callable(f) and not isinstance(f, Column) else PaneAggregate.of(f, data)
+    if panes:
+        whole = F.lit(True)
+        for c in data.columns:
+            whole &= F.col(f"`{c}`").isNotNull()
+        made = over_panes(keyed, groups, bucket, whole, panes, periods, lambda x, rows: F.when(rows >= least, x), value)
+        return _join(keyed, made, [*groups, bucket], value).select(*(f"`{c}`" for c in data.columns), F.col(value).alias(new_column))
     anchors = keyed.select(*groups, bucket).distinct()
     spread = keyed.dropna().withColumn(bucket, F.explode(F.sequence(F.col(bucket), F.col(bucket) + periods - 1)))
-    enough, value = inner_name("enough"), inner_name("value")
     if callable(f) and not isinstance(f, Column):
         schema = T.StructType([*(spread.schema[g] for g in [*groups, bucket]), T.StructField(value, T.DoubleType())])
         columns = list(data.columns)

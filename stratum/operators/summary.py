@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frames import require_columns, table_function
-from ..functions.quantile import distribution, distribution_quantiles
+from ..functions.quantile import refined_quantiles
 
 PERCENTILES = {"5%": 0.05, "10%": 0.1, "25%": 0.25, "50%": 0.5, "75%": 0.75, "90%": 0.9, "95%": 0.95}
 DETAIL = {"1%": 0.01} | PERCENTILES | {"99%": 0.99}
@@ -22,8 +22,8 @@ def create_summary_statistics(
 
     Booleans count as 0 and 1. drop_na leaves out rows in which any of the variables is NULL. A NULL group is left out.
     detail adds percentiles to the median. wide: a row for each group, with columns <variable>_<statistic>.
-    One pass aggregates all variables, turned into rows. Percentiles are exact: read off a running count of the distinct
-    values, in stretches, so neither a group nor the whole table is held or sorted in one place.
+    One pass aggregates all variables, turned into rows, and brackets their percentiles; it runs when this is called.
+    Percentiles are exact: a second pass counts what lies between the brackets and the values inside them.
     """
     names = [variables] if isinstance(variables, str) else list(variables)
     require_columns(data, [*names, *([by] if by else [])])
@@ -41,11 +41,8 @@ def create_summary_statistics(
     tall = F.explode(F.array(*(F.struct(F.lit(n).alias("variable"), F.col(n).alias("x")) for n in names))).alias("r")
     tall = rows.select(*keys, tall).select(*keys, "r.variable", "r.x")
     plain = [F.count("x"), F.avg("x"), F.stddev_samp("x"), F.min("x"), F.max("x")]
-    moments = tall.groupBy(*keys, "variable").agg(*(c.alias(n) for c, n in zip(plain, ("count", "mean", "std", "min", "max"))))
-    # A NULL group was left out above, so groups can be joined by equality.
-    found = distribution(tall, [*keys, "variable"], "x", few=True)
-    found = distribution_quantiles(found, [*keys, "variable"], list(points.values()), "_points")
-    made = moments.join(found, [*keys, "variable"], "left")
+    named = [c.alias(n) for c, n in zip(plain, ("count", "mean", "std", "min", "max"))]
+    made = refined_quantiles(tall, [*keys, "variable"], "x", list(points.values()), "_points", named)
     labels = ["count", "mean", "std", "min", *points, "max"]
     fields = [F.col("_points")[list(points).index(n)] if n in points else F.col(n) for n in labels]
     if not wide:

@@ -7,7 +7,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import inner_name, null_safe, settled, table_function
+from ..frames import inner_name, null_safe, table_function
+from ..shared import materialize
 
 # The conditions on an issue, of plain senior fixed or zero coupon US corporate bonds.
 ISSUES = """
@@ -84,19 +85,19 @@ def _corrected(trades: DataFrame, corrections: DataFrame) -> DataFrame:
     day = {c: c for c in ("cusip_id", "trd_exctn_dt")}
     number = day | {"_number": "_number"}
     steps = corrections.groupBy(*day, F.col("orig_msg_seq_nb").alias("_number"), F.col("msg_seq_nb").alias("_next"))
-    steps = settled(steps.agg(F.count(F.lit(1)).alias("_n")))
+    steps = materialize(steps.agg(F.count(F.lit(1)).alias("_n")), "corrections")
     if steps.isEmpty():
         return trades
     corrected = steps.select(*number).distinct()
     carried = trades.groupBy(*day, F.col("msg_seq_nb").alias("_number")).agg(F.count(F.lit(1)).alias("_copies"))
-    front = settled(_match(carried, corrected, number, "left_semi").withColumn("_round", F.lit(0)))
+    front = materialize(_match(carried, corrected, number, "left_semi").withColumn("_round", F.lit(0)), "corrected")
     reached, k = front, 0
     while not front.isEmpty():
         k += 1
         found = _match(steps, front.drop("_round"), number, "inner").groupBy(*day, F.col("_next").alias("_number"))
         found = found.agg(F.sum(F.col("_n") * F.col("_copies")).alias("_copies"))
         found = _match(_match(found, corrected, number, "left_semi"), reached, number, "left_anti")
-        front = settled(found.withColumn("_round", F.lit(k)))
+        front = materialize(found.withColumn("_round", F.lit(k)), "corrected")
         reached = reached.unionByName(front)
     kept = _match(trades, corrected, day | {"msg_seq_nb": "_number"}, "left_anti")
     placed = _match(corrections, reached, day | {"orig_msg_seq_nb": "_number"}, "inner").withColumn("_round", F.col("_round") + 1)

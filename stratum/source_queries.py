@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .queries import query, rounded
+from .shared import shared_path
 from .sources import factors, macro, markets, pseudo
 
 #: Orders and customers by month, and two numbers made from them that stand for percentages.
@@ -27,19 +26,8 @@ def _months(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("date", "n", "c", (F.col("n") % 97 - 40).alias("a"), (F.col("c") % 89 / 8.0).alias("b"))
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; on one machine, where none is named, one of its own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{named or 'file://' + tempfile.mkdtemp(prefix='stratum-')}/source-{uuid.uuid4().hex}"
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
-    return path
-
-
 def _csv(table: DataFrame) -> str:
-    path = _folder(table.sparkSession)
+    path = shared_path(table.sparkSession, "source")
     table.write.csv(path, header=True)
     return path
 
@@ -117,7 +105,7 @@ FROM m WHERE date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31'""")
 def liquidity_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     traded = F.when(F.col("n") % 5 == 0, "-99").otherwise((F.col("n") / 100).cast("string"))
     lines = _months(spark, sf_dir).select(F.concat_ws("\t ", _digits(), _text("a"), _text("b"), traded).alias("value"))
-    path = _folder(spark)
+    path = shared_path(spark, "source")
     lines.unionByName(spark.createDataFrame([("% Month\tlevels\tinnovations\ttraded",), ("",)], "value string")).write.text(path)
     return factors.read_liquidity_factors(spark, path, "1996-01", "1999-12")
 
@@ -139,7 +127,7 @@ def global_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT CAST(event_id AS BIGINT) AS event_id, CAST(ts AS DATE) AS date FROM events
 WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-05' AND DATE '2024-01-20'""")
 def trades_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _folder(spark)
+    path = shared_path(spark, "source")
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.to_date("ts").alias("date"))
     rows.repartition("date").write.partitionBy("date").parquet(path)
     return factors.read_trades_by_day(spark, path, "2024-01-05", "2024-01-20")
@@ -160,7 +148,7 @@ def factor_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = spark.range(12).select("id", variable.alias("sorting_variable"), lag.alias("sorting_variable_lag"), numbers, F.lit("univariate").alias("sorting_method"))
     keys = ["sorting_variable", "sorting_variable_lag"]
     rows = _months(spark, sf_dir).crossJoin(F.broadcast(grid)).select("id", "date", (F.col("b") + i).alias("ret"), *keys)  # twelve settings
-    path = _folder(spark)
+    path = shared_path(spark, "source")
     rows.repartition(*keys).write.partitionBy(*keys).parquet(path)
     out = factors.read_factor_library(spark, path, grid, start_date="1998-01-01", sorting_variable=["v0", "sv_v2"])
     return out.select("id", "date", "ret", *keys, "n_portfolios_main")
