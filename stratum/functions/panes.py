@@ -56,6 +56,8 @@ class PaneAggregate:
             x = F.when(counted, F.lit(1) if argument == "*" else F.expr(argument))
             if name in ("min", "max", "sum", "count"):
                 out.append(getattr(F, name)(x).alias(f"_a{k}"))
+            elif name in ("avg", "mean"):
+                out += [F.count(x).alias(f"_n{k}"), F.sum(x.cast("double")).alias(f"_m{k}")]
             else:
                 x = x.cast("double")
                 out += [F.count(x).alias(f"_n{k}"), F.avg(x).alias(f"_m{k}"), (F.var_pop(x) * F.count(x)).alias(f"_s{k}")]
@@ -69,8 +71,10 @@ class PaneAggregate:
                 found = getattr(F, name)(f"_a{k}").over(over)
             elif name in ("sum", "count"):
                 found = F.sum(f"_a{k}").over(over)
+            elif name in ("avg", "mean"):
+                found = F.sum(f"_m{k}").over(over) / F.nullif(F.sum(f"_n{k}").over(over), F.lit(0))
             else:
-                found = _spread(k, over, _SPREAD.get(name), name.startswith("std"))
+                found = _spread(k, over, _SPREAD[name], name.startswith("std"))
             out.append(found.alias(f"_pane_{k}"))
         return out
 
@@ -85,8 +89,8 @@ def _commas(text: str) -> bool:
     return False
 
 
-def _spread(k: int, over: Window, less: int | None, root: bool) -> Column:
-    """Of the panes' moments: the mean (less: None), or the variance over n - less, or its root."""
+def _spread(k: int, over: Window, less: int, root: bool) -> Column:
+    """Of the panes' moments: the variance over n - less, or its root."""
     panes = F.collect_list(F.when(F.col(f"_n{k}") > 0, F.struct(F.col(f"_n{k}").cast("double").alias("n"), F.col(f"_m{k}").alias("m"), F.col(f"_s{k}").alias("s")))).over(over)
     none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
 
@@ -95,8 +99,6 @@ def _spread(k: int, over: Window, less: int | None, root: bool) -> Column:
         return F.struct(n.alias("n"), (a["m"] + apart * b["n"] / n).alias("m"), (a["s"] + b["s"] + apart * apart * a["n"] * b["n"] / n).alias("s"))
 
     def finish(t: Column) -> Column:
-        if less is None:
-            return F.when(t["n"] > 0, t["m"])
         value = F.when(t["n"] > less, t["s"] / (t["n"] - less))
         return F.sqrt(value) if root else value
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..frames import require_columns, table_function
 from ..functions.quantile import refined_quantiles
+from ..shared import materialize
 
 PERCENTILES = {"5%": 0.05, "10%": 0.1, "25%": 0.25, "50%": 0.5, "75%": 0.75, "90%": 0.9, "95%": 0.95}
 DETAIL = {"1%": 0.01} | PERCENTILES | {"99%": 0.99}
@@ -22,8 +23,9 @@ def create_summary_statistics(
 
     Booleans count as 0 and 1. drop_na leaves out rows in which any of the variables is NULL. A NULL group is left out.
     detail adds percentiles to the median. wide: a row for each group, with columns <variable>_<statistic>.
-    One pass aggregates all variables, turned into rows, and brackets their percentiles; it runs when this is called.
-    Percentiles are exact: a second pass counts what lies between the brackets and the values inside them.
+    The columns are written once. One pass over them aggregates all variables, turned into rows, and brackets their
+    percentiles; both run when this is called. Percentiles are exact: a second pass counts what lies between the brackets
+    and the values inside them.
     """
     names = [variables] if isinstance(variables, str) else list(variables)
     require_columns(data, [*names, *([by] if by else [])])
@@ -38,6 +40,7 @@ def create_summary_statistics(
     if by:
         rows = rows.where(F.col(by).isNotNull())
     keys = [by] if by else []
+    rows = materialize(rows, "summary-rows")  # both passes read these columns
     tall = F.explode(F.array(*(F.struct(F.lit(n).alias("variable"), F.col(n).alias("x")) for n in names))).alias("r")
     tall = rows.select(*keys, tall).select(*keys, "r.variable", "r.x")
     plain = [F.count("x"), F.avg("x"), F.stddev_samp("x"), F.min("x"), F.max("x")]

@@ -348,6 +348,14 @@ def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(estimate_model(panel(spark, sf_dir), "ret_excess ~ bm", by=["exchange"]), "intercept", "bm", digits=7)
 
 
+#: A regressor with a mean of a million and a deviation of about one; SQL takes the mean off, which is exact.
+@query(f"WITH {PANEL}, p AS (SELECT exchange, ret_excess AS y, bm * 50 + 1000000 - 1000000 AS x FROM panel) SELECT exchange, round(regr_slope(y, x), 9) AS slope, round(avg(y) - regr_slope(y, x) * avg(x), 8) AS at_million FROM p GROUP BY 1")
+def ols_large_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = panel(spark, sf_dir).select("exchange", F.col("ret_excess").alias("y"), (F.col("bm") * 50 + 1000000).alias("x"))
+    out = estimate_model(data, "y ~ x", by=["exchange"])
+    return out.select("exchange", F.round("x", 9).alias("slope"), F.round(F.col("intercept") + 1000000 * F.col("x"), 8).alias("at_million"))
+
+
 @query(f"WITH {PANEL}, m AS (SELECT exchange, {_LINE} FROM panel GROUP BY 1), v AS (SELECT *, (syy - b * b * sxx) / (n - 2) AS s2 FROM m) SELECT exchange, round(a / sqrt(s2 * (1.0 / n + mx * mx / sxx)), 5) AS intercept, round(b / sqrt(s2 / sxx), 5) AS bm FROM v")
 def ols_t_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(estimate_model(panel(spark, sf_dir), "ret_excess ~ bm", output="tstats", by=["exchange"]), "intercept", "bm", digits=5)
@@ -375,6 +383,16 @@ def rolling_betas_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "alpha", "b1", "b2", digits=6)
 
 
+#: Ten series of all lines, and windows of 500.
+@query("""WITH l AS (SELECT l_suppkey % 10 AS id, l_orderkey * 8 + l_linenumber AS k, l_extendedprice / 1e3 AS y, l_quantity AS x FROM lineitem), r AS (SELECT id, k, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM l WINDOW w AS (PARTITION BY id ORDER BY k ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
+SELECT id, k, CASE WHEN n >= 400 THEN round(a, 6) END AS alpha, CASE WHEN n >= 400 THEN round(b, 6) END AS beta FROM r""")
+def rolling_betas_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    series = lines.select((F.col("l_suppkey") % 10).alias("id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), (F.col("l_extendedprice") / 1e3).alias("y"), F.col("l_quantity").alias("x"))
+    out = estimate_betas(series, "y ~ x", 500, id_col="id", date_col="k")
+    return rounded(out.select("id", "k", F.col("Intercept").alias("alpha"), F.col("x").alias("beta")), "alpha", "beta", digits=6)
+
+
 _FM = f"{PANEL}, d AS (SELECT date, count(*) AS n, regr_slope(ret_excess, bm) AS b, regr_intercept(ret_excess, bm) AS a FROM panel GROUP BY date HAVING count(*) > 1), s AS (SELECT 'Intercept' AS factor, date, a AS v FROM d UNION ALL SELECT 'bm', date, b FROM d)"
 
 
