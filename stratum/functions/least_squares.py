@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 #: Rows that a task gathers before it decomposes them, and groups whose factors it holds at once.
 GATHERED, HELD = 1 << 17, 1 << 14
 _EPS = np.finfo(float).eps
+#: Least ratio of the singular values of regressors, each of length 1, that are not collinear.
+COLLINEAR = 1e-13
 
 
 class Factors:
@@ -96,11 +98,12 @@ class Factors:
         beta, se = np.full((len(n), size), np.nan), np.full((len(n), size), np.nan)
         has = np.flatnonzero(n > 0)
         if len(has) and size:
-            values = np.linalg.svd(whole[has], compute_uv=False)
-            cut = _EPS * np.maximum(n[has], size)
-            solid = (values[:, -1] > cut * values[:, 0]) & (n[has] >= size)
+            length = np.linalg.norm(whole[has], axis=1)
+            length[length == 0] = 1
+            values = np.linalg.svd(whole[has] / length[:, None, :], compute_uv=False)
+            solid = (values[:, -1] > COLLINEAR * values[:, 0]) & (n[has] >= size)
             for full in (True, False):
-                at, limit = has[solid == full], cut[solid == full]
+                at = has[solid == full]
                 if not len(at):
                     continue
                 if full:
@@ -116,7 +119,7 @@ class Factors:
                         spread = np.concatenate((first[:, None], spread), axis=1)
                     beta[at, intercept:] = slope
                 else:
-                    inverse = np.stack([np.linalg.pinv(whole[g], rcond=c) for g, c in zip(at, limit)])
+                    inverse = np.stack([np.linalg.pinv(whole[g], rcond=_EPS * max(n[g], size)) for g in at])
                     beta[at] = np.einsum("gij,gj->gi", inverse, right[at])
                     spread = (inverse**2).sum(axis=2)
                     left = right[at] - np.einsum("gij,gj->gi", whole[at], beta[at])

@@ -383,14 +383,17 @@ def rolling_betas_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, "alpha", "b1", "b2", digits=6)
 
 
-#: Ten series of all lines, and windows of 500.
-@query("""WITH l AS (SELECT l_suppkey % 10 AS id, l_orderkey * 8 + l_linenumber AS k, l_extendedprice / 1e3 AS y, l_quantity AS x FROM lineitem), r AS (SELECT id, k, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM l WINDOW w AS (PARTITION BY id ORDER BY k ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
-SELECT id, k, CASE WHEN n >= 400 THEN round(a, 6) END AS alpha, CASE WHEN n >= 400 THEN round(b, 6) END AS beta FROM r""")
+#: Ten series of days, and windows of 500.
+@query("""WITH l AS (SELECT l_suppkey % 10 AS id, CAST(l_shipdate AS DATE) AS date, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,4))) AS DOUBLE) / 1e3 AS y, CAST(sum(CAST(l_quantity AS DECIMAL(18,4))) AS DOUBLE) AS x FROM lineitem GROUP BY 1, 2),
+r AS (SELECT id, date, count(*) OVER w AS n, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a FROM l WINDOW w AS (PARTITION BY id ORDER BY date ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
+SELECT id, date, CASE WHEN n >= 400 THEN round(a, 5) END AS alpha, CASE WHEN n >= 400 THEN round(b, 6) END AS beta FROM r""")
 def rolling_betas_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    series = lines.select((F.col("l_suppkey") % 10).alias("id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("k"), (F.col("l_extendedprice") / 1e3).alias("y"), F.col("l_quantity").alias("x"))
-    out = estimate_betas(series, "y ~ x", 500, id_col="id", date_col="k")
-    return rounded(out.select("id", "k", F.col("Intercept").alias("alpha"), F.col("x").alias("beta")), "alpha", "beta", digits=6)
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
+    series = lines.groupBy((F.col("l_suppkey") % 10).alias("id"), F.to_date("l_shipdate").alias("date")).agg((exact("l_extendedprice") / 1e3).alias("y"), exact("l_quantity").alias("x"))
+    out = estimate_betas(series, "y ~ x", 500, id_col="id", date_col="date")
+    out = out.select("id", "date", F.col("Intercept").alias("alpha"), F.col("x").alias("beta"))
+    return rounded(rounded(out, "alpha", digits=5), "beta", digits=6)
 
 
 _FM = f"{PANEL}, d AS (SELECT date, count(*) AS n, regr_slope(ret_excess, bm) AS b, regr_intercept(ret_excess, bm) AS a FROM panel GROUP BY date HAVING count(*) > 1), s AS (SELECT 'Intercept' AS factor, date, a AS v FROM d UNION ALL SELECT 'bm', date, b FROM d)"
