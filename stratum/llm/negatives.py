@@ -59,7 +59,7 @@ def _packed(rows: DataFrame, slices: int, extra: list[str] | None = None) -> Dat
                     part = batch.slice(s, min(BLOCK_ROWS, b - s))
                     ids = part.column(2)
                     flat = part.column(5).flatten().to_numpy()
-                    if len(flat) and 100 * len(flat) // part.num_rows * int(np.abs(flat).max()) ** 2 >= 1 << 62:
+                    if len(flat) and len(flat) // part.num_rows * int(np.abs(flat).max()) ** 2 >= 1 << 62:
                         raise ValueError("scaled components are too large for 64-bit scores")
                     small = np.int16 if not len(flat) or np.abs(flat).max() < 1 << 15 else np.int64
                     values = [flat.astype(small), ids.fill_null(_LAST).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), part.column(3).to_numpy(), part.column(4).to_numpy()]
@@ -152,10 +152,11 @@ def _negatives(meetings: DataFrame, most: int, low: int, high: int) -> DataFrame
             for i in range(a.n):
                 order = _by_score(scores[i])
                 order = order[r.labels[order] != a.labels[i]]
-                falling = -100 * scores[i][order]
+                falling = -scores[i][order]
                 for place, positive in enumerate(flat[ends[i] - counts[i] : ends[i]].tolist()):
-                    first = np.searchsorted(falling, -high * positive, "left")
-                    end = min(first + most, np.searchsorted(falling, -low * positive, "right"))
+                    upper, lower = high * positive // 100, -(-low * positive // 100)
+                    first = np.searchsorted(falling, -upper, "left")
+                    end = min(first + most, np.searchsorted(falling, -lower, "right"))
                     at = order[first:end]
                     if len(at):
                         parts.append((np.full(len(at), a.rows[i]), np.full(len(at), place), scores[i][at], at))

@@ -55,7 +55,7 @@ def test_stages_return_the_columns_of_documents(spark):
 def test_query_equals_sql(spark, name):
     got = queries()[name](spark, SMALL)
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     want = con.execute(oracle_sql()[name])
     columns = [d[0] for d in want.description]
@@ -64,4 +64,4 @@ def test_query_equals_sql(spark, name):
 
 
 def test_every_query_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries()) == list(range(1, 14))
