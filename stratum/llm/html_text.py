@@ -4,16 +4,17 @@ The builder closes what HTML closes by itself (p before a block, li before li, c
 ignores end tags without a start. The renderer emits all text that a browser draws:
 
 * Not drawn are the head, scripts, styles, templates, comments, data lists, closed dialogs, the fallback content of
-  object, canvas, audio, video, iframe, noscript, noembed and noframes, titles, descriptions, definitions and annotations
+  object, canvas, audio, video, progress, meter, iframe, noscript, noembed and noframes, titles, descriptions, definitions and annotations
   in svg and math, and elements with `aria-hidden=true`, with display:none, or with `hidden` and no other display.
 * visibility:hidden is inherited, and a visibility:visible further in shows that part again.
 * Form fields show what a browser shows in them: the text of a textarea, the value of text inputs and buttons, the
   chosen option of a drop-down list, all options of a list box. Closed details count as open.
 
-White space collapses as in a browser (not in pre, xmp, listing and textarea). An empty line is put around paragraphs,
-headings, lists and tables; other blocks begin a line. List items get a dash or a number, and nested ones an indent (of
-at most 64 characters, so that deep nesting does not grow the text). Table cells are aligned in columns, with colspan and
-rowspan; in a row with a cell of several lines each cell has lines of its own, in order.
+White space collapses as in a browser (not in pre, xmp, listing and textarea, nor under white-space: pre, pre-wrap or
+break-spaces; pre-line collapses too). An empty line is put around paragraphs, headings, lists and tables; other blocks
+begin a line. List items get a dash or a number (start, value and reversed count), and nested ones an indent (of at most
+64 characters, so that deep nesting does not grow the text). Table cells are aligned in columns, with colspan and rowspan;
+of a cell of several lines, each stands under the one before it.
 
 Defined cases: null or empty html gives an empty text; text outside any tag counts; unclosed tags end with the page;
 bytes that are no markup (a lone <, or a tag that the page ends before its '>') are text; a quote in a tag opens a string
@@ -57,7 +58,7 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp".split())
 UNSEEN = frozenset(
-    "head script style template noscript title datalist iframe noembed noframes object canvas audio video".split()
+    "head script style template noscript title datalist iframe noembed noframes object canvas audio video progress meter".split()
 )
 #: Not drawn inside svg and math.
 UNDRAWN = frozenset(
@@ -95,6 +96,8 @@ IMPLIED_END = {
     "tr": (_CELLS | {"tr"}, {"table"}),
     **dict.fromkeys(_PARTS, (_CELLS | {"tr"} | _PARTS, {"table"})),
 }
+#: Opening one of these ends an open caption of the same table.
+AFTER_CAPTION = _CELLS | _PARTS | {"tr", "caption", "col", "colgroup"}
 #: An end tag does not reach beyond these.
 FENCE = frozenset(("table", "td", "th", "button", "object", "caption"))
 END_FENCE = {"table": frozenset()} | dict.fromkeys(_CELLS | _PARTS | {"tr"}, frozenset({"table"}))
@@ -108,12 +111,13 @@ MOST_COLUMNS, MOST_ROWS = 1000, 65534
 
 
 class Node:
-    """An element: seen is False for display:none, visible is None where visibility is inherited."""
+    """An element: seen is False for display:none; visible, and kept for white space that does not collapse, are None where
+    they are inherited."""
 
-    __slots__ = ("tag", "children", "seen", "visible", "attributes")
+    __slots__ = ("tag", "children", "seen", "visible", "kept", "attributes")
 
     def __init__(self, tag: str, attributes: dict[str, str] | None = None):
-        self.tag, self.seen, self.visible, self.attributes = tag, True, None, attributes or {}
+        self.tag, self.seen, self.visible, self.kept, self.attributes = tag, True, None, None, attributes or {}
         self.children: list[Node | str] = []
 
 
@@ -145,6 +149,8 @@ def _resolve(node: Node, foreign: bool) -> None:
         node.seen = node.seen and display != "none" and said.get("aria-hidden", "").lower() != "true"
         if style.get("visibility") in ("hidden", "collapse", "visible"):
             node.visible = style["visibility"] == "visible"
+        if style.get("white-space") in ("normal", "nowrap", "pre-line", "pre", "pre-wrap", "break-spaces"):
+            node.kept = style["white-space"] in ("pre", "pre-wrap", "break-spaces")
 
 
 class Builder:
@@ -188,6 +194,8 @@ class Builder:
             self.close(("p",), FENCE)
             if tag in HEADINGS and self.stack[-1].tag in HEADINGS:
                 self.pop(len(self.stack) - 1)
+        if tag in AFTER_CAPTION:
+            self.close(("caption",), ("table",))
         if tag in IMPLIED_END:
             self.close(*IMPLIED_END[tag], all_of_them=tag == "tr" or tag in _PARTS or tag == "optgroup")
         if self.stack[-1].tag == "head" and tag not in HEAD_TAGS:
@@ -273,7 +281,7 @@ class Layout:
     def line(self, force: bool = False) -> None:
         """Ends the line being written, if anything is in it."""
         if self.parts or force:
-            text = "".join(self.parts).rstrip()
+            text = "".join(self.parts).rstrip(" \t\r\f")
             if self.blank and self.lines:
                 self.lines.append("")
             self.blank = False
@@ -330,8 +338,8 @@ def _positions(rows: list[list[Node]], ends: list[int]) -> list[list[tuple[int,
     return placed
 
 
-def _aligned(grid: list[list[tuple[int, int, str]]]) -> list[str]:
-    """Lines of rows of cells (first column, end column, text of one line), padded to columns."""
+def _aligned(grid: list[list[tuple[int, int, str]]]) -> list[str] | None:
+    """Lines of rows of cells (first column, end column, text of one line), padded to columns; None where that is too much."""
     edges = sorted({x for row in grid for a, b, _ in row for x in (a, b)})
     place = {x: k for k, x in enumerate(edges)}
     widths = [0] * max(0, len(edges) - 1)
@@ -352,7 +360,7 @@ def _aligned(grid: list[list[tuple[int, int, str]]]) -> list[str]:
     text_size = sum(len(text) for row in grid for _, _, text in row)
     padded = sum(max((begins[place[a]] for a, _, text in row if text), default=0) for row in grid)
     if padded > MOST_PADDING * text_size:
-        return ["  ".join(text for _, _, text in row if text) for row in grid]
+        return None
     lines = []
     for row in grid:
         parts, at = [], 0
@@ -387,35 +395,36 @@ def _table(node: Node, depth: int, visible: bool) -> list[str]:
             row = Node("tr")
             row.children.append(child)
             rows.append((row, group))
-        elif text := " ".join(render(child, depth=depth, visible=visible).split()):
-            captions.append(text)
-    ends, grid, single = [0] * len(rows), [], []
+        elif text := render(child, depth=depth, visible=visible):
+            captions += text.split("\n")
+    ends, grid = [0] * len(rows), []
     for r in range(len(rows) - 1, -1, -1):
         last = r + 1 == len(rows) or rows[r + 1][1] != rows[r][1]
         ends[r] = r + 1 if last else ends[r + 1]
     cells = [[c for c in row.children if _is_cell(c) and c.seen] for row, _ in rows]
     for (row, _), own, placed in zip(rows, cells, _positions(cells, ends)):
         shown = visible if row.visible is None else row.visible
-        line = []
-        for cell, (a, b) in zip(own, placed):
-            text = render(cell, True, depth, shown)
-            line.append((a, b, text if "\n" in text else " ".join(text.split())))
+        line = [(a, b, render(cell, True, depth, shown)) for cell, (a, b) in zip(own, placed)]
         rest = Node("tr")  # what stands in the row beside its cells
         rest.children = [c for c in row.children if not _is_cell(c)]
-        if text := " ".join(render(rest, True, depth, shown).split()):
+        if text := render(rest, True, depth, shown).replace("\n", " "):
             end = placed[-1][1] if placed else 0
             line.append((end, end + 1, text))
         if any(text for _, _, text in line):
             grid.append(line)
-            single.append(not any("\n" in text for _, _, text in line))
-    aligned = iter(_aligned([line for line, one in zip(grid, single) if one]))
-    lines = captions
-    for line, one in zip(grid, single):
-        if one:
-            lines.append(next(aligned))
-        else:
-            lines += [x for _, _, text in line if text for x in text.split("\n")]
-    return lines
+    # A line of the page for each line of a row's longest cell.
+    split: list[list[tuple[int, int, str]]] = []
+    for row in grid:
+        texts = [(a, b, text.split("\n")) for a, b, text in row if text]
+        own = [[] for _ in range(max(len(t) for _, _, t in texts))]
+        for a, b, t in texts:
+            for k, x in enumerate(t):
+                own[k].append((a, b, x))
+        split += own
+    lines = _aligned(split)
+    if lines is None:  # cell by cell
+        lines = [x for row in grid for x in (["  ".join(t for _, _, t in row if t)] if not any("\n" in t for _, _, t in row) else [x for _, _, t in row if t for x in t.split("\n")])]
+    return captions + lines
 
 
 def _options(select: Node) -> list[Node | str]:
@@ -440,12 +449,16 @@ def _options(select: Node) -> list[Node | str]:
     return chosen or [o for o in options if "disabled" not in o.attributes][:1]
 
 
+def _number(said: str | None, otherwise: int) -> int:
+    return int(said) if said and re.fullmatch(r"\s*[-+]?\d{1,9}\s*", said) else otherwise
+
+
 def render(root: Node, inside: bool = False, depth: int = 0, visible: bool = True) -> str:
     """The visible text of a node; inside: of its children, whatever the node is; depth: of tables around it."""
     out = Layout()
-    lists: list[list] = []  # [next number or None] of the open lists
+    lists: list[list] = []  # [next number or None, step] of the open lists
     work: list[tuple] = [("in", root)]
-    pre = 0
+    pre = False
     while work:
         what, node = work.pop()
         if what != "in":
@@ -474,6 +487,8 @@ def render(root: Node, inside: bool = False, depth: int = 0, visible: bool = Tru
         tag, state = node.tag, (out.indent, pre, visible)
         if node.visible is not None:
             visible = node.visible
+        if node.kept is not None or tag in VERBATIM:
+            pre = tag in VERBATIM if node.kept is None else node.kept
         if tag == "br":
             out.line(True)
         elif tag == "hr":
@@ -491,14 +506,15 @@ def render(root: Node, inside: bool = False, depth: int = 0, visible: bool = Tru
             children = _options(node) if tag == "select" else node.children
             if tag in ("ul", "ol", "menu"):
                 out.line() if lists else out.apart()
-                start = node.attributes.get("start", "1")
-                number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
-                lists.append([number] if tag == "ol" else [None])
+                back = tag == "ol" and "reversed" in node.attributes
+                first = sum(isinstance(c, Node) and c.tag == "li" for c in node.children) if back else 1
+                lists.append([_number(node.attributes.get("start"), first) if tag == "ol" else None, -1 if back else 1])
             elif tag == "li":
                 out.line()
                 number = lists[-1][0] if lists else None
                 if number is not None:
-                    lists[-1][0] += 1
+                    number = _number(node.attributes.get("value"), number)
+                    lists[-1][0] = number + lists[-1][1]
                 if visible:
                     out.item("- " if number is None else f"{number}. ")
             elif tag in ("dd", "blockquote"):
@@ -511,13 +527,12 @@ def render(root: Node, inside: bool = False, depth: int = 0, visible: bool = Tru
             elif tag in BLOCK:
                 out.line()
             if tag in VERBATIM:
-                pre += 1
                 if children and isinstance(children[0], str):  # the line break behind the tag does not count
                     children = [re.sub(r"\A\r?\n", "", children[0]), *children[1:]]
             work.append((state, node))
             work += [("in", c) for c in reversed(children)]
             continue
-        visible = state[2]
+        pre, visible = state[1:]
     return out.text()
 
 

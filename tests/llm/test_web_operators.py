@@ -145,7 +145,7 @@ def test_tags_and_comments_end_where_browsers_end_them(page, text):
         ("<svg><defs/><style/><text>A</text></svg>c", "Ac"),
         ("<map><p>m</p></map><dialog>no</dialog><dialog open>d</dialog>e", "m\n\nd\ne"),
         ("<xmp><b>x</b>\n  y</xmp>z", "<b>x</b>\n  y\n\nz"),
-        ("<table><tr><td><p>a<p>b<ul><li>c</ul><td>d<tr><td>e<td>f</table>", "a\n\nb\n\n- c\nd\ne  f"),
+        ("<table><tr><td><p>a<p>b<ul><li>c</ul><td>d<tr><td>e<td>f</table>", "a    d\n\nb\n\n- c\ne    f"),
     ],
 )
 def test_visible_elements_and_blocks_in_cells_are_kept(page, text):
@@ -160,7 +160,7 @@ def test_visible_elements_and_blocks_in_cells_are_kept(page, text):
         ("<table><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
         ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
         (f"<table><tr><td>{'x' * 90}<td>b<tr><td>y<td>z</table>", f"{'x' * 90}  b\ny{' ' * 91}z"),
-        ("<table><tr><td>a<table><tr><td>x<td>y<tr><td>zz<td>w</table><td>b</table>", "a\n\nx   y\nzz  w\nb"),
+        ("<table><tr><td>a<table><tr><td>x<td>y<tr><td>zz<td>w</table><td>b</table>", "a      b\n\nx   y\nzz  w"),
         ("<ul><li>a<p>b</p><ul><li>c</ul></ul>", "- a\n  b\n\n  - c"),
         ("<div style='visibility:hidden'>no<b style='visibility:visible'>yes</b>no</div>", "yes"),
         ("<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>", "yes"),
