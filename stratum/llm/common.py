@@ -1,10 +1,7 @@
-"""What the text operators share: the cluster's shared folder, written intermediate tables, Arrow blocks."""
+"""What the text operators share: written intermediate tables, names, Arrow blocks."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,50 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import delete_path, materialize, shared_path, written  # noqa: F401  the operators take them from here
+
 #: Bytes of text that a task handles at once in flat arrays (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    Only where that is unset and Spark runs in local mode, a folder of this machine serves.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    own = f"{tempfile.gettempdir()}/checkpoints/stratum-{os.getuid()}"
-    os.makedirs(own, exist_ok=True)
-    return f"file://{own}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def written(df: DataFrame, path: str) -> DataFrame:
-    """df written as Parquet to a path and read again: cuts the lineage, outlives lost executors."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df written to a new path in the shared folder and read again."""
-    return written(df, shared_path(df.sparkSession, name))
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    """Deletes what `written` put at a path of the shared folder."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import number_rows
 from .byte_tokens import ByteTokens
 from .common import materialize, text_arrays
-from .sharding import number_rows
 
 CAPACITY, END_ID = 2048, 0
 

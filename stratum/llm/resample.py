@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import number_rows
 from .common import free_name, materialize, text_blocks
-from .sharding import number_rows
 
 #: A-Z to a-z; [0-9a-z] and all bytes from 0x80 are word bytes, others become spaces.
 _FOLD = bytes(c + 32 if chr(c) in string.ascii_uppercase else c if c >= 0x80 or chr(c) in string.ascii_lowercase + string.digits else 32 for c in range(256))

@@ -13,10 +13,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from ..shared import number_rows
 
 ROUNDS = 6
 _U = np.uint64
@@ -58,21 +58,6 @@ def row_of(shard: np.ndarray, slot: np.ndarray, shards: int, n: int, seed: int =
     return permute(np.asarray(slot) * shards + np.asarray(shard), n, seed, back=True)
 
 
-def number_rows(df: DataFrame, order: list[str], name: str = "row_number", partitions: int | None = None) -> DataFrame:
-    """df with global numbers 0..n-1 in ascending order of some columns, without gathering rows in one task.
-
-    A range partitioning and a sort inside partitions; what goes to every task is one count for each partition.
-    """
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = materialize(placed, "row-numbers")
-    part = F.shiftright("_at", 33)
-    counts = placed.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    numbered = placed.withColumn("_part", part).join(F.broadcast(before), "_part")
-    return numbered.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
-
-
 def shard_documents(docs: DataFrame, shards: int = 40, seed: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The place of each row of docs: id, size (UTF-8 bytes and 16), text_crc32, row_number, shard, slot."""
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
