@@ -9,7 +9,6 @@ from .functions.transforms import holding_period_return, stationary
 from .plans import accounting, bonds, stocks
 from .queries import DAILY, PANEL, daily, panel, query, rounded
 from .sources import macro
-from .sources.pseudo import pseudo_data
 
 FREE = "free AS (SELECT DISTINCT date, month(date) / 10000e0 AS risk_free FROM panel WHERE month(date) <> 7)"
 
@@ -184,8 +183,3 @@ SELECT date, x AS discount, round(power(1 + x * n / 360 / (1 - x * n / 360), CAS
 def risk_free_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.trunc("l_shipdate", "MM").alias("date"), F.col("l_discount").alias("discount")).distinct()
     return rounded(rows.withColumn("risk_free", holding_period_return(F.col("discount"), F.col("date"))), "risk_free", digits=10)
-
-
-@query(None)
-def pseudo_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudo_data(spark, "crsp_monthly")

@@ -13,7 +13,6 @@ from .pipeline_queries import _AGE, _INDUSTRY, FREE, risk_free
 from .plans.raw import load_raw
 from .queries import DAILY, PANEL, daily, lerp_sql, panel, query, rounded, sorted_sql
 from .sources import macro, markets
-from .sources.catalog import INDEXES, datasets, list_supported_datasets, list_supported_indexes
 
 _COMMON = {
     "sharetype": "NS", "securitytype": "EQTY", "securitysubtype": "COM", "usincflg": "Y", "issuertype": "CORP",
@@ -148,21 +147,6 @@ def fisd_bonds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("complete_cusip", "offering_amt", "sic_code")
 
 
-def _values(rows: list[tuple]) -> str:
-    quoted = lambda x: str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
-
-
-@query(f"SELECT * FROM (VALUES {_values(datasets())}) AS t(type, dataset_name, domain)")
-def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_supported_datasets(spark)
-
-
-@query(f'SELECT * FROM (VALUES {_values(INDEXES)}) AS t("index", url, skip)')
-def catalogue_indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return list_supported_indexes(spark)
-
-
 _Q = f"q AS (SELECT {sorted_sql('ret_excess')} AS s FROM panel)"
 
 

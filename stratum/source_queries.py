@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .queries import query, rounded
 from .shared import shared_path
-from .sources import factors, macro, markets, pseudo
+from .sources import factors, macro, markets
 
 #: Orders and customers by month, and two numbers made from them that stand for percentages.
 _MONTHS = """WITH s AS (SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS date, count(*) AS n, count(DISTINCT o_custkey) AS c FROM orders GROUP BY 1),
@@ -152,27 +152,3 @@ def factor_library(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows.repartition(*keys).write.partitionBy(*keys).parquet(path)
     out = factors.read_factor_library(spark, path, grid, start_date="1998-01-01", sorting_variable=["v0", "sv_v2"])
     return out.select("id", "date", "ret", *keys, "n_portfolios_main")
-
-
-@query("""SELECT 'crsp_monthly' AS dataset, 252000 AS n, 1000 AS assets, DATE '2000-01-01' AS first, DATE '2020-12-01' AS last, true AS plausible
-UNION ALL SELECT 'crsp_daily', 5479000, 1000, DATE '2000-01-03', DATE '2020-12-31', true
-UNION ALL SELECT 'compustat_annual', 21000, 1000, DATE '2000-12-31', DATE '2020-12-31', true
-UNION ALL SELECT 'compustat_quarterly', 84000, 1000, DATE '2000-03-31', DATE '2020-12-31', true""")
-def pseudo_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is known of the random tables: rows, assets, dates, and that their laws hold."""
-    makers = {
-        "crsp_monthly": ("permno", "date", (F.abs(F.avg("ret") - 0.008) < 0.002) & (F.abs(F.stddev("ret") - 0.1) < 0.002) & (F.min("ret_excess") >= -1)),
-        "crsp_daily": ("permno", "date", (F.abs(F.avg("ret") - 0.0004) < 0.0002) & F.every(F.weekday("date") < 5)),
-        "compustat_annual": ("gvkey", "datadate", (F.min("at") > 0) & F.every((F.col("be") > 0) | F.col("be").isNull())),
-        "compustat_quarterly": ("gvkey", "datadate", (F.min("atq") > 0) & F.every(F.col("ceqq").between(F.col("atq") * 0.2, F.col("atq") * 0.6))),
-    }
-    parts = []
-    for name, (asset, date, holds) in makers.items():
-        rows = pseudo.DATASETS[name](spark, "2000-01-01", "2020-12-31")
-        facts = [F.count(F.lit(1)).cast("int").alias("n"), F.count_distinct(asset).cast("int").alias("assets")]
-        facts += [F.min(date).alias("first"), F.max(date).alias("last"), holds.alias("plausible")]
-        parts.append(rows.agg(*facts).select(F.lit(name).alias("dataset"), "*"))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -203,13 +204,35 @@ def filter_factor_grid(grid: DataFrame, fill_all: bool = False, defaults: dict |
 
 
 def read_factor_library(spark: SparkSession, returns_path: str, grid: DataFrame, ids: list[int] | None = None, start_date: str | None = None, end_date: str | None = None, **filters: object) -> DataFrame:
-    """Factor returns with their settings. Folders sorting_variable=/sorting_variable_lag= are pruned by the grid's rows."""
+    """Factor returns with their settings. Folders sorting_variable=/sorting_variable_lag= are pruned by the grid's rows.
+
+    The settings asked for, with and without their prefix, become partition filters, so that no other folder is read; a
+    setting of the grid without a folder is an error.
+    """
     if ids is not None and filters:
         raise ValueError("'ids' excludes other filters.")
     kept = grid.where(F.col("id").isin(*ids)) if ids is not None else filter_factor_grid(grid, **filters)
     returns = spark.read.parquet(returns_path)
-    keys = ["id", *(c for c in ("sorting_variable", "sorting_variable_lag") if c in returns.columns and c in kept.columns)]
+    folders = [c for c in ("sorting_variable", "sorting_variable_lag") if c in returns.columns and c in kept.columns]
+    keys = ["id", *folders]
+    plain = lambda c: F.regexp_replace(c, "^sv_", "")
+    if "sorting_variable" in keys:
+        kept = kept.withColumn("sorting_variable", plain("sorting_variable"))
+    if folders:
+        there = _folders(returns, folders)
+        wanted = {tuple(str(x) for x in r) for r in kept.select(*folders).distinct().collect()}  # settings, not rows
+        if there and (missing := wanted - {tuple(x.removeprefix("sv_") if c == "sorting_variable" else x for c, x in zip(folders, f)) for f in there}):
+            raise ValueError(f"No returns in the library for {sorted(missing)}.")
+        for k, c in enumerate(folders):
+            values = {w[k] for w in wanted}
+            values |= {f"sv_{v}" for v in values} if c == "sorting_variable" else set()
+            returns = returns.where(F.col(c).cast("string").isin(*sorted(values)))
     if "sorting_variable" in keys:
-        returns = returns.withColumn("sorting_variable", F.regexp_replace("sorting_variable", "^sv_", ""))
-        kept = kept.withColumn("sorting_variable", F.regexp_replace("sorting_variable", "^sv_", ""))
+        returns = returns.withColumn("sorting_variable", plain("sorting_variable"))
     return between_dates(returns.join(kept, keys), start_date, end_date)
+
+
+def _folders(returns: DataFrame, names: list[str]) -> set[tuple[str, ...]]:
+    """The values of the folder columns that exist, from the list of files that Spark has; empty if they are no folders."""
+    found = [[re.search(rf"/{n}=([^/]+)/", f) for n in names] for f in returns.inputFiles()]
+    return {tuple(unquote(m[1]) for m in f) for f in found if all(f)}

@@ -29,7 +29,7 @@ def plain(value):
     return "" if value is None or value != value else str(value).removesuffix(" 00:00:00").removesuffix(".0")
 
 
-@pytest.mark.parametrize("name", ["returns_annual", "breakpoints_smooth", "lag_window_drop_na", "join_lagged", "rolling_deviation_quarter", "rolling_betas_two", "fama_macbeth_newey_west", "trace_clean", "summary_detail", "crsp_monthly_v1_raw", "crsp_daily_v1", "fisd_bonds", "catalogue", "breakpoints_whole", "french_factors", "stock_prices", "factor_library", "trace_clean_older", "crsp_monthly_older", "compustat_annual"])
+@pytest.mark.parametrize("name", ["returns_annual", "breakpoints_smooth", "lag_window_drop_na", "join_lagged", "rolling_deviation_quarter", "rolling_betas_two", "fama_macbeth_newey_west", "trace_clean", "summary_detail", "crsp_monthly_v1_raw", "crsp_daily_v1", "fisd_bonds", "ols_large_means", "rolling_betas_long", "breakpoints_whole", "french_factors", "stock_prices", "factor_library", "trace_clean_older", "crsp_monthly_older", "compustat_annual"])
 def test_query_equals_sql(spark, name):
     got = QUERIES[name](spark, SMALL)
     con = duckdb.connect()

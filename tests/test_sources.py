@@ -235,3 +235,18 @@ def test_catalogue(spark):
     for bad in (lambda: resolve_domain("x"), lambda: load_data(spark, "WRDS", "x"), lambda: load_data(spark, "FRED", "x")):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_laws_of_pseudo_data(spark):
+    """A thousand assets over twenty-one years by default: rows, assets, dates and distributions."""
+    day = lambda *x: datetime.date(*x)
+    c = F.col
+    laws = {
+        "crsp_monthly": ("permno", "date", 252_000, day(2000, 1, 1), day(2020, 12, 1), (F.abs(F.avg("ret") - 0.008) < 0.002) & (F.abs(F.stddev("ret") - 0.1) < 0.002) & (F.min("ret_excess") >= -1)),
+        "crsp_daily": ("permno", "date", 5_479_000, day(2000, 1, 3), day(2020, 12, 31), (F.abs(F.avg("ret") - 0.0004) < 0.0002) & F.every(F.weekday("date") < 5)),
+        "compustat_annual": ("gvkey", "datadate", 21_000, day(2000, 12, 31), day(2020, 12, 31), (F.min("at") > 0) & F.every((c("be") > 0) | c("be").isNull())),
+        "compustat_quarterly": ("gvkey", "datadate", 84_000, day(2000, 3, 31), day(2020, 12, 31), (F.min("atq") > 0) & F.every(c("ceqq").between(c("atq") * 0.2, c("atq") * 0.6))),
+    }
+    for name, (asset, date, n, first, last, holds) in laws.items():
+        rows = pseudo.DATASETS[name](spark, "2000-01-01", "2020-12-31")
+        assert tuple(rows.agg(F.count(F.lit(1)), F.count_distinct(asset), F.min(date), F.max(date), holds).first()) == (n, 1000, first, last, True), name
