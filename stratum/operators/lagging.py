@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..frames import inner_name, require_columns, require_new_columns, table_function
 from ..functions.calendar import Offset, to_offset
 from ..options import roles
+from ..shared import materialize
 
 
 def _columns(x: str | list[str] | None) -> list[str]:
@@ -30,12 +31,32 @@ def _last_of_year(source: DataFrame, by: list[str], date: str) -> DataFrame:
     return source.withColumn(last, F.max(date).over(part)).where(F.col(date) == F.col(last)).drop(last)
 
 
-def _stretch(both: DataFrame, at: str) -> Column:
-    """The number of a date's stretch, of as many as there are shuffle partitions (128 at most), by approximate cuts."""
-    n = min(128, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    days = F.unix_date(F.col(at).cast("date"))
-    cuts = both.agg(F.percentile_approx(days, F.array(*(F.lit(k / n) for k in range(1, n))), F.lit(1000))).first()[0]
-    return sum((F.coalesce((days > c).cast("int"), F.lit(0)) for c in sorted(set(cuts or []))), F.lit(0))
+#: Rows of a group beyond which its dates are cut into stretches; bytes of input below which no group is looked at.
+LONG_GROUP, SMALL_INPUT = 1_000_000, 1 << 28
+
+
+def _long_groups(both: DataFrame, keys: list[str], at: str, cuts: str) -> DataFrame | None:
+    """The groups with more than LONG_GROUP rows (without keys: the whole table) and the approximate cuts of their dates, as
+    many as there are shuffle partitions (128 at most); None where there are none. Written when this is called."""
+    if keys and int(both._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_INPUT:
+        return None
+    n = max(2, min(128, int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    days = F.percentile_approx(F.unix_date(F.col(at).cast("date")), F.array(*(F.lit(k / n) for k in range(1, n))), F.lit(1000))
+    if not keys:
+        return materialize(both.agg(F.array_distinct(F.coalesce(days, F.array().cast("array<int>"))).alias(cuts)), "cuts")
+    counts = materialize(both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG_GROUP), "long-groups")
+    if counts.isEmpty():
+        return None
+    named = [F.col(k).alias(f"_{k}") for k in keys]
+    long = both.join(counts.select(*named), _same(keys), "left_semi")
+    return materialize(long.groupBy(*keys).agg(F.array_distinct(F.coalesce(days, F.array().cast("array<int>"))).alias(cuts)), "cuts")
+
+
+def _same(keys: list[str]) -> Column:
+    on = F.lit(True)
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return on
 
 
 def asof_backward(target: DataFrame, source: DataFrame, by: list[str], target_at: Column, source_at: Column, found: str) -> DataFrame:
@@ -43,28 +64,36 @@ def asof_backward(target: DataFrame, source: DataFrame, by: list[str], target_at
 
     One shuffle of both tables together and one sort: a source row stands before the target rows of its date, and a
     running last value carries it forward. Of source rows at the same date the last in the order of all their columns
-    counts. NULL groups match each other; a NULL date finds nothing. Without groups the dates are cut into stretches that
-    are sorted side by side; what the stretches before carry over is a row for each.
+    counts. NULL groups match each other; a NULL date finds nothing. The dates of a table without groups, and of a group
+    with more than LONG_GROUP rows, are cut into stretches that are sorted side by side; what the stretches before carry
+    over is a row for each.
     """
     keys = [inner_name(f"k{i}") for i in range(len(by))]
     rows, row, tag, at = (inner_name(x) for x in ("target", "source", "tag", "at"))
     left = target.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), target_at.alias(at), F.lit(1).alias(tag), F.struct(*(f"`{c}`" for c in target.columns)).alias(rows))
     right = source.select(*(F.col(b).alias(k) for b, k in zip(by, keys)), source_at.alias(at), F.lit(0).alias(tag), F.struct(source_at.alias("at"), *(F.col(f"`{c}`") for c in source.columns if c != "at")).alias(row))
     both = left.unionByName(right.where(F.col(at).isNotNull()), allowMissingColumns=True)
+    stretch, cuts = inner_name("stretch"), inner_name("cuts")
+    long = _long_groups(both, keys, at, cuts)
     parts = keys
-    if not keys:
-        parts = [inner_name("stretch")]
-        both = both.withColumn(parts[0], _stretch(both, at))
+    if long is not None:
+        parts = [*keys, stretch]
+        few = F.broadcast(long) if not keys or long.count() <= 1000 else long
+        both = both.join(few.select(*(F.col(k).alias(f"_{k}") for k in keys), cuts), _same(keys), "left").drop(*(f"_{k}" for k in keys))
+        day = F.unix_date(F.col(at).cast("date"))
+        both = both.withColumn(stretch, F.when(F.col(cuts).isNotNull() & day.isNotNull(), F.size(F.filter(cuts, lambda c: c < day))).otherwise(0))
     order = Window.partitionBy(*parts).orderBy(F.col(at).asc_nulls_first(), tag, row)
     order = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = both.withColumn(row, F.last(row, ignorenulls=True).over(order)).where(F.col(tag) == 1)
-    if not keys:
-        part, ahead = parts[0], inner_name("ahead")
-        latest = both.where(F.col(tag) == 0).groupBy(part).agg(F.max(F.struct(at, row)).alias(ahead))
-        latest = both.select(part).distinct().join(latest, part, "left")
-        earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row for each stretch
-        latest = latest.select(part, F.last(F.col(ahead)[row], ignorenulls=True).over(earlier).alias(ahead))
-        carried = carried.join(F.broadcast(latest), part).withColumn(row, F.coalesce(row, ahead))
+    if long is not None:
+        ahead = inner_name("ahead")
+        latest = both.where((F.col(tag) == 0) & F.col(cuts).isNotNull()).groupBy(*parts).agg(F.max(F.struct(at, row)).alias(ahead))
+        every = long.select(*(F.col(k).alias(f"_{k}") for k in keys), F.explode(F.sequence(F.lit(0), F.size(cuts))).alias(f"_{stretch}"))
+        of = every.join(latest, _same(parts), "left").select(*(f"_{p}" for p in parts), ahead)
+        whole = Window.partitionBy(*(f"_{k}" for k in keys)) if keys else Window.partitionBy(F.lit(0))  # a row for each stretch
+        earlier = whole.orderBy(f"_{stretch}").rowsBetween(Window.unboundedPreceding, -1)
+        of = of.select(*(f"_{p}" for p in parts), F.last(F.col(ahead)[row], ignorenulls=True).over(earlier).alias(ahead))
+        carried = carried.join(of, _same(parts), "left").withColumn(row, F.coalesce(row, ahead))
     return carried.select(*(F.col(rows)[c].alias(c) for c in target.columns), F.when(F.col(at).isNotNull(), F.col(row)).alias(found))
 
 

@@ -7,12 +7,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stratum import as_spark, compute_rolling_value, create_summary_statistics, estimate_betas, estimate_fama_macbeth, estimate_model, quantiles
+from stratum import add_lagged_columns, as_spark, compute_rolling_value, create_summary_statistics, estimate_betas, estimate_fama_macbeth, estimate_model, join_lagged_values, quantiles
 from stratum.functions import least_squares, quantile
 from stratum.functions.panes import PaneAggregate
 from stratum.functions.quantile import refined_quantiles
 from stratum.functions.rolling_fit import window_fits
-from stratum.operators import regression
+from stratum.operators import lagging, regression
 
 
 def plan_of(df):
@@ -155,3 +155,22 @@ def test_rolling_values_are_merged_from_panes(spark):
     # Rows are not sent to windows one by one.
     assert "Generate" not in plan_of(compute_rolling_value(table, "avg(x)", "month", 60, by=["g"]))
     assert "Generate" in plan_of(compute_rolling_value(table, "median(x)", "month", 60, by=["g"]))
+
+
+def test_lags_of_hot_groups_are_sorted_in_stretches(spark, monkeypatch):
+    """A group with most of the rows, with dates that tie or are missing, and a NULL group: as in one piece."""
+    start = datetime.date(2001, 1, 1)
+    days = [start + datetime.timedelta(days=int(d)) for d in np.random.default_rng(4).choice(900, 500, replace=False)]
+    rows = [(1, d, float(k) if k % 5 else None) for k, d in enumerate(days)] + [(1, None, 7.0)]
+    rows += [(g, d, float(k)) for g in (2, None) for k, d in enumerate(days[:40])]
+    data = spark.createDataFrame(rows, "g int, date date, x double").repartition(6)
+    other = data.where("x IS NOT NULL").withColumnRenamed("x", "y").where("pmod(y, 3) = 0")
+    plain = [add_lagged_columns(data, "x", 10, 30, by="g", drop_na=drop).collect() for drop in (False, True)]
+    joined = join_lagged_values(data, other, "g", 5, 60).collect()
+    monkeypatch.setattr(lagging, "LONG_GROUP", 100)
+    monkeypatch.setattr(lagging, "SMALL_INPUT", 0)
+    for drop, want in zip((False, True), plain):
+        got = add_lagged_columns(data, "x", 10, 30, by="g", drop_na=drop)
+        assert "_stretch" in plan_of(got)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
+    assert sorted(map(tuple, join_lagged_values(data, other, "g", 5, 60).collect()), key=str) == sorted(map(tuple, joined), key=str)
