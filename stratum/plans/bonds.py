@@ -74,34 +74,84 @@ def _match(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str) ->
     return left.join(other, on, how).drop(*names.values())
 
 
+_DAY = {c: c for c in ("cusip_id", "trd_exctn_dt")}
+
+
+def _jumps(alone: DataFrame) -> DataFrame:
+    """alone: numbers with one number _up before them, _far and _times apart; the same with the last _up that is none of them.
+
+    Each round doubles how far a number looks, so a chain takes as many rounds as its length has binary digits. Numbers that
+    run in a circle have no such _up and are left out.
+    """
+    jumps = materialize(alone, "corrections-jumps")
+    rounds = jumps.count().bit_length() + 1
+    up = _DAY | {"_up": "_number"}
+    while rounds and not _match(jumps, jumps.select(*_DAY, "_number"), up, "left_semi").isEmpty():
+        rounds -= 1
+        ahead = jumps.select(*_DAY, "_number", F.col("_up").alias("_up2"), F.col("_far").alias("_far2"), F.col("_times").alias("_times2"))
+        both = _match(jumps, ahead, up, "left").withColumn("_on", F.col("_far2").isNotNull())
+        jumps = both.select(*_DAY, "_number", F.when(F.col("_on"), F.col("_up2")).otherwise(F.col("_up")).alias("_up"), (F.col("_far") + F.coalesce("_far2", F.lit(0))).alias("_far"), (F.col("_times") * F.coalesce("_times2", F.lit(1))).alias("_times"))
+        jumps = materialize(jumps, "corrections-jumps")
+    return _match(jumps, jumps.select(*_DAY, "_number"), up, "left_anti")
+
+
+def _reached(steps: DataFrame, carried: DataFrame, corrected: DataFrame) -> DataFrame:
+    """The corrected numbers that trades lead to: in which round first, and with how many copies of each correction.
+
+    A number that a trade carries is reached in round 0, any other in the round behind the first of the numbers that
+    corrections lead from to it. Stretches of numbers with one number before them are jumped over (`_jumps`); only
+    where several lead to one are rounds repeated, until nothing changes.
+    """
+    number = _DAY | {"_number": "_number"}
+    arcs = steps.select(*_DAY, F.col("_number").alias("_up"), F.col("_next").alias("_number"), F.lit(1).alias("_far"), F.col("_n").alias("_times"))
+    arcs = materialize(_match(_match(arcs, corrected, number, "left_semi"), carried, number, "left_anti"), "corrections-arcs")
+    before = arcs.groupBy(*_DAY, "_number").agg(F.count(F.lit(1)).alias("_k"))
+    jumps = materialize(_jumps(_match(arcs, before.where("_k = 1").drop("_k"), number, "left_semi")), "corrections-jumps")
+    # What leads to numbers with several before them, from the nearest number that is no jump.
+    several = _match(arcs, before.where("_k > 1").drop("_k"), number, "left_semi")
+    circles = _match(arcs, before.where("_k = 1").drop("_k"), number, "left_semi").select(*number)
+    over = jumps.select(*_DAY, "_number", F.col("_up").alias("_up2"), F.col("_far").alias("_far2"), F.col("_times").alias("_times2"))
+    far = _match(several, over, _DAY | {"_up": "_number"}, "inner").select(*_DAY, "_number", F.col("_up2").alias("_up"), (F.col("_far") + F.col("_far2")).alias("_far"), (F.col("_times") * F.col("_times2")).alias("_times"))
+    near = _match(several, circles, _DAY | {"_up": "_number"}, "left_anti")
+    several = materialize(near.unionByName(far), "corrections-arcs")
+
+    def follow(arcs: DataFrame, values: DataFrame) -> DataFrame:
+        at = values.select(*_DAY, F.col("_number"), F.col("_round"), F.col("_copies"))
+        found = _match(arcs, at, _DAY | {"_up": "_number"}, "inner")
+        return found.select(*number, (F.col("_round") + F.col("_far")).alias("_round"), (F.col("_copies") * F.col("_times")).alias("_copies"))
+
+    values, state = carried, None
+    while not several.isEmpty():
+        found = follow(several, values).groupBy(*number, "_round").agg(F.sum("_copies").alias("_copies"))
+        found = found.groupBy(*number).agg(F.min(F.struct("_round", "_copies")).alias("_first"))
+        found = materialize(found.select(*number, "_first.*"), "corrected")
+        last, state = state, tuple(found.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*found.columns).cast("decimal(38,0)"))).first())
+        values = carried.unionByName(found.select(*carried.columns))
+        if state == last:
+            break
+    return materialize(values.unionByName(follow(jumps, values).select(*values.columns)), "corrected")
+
+
 def _corrected(trades: DataFrame, corrections: DataFrame) -> DataFrame:
     """trades after their corrections: a correction takes the place of the trades of its bond and day that carry the number
     it corrects, once for each, and may itself be corrected by one that found nothing before.
 
     A number is reached in round 0 if a trade carries it, later if a correction does that corrects a number of the round
-    before; the round that reaches a number first decides. So rounds need only numbers with their copies, not trades; each
-    is a join on bond, day and number, and there are as many as the longest chain has corrections.
+    before; the round that reaches a number first decides. What is followed are numbers with their copies, not trades, by
+    joins on bond, day and number; a chain takes rounds by the logarithm of its length.
     """
-    day = {c: c for c in ("cusip_id", "trd_exctn_dt")}
-    number = day | {"_number": "_number"}
-    steps = corrections.groupBy(*day, F.col("orig_msg_seq_nb").alias("_number"), F.col("msg_seq_nb").alias("_next"))
+    number = _DAY | {"_number": "_number"}
+    steps = corrections.groupBy(*_DAY, F.col("orig_msg_seq_nb").alias("_number"), F.col("msg_seq_nb").alias("_next"))
     steps = materialize(steps.agg(F.count(F.lit(1)).alias("_n")), "corrections")
     if steps.isEmpty():
         return trades
     corrected = steps.select(*number).distinct()
-    carried = trades.groupBy(*day, F.col("msg_seq_nb").alias("_number")).agg(F.count(F.lit(1)).alias("_copies"))
-    front = materialize(_match(carried, corrected, number, "left_semi").withColumn("_round", F.lit(0)), "corrected")
-    reached, k = front, 0
-    while not front.isEmpty():
-        k += 1
-        found = _match(steps, front.drop("_round"), number, "inner").groupBy(*day, F.col("_next").alias("_number"))
-        found = found.agg(F.sum(F.col("_n") * F.col("_copies")).alias("_copies"))
-        found = _match(_match(found, corrected, number, "left_semi"), reached, number, "left_anti")
-        front = materialize(found.withColumn("_round", F.lit(k)), "corrected")
-        reached = reached.unionByName(front)
-    kept = _match(trades, corrected, day | {"msg_seq_nb": "_number"}, "left_anti")
-    placed = _match(corrections, reached, day | {"orig_msg_seq_nb": "_number"}, "inner").withColumn("_round", F.col("_round") + 1)
-    placed = _match(placed, reached.drop("_copies"), day | {"msg_seq_nb": "_number", "_round": "_round"}, "left_anti")
+    carried = trades.groupBy(*_DAY, F.col("msg_seq_nb").alias("_number")).agg(F.count(F.lit(1)).alias("_copies"))
+    carried = materialize(_match(carried, corrected, number, "left_semi").withColumn("_round", F.lit(0)), "carried")
+    reached = _reached(steps, carried, corrected)
+    kept = _match(trades, corrected, _DAY | {"msg_seq_nb": "_number"}, "left_anti")
+    placed = _match(corrections, reached, _DAY | {"orig_msg_seq_nb": "_number"}, "inner").withColumn("_round", F.col("_round") + 1)
+    placed = _match(placed, reached.drop("_copies"), _DAY | {"msg_seq_nb": "_number", "_round": "_round"}, "left_anti")
     copies = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
     return kept.unionByName(copies.select(*trades.columns))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..frames import inner_name, table_function
 from ..functions.calendar import months_between_starts
+from ..operators.validity import join_validity
 from .codes import exchange, exchange_of_number, industry
 
 #: Common stocks of US corporations, traded on the three exchanges.
@@ -21,10 +22,8 @@ PERFORMANCE_CODES = (500, 520, 580, 584)
 def with_names(stocks: DataFrame, names: DataFrame, start: str, end: str, date: str = "date", only: str | None = None) -> DataFrame:
     """stocks with the columns of the names row whose validity interval holds the date; NULL keys match nothing."""
     kept = names.where(only) if only else names
-    id, low, high = (inner_name(x) for x in ("id", "low", "high"))
-    kept = kept.select(F.col("permno").alias(id), F.col(start).alias(low), F.col(end).alias(high), *(c for c in kept.columns if c not in {"permno", start, end, *stocks.columns}))
-    on = (stocks["permno"] == kept[id]) & (stocks[date] >= kept[low]) & (stocks[date] <= kept[high])
-    return stocks.join(kept, on).drop(id, low, high)
+    kept = kept.select("permno", start, end, *(c for c in kept.columns if c not in {"permno", start, end, *stocks.columns}))
+    return join_validity(stocks, kept, "permno", date, start, end)
 
 
 def lagged_month(panel: DataFrame, column: str, new: str) -> DataFrame:
@@ -134,6 +133,5 @@ def ccm_links(links: DataFrame, as_of: str) -> DataFrame:
 @table_function
 def add_gvkey(panel: DataFrame, links: DataFrame) -> DataFrame:
     """panel with the gvkey whose link holds the date; two valid links give two rows."""
-    link = links.where("gvkey IS NOT NULL").select(F.col("permno").alias("_permno"), "gvkey", "linkdt", "linkenddt")
-    on = (panel["permno"] == link["_permno"]) & (panel["date"] >= link["linkdt"]) & (panel["date"] <= link["linkenddt"])
-    return panel.join(link, on, "left").drop("_permno", "linkdt", "linkenddt")
+    link = links.where("gvkey IS NOT NULL").select("permno", "gvkey", "linkdt", "linkenddt")
+    return join_validity(panel, link, "permno", "date", "linkdt", "linkenddt", "left")

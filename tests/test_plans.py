@@ -118,9 +118,11 @@ def brute_corrections(trades, waiting):
         trades = [t for t in trades if key(t, "msg_seq_nb") not in gone] + found
 
 
-def test_corrections_equal_one_global_loop(spark):
-    r = np.random.default_rng(1)
-    rows = [{"cusip_id": f"B{r.integers(3)}", "trd_exctn_dt": day(f"2011-01-0{r.integers(1, 4)}"), "msg_seq_nb": int(r.integers(12)), "orig_msg_seq_nb": None if r.random() < 0.3 else int(r.integers(12)), "v": k, "_w": bool(r.random() < 0.5)} for k in range(160)]
+@pytest.mark.parametrize(("seed", "numbers", "corrections"), [(1, 12, 0.5), (2, 18, 0.9), (3, 30, 0.85)])
+def test_corrections_equal_one_global_loop(spark, seed, numbers, corrections):
+    """Branches, circles, repeated messages, missing numbers, and chains of several corrections."""
+    r = np.random.default_rng(seed)
+    rows = [{"cusip_id": f"B{r.integers(3)}", "trd_exctn_dt": day(f"2011-01-0{r.integers(1, 4)}"), "msg_seq_nb": int(r.integers(numbers)), "orig_msg_seq_nb": None if r.random() < 0.3 else int(r.integers(numbers)), "v": k, "_w": bool(r.random() < corrections)} for k in range(160)]
     schema = "cusip_id string, trd_exctn_dt date, msg_seq_nb long, orig_msg_seq_nb long, v long"
     table = lambda w: spark.createDataFrame([{k: x for k, x in row.items() if k != "_w"} for row in rows if row["_w"] == w], schema)
     got = bonds._corrected(table(False), table(True)).collect()
@@ -128,6 +130,19 @@ def test_corrections_equal_one_global_loop(spark):
     assert sorted(x.v for x in got) == sorted(x["v"] for x in want)
 
 
+def test_long_chains_take_few_rounds(spark, monkeypatch):
+    """A trade that is corrected 10,000 times in a row, once twice over, and a circle that no trade leads to."""
+    made = []
+    write = bonds.materialize
+    monkeypatch.setattr(bonds, "materialize", lambda df, name: made.append(name) or write(df, name))
+    on = day("2011-01-03")
+    schema = "cusip_id string, trd_exctn_dt date, msg_seq_nb long, orig_msg_seq_nb long"
+    chain = [("B", on, k + 1, k) for k in range(10_000)] + [("B", on, 5001, 5000), ("C", on, 1, 2), ("C", on, 2, 1)]
+    got = bonds._corrected(spark.createDataFrame([("B", on, 0, None), ("D", on, 0, None)], schema), spark.createDataFrame(chain, schema)).collect()
+    assert sorted((r.cusip_id, r.msg_seq_nb) for r in got) == [("B", 10_000)] * 2 + [("D", 0)]
+    assert len(made) < 25
+
+
 def test_bond_universe(spark):
     plain = {"security_level": "SEN", "bond_type": "CDEB", "foreign_currency": "N", "coupon_type": "F", "coupon_change_indicator": "N", "interest_frequency": "2", "rule_144a": "N", "defaulted": "N", "convertible": "N", "perpetual": "N"}
     names = [*bonds.ISSUE_COLUMNS, *(w for w in "security_level slob security_pledge asset_backed defeased defeased_date bond_type pay_in_kind pay_in_kind_exp_date yankee canadian foreign_currency coupon_type fix_frequency coupon_change_indicator rule_144a private_placement defaulted filing_date settlement convertible exchange putable unit_deal exchangeable perpetual preferred_security".split())]

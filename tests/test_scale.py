@@ -12,7 +12,7 @@ from stratum.functions import least_squares, quantile
 from stratum.functions.panes import PaneAggregate
 from stratum.functions.quantile import refined_quantiles
 from stratum.functions.rolling_fit import window_fits
-from stratum.operators import lagging, regression
+from stratum.operators import lagging, regression, validity
 
 
 def plan_of(df):
@@ -174,3 +174,36 @@ def test_lags_of_hot_groups_are_sorted_in_stretches(spark, monkeypatch):
         assert "_stretch" in plan_of(got)
         assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want), key=str)
     assert sorted(map(tuple, join_lagged_values(data, other, "g", 5, 60).collect()), key=str) == sorted(map(tuple, joined), key=str)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_validity_joins_of_crowded_ids(spark, monkeypatch, how):
+    """Overlapping, nested, open and empty intervals, NULLs: as a comparison of all pairs finds them."""
+    r = np.random.default_rng(11)
+    day = lambda k: datetime.date(2000, 1, 1) + datetime.timedelta(int(k))
+    spans = [(int(g), day(a), day(a + n), f"v{k}") for k, (g, a, n) in enumerate(zip(r.integers(0, 2, 300), r.integers(0, 2000, 300), r.choice([0, 3, 40, 900], 300)))]
+    spans += [(0, day(100), day(50), "empty"), (0, None, day(70), "null"), (None, day(0), day(3000), "none"), (5, day(0), day(3000), "alone")]
+    rows = [(g, day(d), k) for k, (g, d) in enumerate(zip([*r.integers(0, 3, 200), 5, 5], r.integers(-50, 3200, 202)))]
+    rows = [(int(g), d, k) for g, d, k in rows] + [(None, day(5), 900), (0, None, 901)]
+    left = spark.createDataFrame(rows, "permno int, date date, k int").repartition(3)
+    right = spark.createDataFrame(spans, "permno int, start date, end date, name string").repartition(3)
+    want = []
+    for g, d, k in rows:
+        hits = [(g, d, k, n) for h, a, b, n in spans if g is not None and g == h and d and a and a <= d <= b]
+        want += hits or ([(g, d, k, None)] if how == "left" else [])
+    plain = validity.join_validity(left, right, "permno", "date", "start", "end", how)
+    monkeypatch.setattr(validity, "CROWDED", 20)
+    monkeypatch.setattr(validity, "SMALL_INPUT", 0)
+    cut = validity.join_validity(left, right, "permno", "date", "start", "end", how)
+    assert "_bin" in plan_of(cut) and "_bin" not in plan_of(plain)
+    key = lambda rows: sorted(map(tuple, rows), key=str)
+    assert key(cut.collect()) == key(plain.collect()) == key(want) and cut.columns == ["permno", "date", "k", "name"]
+
+
+def test_an_id_with_many_intervals(spark, monkeypatch):
+    monkeypatch.setattr(validity, "SMALL_INPUT", 0)
+    starts = spark.range(100_000).select(F.lit(1).alias("permno"), F.date_add(F.lit("1900-01-01").cast("date"), (F.col("id") / 3).cast("int")).alias("start"), F.col("id").alias("name"))
+    spans = starts.withColumn("end", F.date_add("start", 4))
+    rows = spark.range(20_000).select(F.lit(1).alias("permno"), F.date_add(F.lit("1900-01-10").cast("date"), F.col("id").cast("int")).alias("date"))
+    got = validity.join_validity(rows, spans, "permno", "date", "start", "end")
+    assert got.count() == 20_000 * 15
