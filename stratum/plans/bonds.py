@@ -84,14 +84,15 @@ def _jumps(alone: DataFrame) -> DataFrame:
     run in a circle have no such _up and are left out.
     """
     jumps = materialize(alone, "corrections-jumps")
-    rounds = jumps.count().bit_length() + 1
     up = _DAY | {"_up": "_number"}
-    while rounds and not _match(jumps, jumps.select(*_DAY, "_number"), up, "left_semi").isEmpty():
-        rounds -= 1
+    for _ in range(jumps.count().bit_length() + 1):
         ahead = jumps.select(*_DAY, "_number", F.col("_up").alias("_up2"), F.col("_far").alias("_far2"), F.col("_times").alias("_times2"))
         both = _match(jumps, ahead, up, "left").withColumn("_on", F.col("_far2").isNotNull())
-        jumps = both.select(*_DAY, "_number", F.when(F.col("_on"), F.col("_up2")).otherwise(F.col("_up")).alias("_up"), (F.col("_far") + F.coalesce("_far2", F.lit(0))).alias("_far"), (F.col("_times") * F.coalesce("_times2", F.lit(1))).alias("_times"))
-        jumps = materialize(jumps, "corrections-jumps")
+        both = both.select(*_DAY, "_number", F.when(F.col("_on"), F.col("_up2")).otherwise(F.col("_up")).alias("_up"), (F.col("_far") + F.coalesce("_far2", F.lit(0))).alias("_far"), (F.col("_times") * F.coalesce("_times2", F.lit(1))).alias("_times"), "_on")
+        both = materialize(both, "corrections-jumps")
+        jumps = both.drop("_on")
+        if both.where("_on").isEmpty():
+            return jumps
     return _match(jumps, jumps.select(*_DAY, "_number"), up, "left_anti")
 
 
@@ -106,13 +107,13 @@ def _reached(steps: DataFrame, carried: DataFrame, corrected: DataFrame) -> Data
     arcs = steps.select(*_DAY, F.col("_number").alias("_up"), F.col("_next").alias("_number"), F.lit(1).alias("_far"), F.col("_n").alias("_times"))
     arcs = materialize(_match(_match(arcs, corrected, number, "left_semi"), carried, number, "left_anti"), "corrections-arcs")
     before = arcs.groupBy(*_DAY, "_number").agg(F.count(F.lit(1)).alias("_k"))
-    jumps = materialize(_jumps(_match(arcs, before.where("_k = 1").drop("_k"), number, "left_semi")), "corrections-jumps")
+    alone = _match(arcs, before.where("_k = 1").drop("_k"), number, "left_semi")
+    jumps = _jumps(alone)
     # What leads to numbers with several before them, from the nearest number that is no jump.
     several = _match(arcs, before.where("_k > 1").drop("_k"), number, "left_semi")
-    circles = _match(arcs, before.where("_k = 1").drop("_k"), number, "left_semi").select(*number)
     over = jumps.select(*_DAY, "_number", F.col("_up").alias("_up2"), F.col("_far").alias("_far2"), F.col("_times").alias("_times2"))
     far = _match(several, over, _DAY | {"_up": "_number"}, "inner").select(*_DAY, "_number", F.col("_up2").alias("_up"), (F.col("_far") + F.col("_far2")).alias("_far"), (F.col("_times") * F.col("_times2")).alias("_times"))
-    near = _match(several, circles, _DAY | {"_up": "_number"}, "left_anti")
+    near = _match(several, alone.select(*number), _DAY | {"_up": "_number"}, "left_anti")
     several = materialize(near.unionByName(far), "corrections-arcs")
 
     def follow(arcs: DataFrame, values: DataFrame) -> DataFrame:
