@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog import check_jkp_selection
 from .dates import between_dates
 
 #: What a provider writes for a missing value.
@@ -159,8 +160,16 @@ def read_mispricing_factors(spark: SparkSession, path: str, start_date: str | No
     return between_dates(raw.select(width_date(F.col(f"`{date}`")).alias("date"), *values), start_date, end_date)
 
 
-def read_global_factors(spark: SparkSession, path: str, start_date: str | None = None, end_date: str | None = None, monthly: bool = True) -> DataFrame:
-    """Global factor data (CSV): `na` is missing, monthly dates are moved to their month's first day, pf is a whole number."""
+def read_global_factors(
+    spark: SparkSession, path: str, start_date: str | None = None, end_date: str | None = None, monthly: bool = True,
+    manifest: str | None = None, dataset: str = "factors", region: str | None = None, selector: str | None = None,
+) -> DataFrame:
+    """Global factor data (CSV): `na` is missing, monthly dates are moved to their month's first day, pf is a whole number.
+
+    manifest: a saved manifest, in which the region must have the selector, in the frequency asked for.
+    """
+    if manifest is not None:
+        check_jkp_selection(spark, manifest, dataset, region or "", selector or "", "monthly" if monthly else "daily")
     raw = spark.read.csv(path, header=True, nullValue="na", inferSchema=True)
     date = "date" if "date" in raw.columns else "eom"
     day = F.to_date(date)

@@ -191,6 +191,13 @@ def test_indexes_and_manifests(spark, tmp_path):
     for bad in (("factors", "usa", "size", "daily"), ("factors", "x", "size"), ("factors", "deu", "be_me"), ("portfolios", "usa", "size")):
         with pytest.raises(ValueError):
             check_jkp_selection(spark, str(path), *bad)
+    data = tmp_path / "size.csv"
+    data.write_text("date,ret\n2020-01-31,0.5\n")
+    read = lambda monthly, region: factors.read_global_factors(spark, str(data), monthly=monthly, manifest=str(path), region=region, selector="size")
+    assert read(True, "usa").first().date == day("2020-01-01") and read(False, "deu").first().date == day("2020-01-31")
+    for bad in ((False, "usa"), (True, "x")):
+        with pytest.raises(ValueError):
+            read(*bad)
     for bad in (("usa", "other"), ("x", "factors")):
         with pytest.raises(ValueError):
             list_supported_jkp_factors(spark, str(path), *bad)
