@@ -93,7 +93,7 @@ def distribution_quantiles(values: DataFrame, groups: list[str], probs: list[flo
 
 #: A sketch's rank error is a row in ACCURACY; brackets are three times as wide to each side. Groups smaller than
 #: SMALL_GROUP are not bracketed. At most BROADCAST_GROUPS rows of brackets are broadcast.
-ACCURACY, SMALL_GROUP, BROADCAST_GROUPS = 4000, 16_000, 10_000
+ACCURACY, SMALL_GROUP, BROADCAST_GROUPS = 4000, 100_000, 10_000
 
 
 def refined_quantiles(data: DataFrame, groups: list[str], value: str, probs: list[float], name: str = "quantiles", more: list[Column] | None = None) -> DataFrame:
@@ -113,11 +113,15 @@ def refined_quantiles(data: DataFrame, groups: list[str], value: str, probs: lis
     low = [side(p - margin, float("-inf")).alias(f"_low{k}") for k, p in enumerate(probs)]
     high = [side(p + margin, float("inf")).alias(f"_high{k}") for k, p in enumerate(probs)]
     brackets = first.where("_count > 0").select(*(F.col(g).alias(f"_of{k}") for k, g in enumerate(groups)), *low, *high)
-    few = not groups or first.count() <= BROADCAST_GROUPS
-    brackets = F.broadcast(brackets) if few else brackets
-    on = F.lit(True)
+    few, on = True, F.lit(True)
     for k, g in enumerate(groups):
         on &= F.col(g).eqNullSafe(F.col(f"_of{k}"))
+    if groups:
+        n, most = first.agg(F.count(F.lit(1)), F.max("_count")).first()
+        few = n <= BROADCAST_GROUPS
+        if (most or 0) < SMALL_GROUP:  # nothing to bracket
+            return _with_first(first, distribution_quantiles(distribution(data, groups, value), groups, probs, name), groups, name, on, few)
+    brackets = F.broadcast(brackets) if few else brackets
     rows = data.where(x.isNotNull()).select(*groups, x.alias("_x")).join(brackets, on)
     # The number of bracket ends below a value grows with the value, so it orders what is counted together.
     place, inside = F.lit(0), F.lit(False)
@@ -134,10 +138,16 @@ def refined_quantiles(data: DataFrame, groups: list[str], value: str, probs: lis
     running = Window.partitionBy(*groups, "_place").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     values = counted.select(*groups, "_x", "_n", (F.col("_before") + F.sum("_n").over(running)).alias("_upto"), "_count")
     found = distribution_quantiles(values, groups, probs, name)
-    named = found.select(*(F.col(g).alias(f"_of{k}") for k, g in enumerate(groups)), F.col(name))
     if not groups:
-        return named if not more else first.drop("_cuts", "_count").join(F.broadcast(named), F.lit(True), "left")
-    return first.join(named, on, "left").select(*groups, F.col(name), *(c for c in first.columns if c not in {*groups, "_count", "_cuts"}))
+        return found if not more else first.drop("_cuts", "_count").join(F.broadcast(found), F.lit(True), "left")
+    return _with_first(first, found, groups, name, on, few)
+
+
+def _with_first(first: DataFrame, found: DataFrame, groups: list[str], name: str, on: Column, few: bool) -> DataFrame:
+    """The quantiles found, and what the first pass has of each group."""
+    named = found.select(*(F.col(g).alias(f"_of{k}") for k, g in enumerate(groups)), F.col(name))
+    out = first.join(F.broadcast(named) if few else named, on, "left")
+    return out.select(*groups, F.col(name), *(c for c in first.columns if c not in {*groups, "_count", "_cuts"}))
 
 
 def quantiles(data: DataFrame, groups: list[str], value: str, probs: list[float], name: str = "quantiles") -> DataFrame:
