@@ -59,9 +59,12 @@ def trades_of(trades: DataFrame, cusips: list[str] | None = None) -> DataFrame:
     return trades.join(wanted, "cusip_id", "left_semi")
 
 
-def _without(trades: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
-    """trades without those that a row of gone equals in all keys, NULLs too."""
-    return trades.join(gone, null_safe(trades, gone, keys), "left_anti")
+def _without(trades: DataFrame, gone: DataFrame, keys: list[str], only: str | None = None) -> DataFrame:
+    """trades without those that a row of gone equals in all keys, NULLs too; only: the others stay anyhow."""
+    on = null_safe(trades, gone, keys)
+    if only:
+        on &= F.coalesce(F.expr(only), F.lit(False))
+    return trades.join(gone, on, "left_anti")
 
 
 def _match(left: DataFrame, right: DataFrame, keys: dict[str, str], how: str) -> DataFrame:
@@ -133,28 +136,62 @@ def _reached(steps: DataFrame, carried: DataFrame, corrected: DataFrame) -> Data
     return materialize(values.unionByName(follow(jumps, values).select(*values.columns)), "corrected")
 
 
-def _corrected(trades: DataFrame, corrections: DataFrame) -> DataFrame:
+def _replaced(trades: DataFrame, corrections: DataFrame, copies: str) -> tuple[DataFrame, bool]:
     """trades after their corrections: a correction takes the place of the trades of its bond and day that carry the number
     it corrects, once for each, and may itself be corrected by one that found nothing before.
 
-    A number is reached in round 0 if a trade carries it, later if a correction does that corrects a number of the round
-    before; the round that reaches a number first decides. What is followed are numbers with their copies, not trades, by
-    joins on bond, day and number; a chain takes rounds by the logarithm of its length.
+    The column copies tells how often a row stands there, so that rows do not grow with corrections times trades of a
+    number; with it comes whether there are corrections at all. A number is reached in round 0 if a trade carries it, later if a correction does that corrects a number of the
+    round before; the round that reaches a number first decides. What is followed are numbers with their copies, not trades,
+    by joins on bond, day and number; a chain takes rounds by the logarithm of its length.
     """
     number = _DAY | {"_number": "_number"}
+    once = trades.withColumn(copies, F.lit(1).cast("bigint"))
     steps = corrections.groupBy(*_DAY, F.col("orig_msg_seq_nb").alias("_number"), F.col("msg_seq_nb").alias("_next"))
     steps = materialize(steps.agg(F.count(F.lit(1)).alias("_n")), "corrections")
     if steps.isEmpty():
-        return trades
+        return once, False
     corrected = steps.select(*number).distinct()
     carried = trades.groupBy(*_DAY, F.col("msg_seq_nb").alias("_number")).agg(F.count(F.lit(1)).alias("_copies"))
     carried = materialize(_match(carried, corrected, number, "left_semi").withColumn("_round", F.lit(0)), "carried")
     reached = _reached(steps, carried, corrected)
-    kept = _match(trades, corrected, _DAY | {"msg_seq_nb": "_number"}, "left_anti")
+    kept = _match(once, corrected, _DAY | {"msg_seq_nb": "_number"}, "left_anti")
     placed = _match(corrections, reached, _DAY | {"orig_msg_seq_nb": "_number"}, "inner").withColumn("_round", F.col("_round") + 1)
     placed = _match(placed, reached.drop("_copies"), _DAY | {"msg_seq_nb": "_number", "_round": "_round"}, "left_anti")
-    copies = placed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_copies"))))
-    return kept.unionByName(copies.select(*trades.columns))
+    return kept.unionByName(placed.select(*trades.columns, F.col("_copies").alias(copies))), True
+
+
+#: Copies of a row that one task makes in one go.
+BLOCK = 1024
+
+
+def _repeated(rows: DataFrame, copies: str) -> DataFrame:
+    """Each row as often as its column copies says, which goes. Copies are made in blocks that are dealt to all tasks; no
+    array holds more than BLOCK of them, or the numbers of a row's blocks."""
+    block, many = inner_name("block"), F.col(copies)
+    names = [c for c in rows.columns if c != copies]
+    blocks = rows.withColumn(block, F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((many - 1) / BLOCK))))
+    blocks = blocks.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    one = F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.lit(BLOCK).cast("bigint"), many - F.col(block) * BLOCK)))
+    return blocks.withColumn(inner_name("copy"), one).select(*(f"`{c}`" for c in names))
+
+
+def _corrected(trades: DataFrame, corrections: DataFrame) -> DataFrame:
+    """trades after their corrections (`_replaced`), each copy a row."""
+    copies = inner_name("copies")
+    return _repeated(_replaced(trades, corrections, copies)[0], copies)
+
+
+def _less_reversed(trades: DataFrame, reversals: DataFrame, copies: str) -> DataFrame:
+    """trades without the first of each TRADE, as many as reversals has of it; only what has reversals is sorted."""
+    gone, upto = inner_name("gone"), inner_name("upto")
+    counts = reversals.groupBy(*TRADE).agg(F.sum(copies).alias(gone))
+    both = _match(trades, counts, {c: c for c in TRADE}, "left")
+    time = ["cusip_id", "trd_exctn_dt", "trd_exctn_tm", "trd_rpt_dt", "trd_rpt_tm"]
+    order = Window.partitionBy(*TRADE).orderBy(*time, "msg_seq_nb").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    some = both.where(F.col(gone).isNotNull()).withColumn(upto, F.sum(copies).over(order))
+    some = some.withColumn(copies, F.least(F.col(copies), F.col(upto) - F.col(gone))).where(F.col(copies) > 0)
+    return both.where(F.col(gone).isNull()).select(*trades.columns).unionByName(some.select(*trades.columns))
 
 
 @table_function
@@ -173,20 +210,18 @@ def process_trace_data(trace_all: DataFrame, strict_status: bool = False) -> Dat
 
     before = status(old, "T") if strict_status else old
     before = _without(before, cancelled(status(old, "C")), MESSAGE)
-    before = _corrected(before, status(old, "W"))
-    time = ["cusip_id", "trd_exctn_dt", "trd_exctn_tm", "trd_rpt_dt", "trd_rpt_tm"]
-    order = Window.partitionBy(*TRADE).orderBy(*time, "msg_seq_nb")
-    number = lambda df: df.withColumn("_seq", F.row_number().over(order))
-    reversals = number(before.where("asof_cd = 'R'")).select(*TRADE, "_seq")
-    before = number(before.where("asof_cd IS NULL OR asof_cd NOT IN ('R', 'X', 'D')"))
-    before = _without(before, reversals, [*TRADE, "_seq"]).drop("_seq")
-
-    clean = before.unionByName(after)
-    sells = clean.where("cntra_mp_id = 'D' AND rpt_side_cd = 'S'")
-    buys = _without(clean.where("cntra_mp_id = 'D' AND rpt_side_cd = 'B'"), sells.select(*(c for c in CLEAN if c in ("cusip_id", "trd_exctn_dt", "entrd_vol_qt", "rptd_pr"))), ["cusip_id", "trd_exctn_dt", "entrd_vol_qt", "rptd_pr"])
-    clean = clean.where("cntra_mp_id = 'C'").unionByName(sells).unionByName(buys)
+    copies = inner_name("copies")
+    before, several = _replaced(before, status(old, "W"), copies)
+    others = before.where("asof_cd IS NULL OR asof_cd NOT IN ('R', 'X', 'D')")
+    before = _less_reversed(others, before.where("asof_cd = 'R'"), copies)
+
+    clean = before.unionByName(after.withColumn(copies, F.lit(1).cast("bigint")))
+    clean = clean.where("cntra_mp_id = 'C' OR cntra_mp_id = 'D' AND rpt_side_cd IN ('S', 'B')")
+    pair = ["cusip_id", "trd_exctn_dt", "entrd_vol_qt", "rptd_pr"]
+    sells = clean.where("cntra_mp_id = 'D' AND rpt_side_cd = 'S'").select(*pair).distinct()
+    clean = _without(clean, sells, pair, only="cntra_mp_id = 'D' AND rpt_side_cd = 'B'")
     days = F.col("days_to_sttl_ct").cast("string").try_cast("double")
     apart = F.datediff("stlmnt_dt", "trd_exctn_dt")
     kept = clean.where((days.isNull() | (days <= 7)) & (apart.isNull() | (apart <= 7)) & (F.col("wis_fl") == "N"))
     kept = kept.where("(spcl_trd_fl IS NULL OR spcl_trd_fl = '') AND (asof_cd IS NULL OR asof_cd = '')")
-    return kept.select(*CLEAN)
+    return _repeated(kept.select(*CLEAN, copies), copies) if several else kept.select(*CLEAN)

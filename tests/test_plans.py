@@ -143,6 +143,23 @@ def test_long_chains_take_few_rounds(spark, monkeypatch):
     assert len(made) < 25
 
 
+def test_copies_of_corrections_are_counted_until_the_end(spark, monkeypatch):
+    """40 corrections of a number that 50 trades carry are 2,000 rows, made after all sorts and joins; 60 of them are reversed."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(bonds, "BLOCK", 16, raising=False)
+    at = lambda row, hour: (*row[:9], f"{hour:02}:00:00", *row[10:])
+    rows = [message(1, None, 200, "B", "C", OLD, "T")] * 50 + [at(message(2 + k, 1, 100, "B", "C", OLD, "W"), 10 + k // 10) for k in range(40)]
+    rows += [message(900 + k, None, 100, "B", "C", OLD, "T", asof="R") for k in range(60)] + [message(999, None, 300, "B", "C", OLD, "T")]
+    out = bonds.process_trace_data(spark.createDataFrame(rows, TRACE))
+    plan = [line.strip(" :+-") for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines()]
+    first = lambda *names: next(k for k, line in enumerate(plan) if line.startswith(names))
+    assert first("Generate") < first("Join", "Window", "Sort", "Aggregate")
+    got = {(r.entrd_vol_qt, r.trd_exctn_tm): r.n for r in out.groupBy("entrd_vol_qt", "trd_exctn_tm").agg(F.count(F.lit(1)).alias("n")).collect()}
+    each = 10 * 50 + 10  # copies of ten corrections, and these as messages
+    assert got == {(100, "10:00:00"): each - 60, (300, "10:00:00"): 1} | {(100, f"{h}:00:00"): each for h in (11, 12, 13)}
+
+
 def test_bond_universe(spark):
     plain = {"security_level": "SEN", "bond_type": "CDEB", "foreign_currency": "N", "coupon_type": "F", "coupon_change_indicator": "N", "interest_frequency": "2", "rule_144a": "N", "defaulted": "N", "convertible": "N", "perpetual": "N"}
     names = [*bonds.ISSUE_COLUMNS, *(w for w in "security_level slob security_pledge asset_backed defeased defeased_date bond_type pay_in_kind pay_in_kind_exp_date yankee canadian foreign_currency coupon_type fix_frequency coupon_change_indicator rule_144a private_placement defaulted filing_date settlement convertible exchange putable unit_deal exchangeable perpetual preferred_security".split())]
