@@ -46,8 +46,10 @@ def join_validity(rows: DataFrame, intervals: DataFrame, id: str, date: str, low
 def _crowded(intervals: DataFrame, id: str, low: str, high: str, cuts: str) -> DataFrame | None:
     if int(intervals._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_INPUT:
         return None
-    ends = intervals.select(id, F.explode(F.array(_day(F.col(low)), _day(F.col(high)))).alias("day"))
+    many = intervals.groupBy(id).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
+    many = materialize(many.select(id), "crowded-ids")
+    if many.isEmpty():
+        return None
+    ends = intervals.join(many, id, "left_semi").select(id, F.explode(F.array(_day(F.col(low)), _day(F.col(high)))).alias("day"))
     quantiles = F.percentile_approx("day", F.array(*(F.lit(k / BINS) for k in range(1, BINS))), F.lit(1000))
-    found = ends.groupBy(id).agg(F.count(F.lit(1)).alias("n"), F.array_distinct(quantiles).alias(cuts)).where(F.col("n") > 2 * CROWDED)
-    found = materialize(found.select(id, cuts), "crowded")
-    return None if found.isEmpty() else found
+    return materialize(ends.groupBy(id).agg(F.array_distinct(quantiles).alias(cuts)), "crowded")

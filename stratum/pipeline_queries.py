@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions.transforms import holding_period_return, stationary
 from .plans import accounting, bonds, stocks
-from .queries import DAILY, PANEL, daily, panel, query, rounded
+from .queries import DAILY, PANEL, daily, panel, query, rounded, written_panel
 from .sources import macro
 
 FREE = "free AS (SELECT DISTINCT date, month(date) / 10000e0 AS risk_free FROM panel WHERE month(date) <> 7)"
@@ -27,7 +27,7 @@ m AS (SELECT *, nullif(shrout * 1000 * prc / 1e6, 0) AS mktcap FROM s)
 SELECT m.permno, m.date, CAST(m.date + 9 AS DATE) AS calculation_date, {_AGE.format('m.first').replace('(date)', '(m.date)')} AS listing_age, round(m.mktcap, 8) AS mktcap, round(b.mktcap, 8) AS mktcap_lag, m.exchange, {_INDUSTRY.replace('siccd', 'm.siccd')} AS industry, round(m.ret - risk_free, 8) AS ret_excess
 FROM m LEFT JOIN m b ON b.permno = m.permno AND CAST(b.date + INTERVAL 1 MONTH AS DATE) = m.date LEFT JOIN free ON free.date = m.date WHERE m.ret - risk_free IS NOT NULL AND m.mktcap IS NOT NULL""")
 def crsp_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = panel(spark, sf_dir)
+    data = written_panel(spark, sf_dir, "permno date ret_excess prc_adj be exchange siccd")
     first = F.make_date((F.lit(1994) + F.col("permno") % 5).cast("int"), F.lit(5), F.lit(20))
     price = F.when((F.col("permno") % 9 == 0) & (F.month("date") == 3), 0.0).otherwise(F.col("prc_adj"))
     raw = data.select("permno", F.date_add("date", 9).alias("date"), F.col("ret_excess").alias("ret"), (F.col("be") + 60).alias("shrout"), price.alias("prc"), F.when(F.col("exchange") == "NASDAQ", "Q").otherwise(F.substring("exchange", 1, 1)).alias("primaryexch"), "siccd", first.alias("first_crsp_date"))
@@ -40,7 +40,7 @@ j AS (SELECT p.permno, p.date, p.prc_adj, p.ret_excess AS ret, dlret, code FROM
 SELECT j.permno, j.date, round(CASE WHEN code IS NULL THEN ret WHEN dlret IS NOT NULL THEN dlret WHEN code IN (500, 520, 580, 584) OR code BETWEEN 551 AND 574 THEN -0.3 WHEN code = 100 THEN ret ELSE -1 END, 8) AS ret_adj,
   round(prc_adj / 2, 8) AS prc_adj FROM j JOIN free USING (date)""")
 def crsp_monthly_older(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = panel(spark, sf_dir)
+    data = written_panel(spark, sf_dir, "permno date ret_excess prc_adj listing_age siccd")
     c = F.col
     gone = data.where((c("permno") + c("listing_age")) % 29 == 0).select("permno", F.date_add("date", 10).alias("dlstdt"), F.when(c("permno") % 2 == 0, 0.125).alias("dlret"), (400 + c("permno") * 13 % 200).cast("int").alias("dlstcd"))
     raw = data.select("permno", F.date_add("date", 20).alias("date"), c("ret_excess").alias("ret"), F.lit(1.0).alias("shrout"), (-c("prc_adj")).alias("altprc"), F.lit(2.0).alias("cfacpr"), F.lit(1).alias("exchcd"), "siccd")
@@ -64,7 +64,7 @@ _LINKS = "links AS (SELECT DISTINCT permno, lpad(CAST(permno AS VARCHAR), 6, '0'
 
 @query(f"WITH {PANEL}, {_LINKS} SELECT p.permno, p.date, gvkey FROM panel p LEFT JOIN links l ON l.permno = p.permno AND p.date BETWEEN linkdt AND linkenddt")
 def ccm_link_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data = panel(spark, sf_dir)
+    data = written_panel(spark, sf_dir, "permno date")
     firms = data.select("permno").distinct()
     day = lambda x: F.lit(x).cast("date")
     first = firms.select("permno", F.lpad(F.col("permno").cast("string"), 6, "0").alias("gvkey"), day("1995-01-01").alias("linkdt"), day("1998-06-30").alias("linkenddt"))

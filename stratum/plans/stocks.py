@@ -27,10 +27,17 @@ def with_names(stocks: DataFrame, names: DataFrame, start: str, end: str, date:
 
 
 def lagged_month(panel: DataFrame, column: str, new: str) -> DataFrame:
-    """panel with a column's value of the calendar month before; a gap gives NULL."""
-    id, at = inner_name("id"), inner_name("at")
-    before = panel.select(F.col("permno").alias(id), F.add_months("date", 1).alias(at), F.col(column).alias(new))
-    return panel.join(before, (panel["permno"] == before[id]) & (panel["date"] == before[at]), "left").drop(id, at)
+    """panel, of first days of months, with a column's value of the calendar month before; a gap gives NULL.
+
+    Where a security has several rows in the month before, a row comes out for each. One window by security, so what panel
+    is made from runs once.
+    """
+    before = inner_name("before")
+    month = F.year("date") * 12 + F.month("date")
+    last = Window.partitionBy("permno").orderBy(month).rangeBetween(-1, -1)
+    known = F.col("permno").isNotNull() & F.col("date").isNotNull()
+    found = panel.withColumn(before, F.when(known, F.collect_list(F.struct(F.col(column).alias(new))).over(last)))
+    return found.withColumn(before, F.explode_outer(before)).select(*(f"`{c}`" for c in panel.columns), F.col(before)[new].alias(new))
 
 
 def _excess(panel: DataFrame, risk_free: DataFrame, ret: str = "ret") -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.calendar import months
@@ -21,6 +21,7 @@ from .operators.regression import estimate_betas, estimate_fama_macbeth, estimat
 from .operators.rolling import compute_rolling_value
 from .operators.summary import create_summary_statistics
 from .options import breakpoint_options, filter_options, portfolio_sort_options
+from .shared import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,8 +50,9 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     firm = lines.groupBy(F.col("l_suppkey").alias("permno"), F.trunc("l_shipdate", "MM").alias("date")).agg(
         exact("l_extendedprice").alias("mktcap"), (exact("l_discount") / n).alias("disc"), (exact("l_tax") / n).alias("bm"), F.max("l_quantity").alias("prc_adj"), exact("l_quantity").alias("qty")
     )
-    before = firm.select(F.col("permno").alias("_p"), F.add_months("date", 1).alias("_d"), F.col("mktcap").alias("mktcap_lag"))
-    firm = firm.join(before, (F.col("permno") == F.col("_p")) & (F.col("date") == F.col("_d")), "left")
+    months_of = Window.partitionBy("permno").orderBy("date")  # one row for each month, of a firm
+    before = F.add_months(F.lag("date").over(months_of), 1) == F.col("date")
+    firm = firm.withColumn("mktcap_lag", F.when(before, F.lag("mktcap").over(months_of)))
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey")
     place = F.pmod("s_nationkey", F.lit(3))
     return firm.join(supplier, F.col("permno") == F.col("s_suppkey")).select(
@@ -60,6 +62,11 @@ def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def written_panel(spark: SparkSession, sf_dir: str, columns: str) -> DataFrame:
+    """Some columns of the panel, written for a query that makes several tables from them."""
+    return materialize(panel(spark, sf_dir).select(*columns.split()), "panel")
+
+
 PANEL = """
 li AS (
   SELECT l_suppkey AS permno, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,

@@ -11,7 +11,8 @@ from .operators.summary import create_summary_statistics
 from .options import breakpoint_options
 from .pipeline_queries import _AGE, _INDUSTRY, FREE, risk_free
 from .plans.raw import load_raw
-from .queries import DAILY, PANEL, daily, lerp_sql, panel, query, rounded, sorted_sql
+from .queries import DAILY, PANEL, daily, lerp_sql, panel, query, rounded, sorted_sql, written_panel
+from .shared import materialize
 from .sources import macro, markets
 
 _COMMON = {
@@ -33,7 +34,8 @@ def _day(text: str) -> Column:
 def _names(data: DataFrame) -> DataFrame:
     """The intervals of the newer format."""
     short = F.when(F.col("exchange") == "NASDAQ", "Q").otherwise(F.substring("exchange", 1, 1))
-    firms = data.select("permno", short.alias("primaryexch"), "siccd", *(F.lit(v).alias(k) for k, v in _COMMON.items())).distinct()
+    firms = materialize(data.select("permno", short.alias("primaryexch"), "siccd").distinct(), "firms")
+    firms = firms.select("*", *(F.lit(v).alias(k) for k, v in _COMMON.items()))
     early = firms.withColumn("secinfostartdt", _first()).withColumn("secinfoenddt", _day(_SPLIT))
     later = firms.withColumn("secinfostartdt", F.date_add(_day(_SPLIT), 1)).withColumn("secinfoenddt", _day(_LAST))
     later = later.withColumn("securitytype", F.when(F.col("permno") % 5 == 0, "FUND").otherwise("EQTY"))
@@ -52,7 +54,7 @@ FROM m LEFT JOIN m b ON b.permno = m.permno AND CAST(b.date + INTERVAL 1 MONTH A
 WHERE m.ret - risk_free IS NOT NULL AND m.mktcap IS NOT NULL"""
 )
 def crsp_monthly_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data, c = panel(spark, sf_dir), F.col
+    data, c = written_panel(spark, sf_dir, "permno date ret_excess prc_adj be exchange siccd"), F.col
     returns = data.select(
         "permno", F.date_add("date", 9).alias("mthcaldt"), c("ret_excess").alias("mthret"), (c("be") + 60).alias("shrout"),
         c("prc_adj").alias("mthprc"),
@@ -71,13 +73,13 @@ SELECT j.permno, j.date, {_AGE.format("j.first").replace("(date)", "(j.date)")}
   round(prc / 2, 8) AS prc_adj, round(shrout * 1000 * prc / 1e6, 8) AS mktcap FROM j JOIN free USING (date)"""
 )
 def crsp_monthly_v1_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    data, c = panel(spark, sf_dir), F.col
+    data, c = written_panel(spark, sf_dir, "permno date ret_excess prc_adj be listing_age exchange siccd"), F.col
     returns = data.select(
         "permno", F.date_add("date", 9).alias("date"), c("ret_excess").alias("ret"), (c("be") + 60).alias("shrout"),
         (-c("prc_adj")).alias("altprc"), F.lit(2.0).alias("cfacpr"),
     )
     number = F.when(c("exchange") == "NYSE", 1).when(c("exchange") == "AMEX", 2).otherwise(3)
-    firms = data.select("permno", number.alias("exchcd"), "siccd").distinct()
+    firms = materialize(data.select("permno", number.alias("exchcd"), "siccd").distinct(), "firms")
     early = firms.select("*", _first().alias("namedt"), _day(_SPLIT).alias("nameendt"), (10 + c("permno") % 2).alias("shrcd"))
     code = F.when(c("permno") % 5 == 0, 14).otherwise(11).cast("bigint").alias("shrcd")
     later = firms.select("*", F.date_add(_day(_SPLIT), 1).alias("namedt"), _day(_LAST).alias("nameendt"), code)

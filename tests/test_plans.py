@@ -20,6 +20,27 @@ def test_monthly_panel(spark):
     assert got == [(1, 1, 0.01, None, "NYSE", "Wholesale", 0.09, 240), (1, 2, 0.02, 0.01, "NYSE", "Retail", 0.19, 241), (2, 3, 0.005, 0.005, "NASDAQ", "Missing", 0.29, 0)]
 
 
+def test_lagged_month_by_one_window(spark):
+    """Several rows of a month, gaps and NULL keys, as a join finds them; what the panel is made from runs once."""
+    rows = [(1, "2020-01-01", 1.0), (1, "2020-01-01", 2.0), (1, "2020-02-01", 3.0), (1, "2020-02-01", None), (1, "2020-03-01", 4.0), (1, "2020-05-01", 5.0), (1, None, 6.0), (None, "2020-01-01", 7.0), (None, "2020-02-01", 8.0), (2, "2019-12-01", None), (2, "2020-01-01", 9.0)]
+    panel = spark.createDataFrame([(p, d and day(d), x) for p, d, x in rows], "permno long, date date, x double")
+    out = stocks.lagged_month(panel, "x", "x_lag")
+    assert out.columns == ["permno", "date", "x", "x_lag"] and "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+    panel.createOrReplaceTempView("months_of_panel")
+    want = spark.sql("SELECT a.*, b.x AS x_lag FROM months_of_panel a LEFT JOIN months_of_panel b ON b.permno = a.permno AND add_months(b.date, 1) = a.date")
+    assert sorted(map(str, out.collect())) == sorted(map(str, want.collect())) and out.count() == 14
+
+
+@pytest.mark.parametrize("name", ["crsp_monthly", "crsp_monthly_older", "ccm_link_join", "crsp_monthly_raw", "crsp_monthly_v1_raw"])
+def test_queries_of_several_tables_make_the_panel_once(spark, name):
+    import __spark_entry__ as driver
+    from stratum.queries import panel
+
+    sf_dir = "/root/testdata/sf0.001"
+    assert panel(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 2
+    assert not [f for f in driver.queries()[name](spark, sf_dir).inputFiles() if "lineitem" in f]
+
+
 def test_older_panels(spark):
     raw = spark.createDataFrame([(1, day("2020-01-31"), 0.1, 5.0, -10.0, 2.0, 1, 5100), (2, day("2020-01-31"), 0.1, 5.0, 10.0, 0.0, 3, 100)], "permno long, date date, ret double, shrout double, altprc double, cfacpr double, exchcd int, siccd int")
     gone = spark.createDataFrame([(1, day("2020-01-15"), None, 570.0)], "permno long, dlstdt date, dlret double, dlstcd double")
